@@ -185,7 +185,7 @@ def links(fps: DataFrame, radius: int = 3, tile_rows: int = 2048, tiles: int = 6
         .select(F.expr("shiftright(k, 1)").alias("pair"), "fps")
     )
 
-    def run(key, batch: pa.Table) -> pa.Table:
+    def run(key, batch):
         arrays = [np.asarray(x.values).view(np.uint64) for x in batch.column("fps").combine_chunks()]
         got = linked(arrays[0], arrays[-1], radius)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
