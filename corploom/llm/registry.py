@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, quality, sharding, simhash, urlfilter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
+    "op4_urlfilter": urlfilter.op4_urlfilter,
+    "op6_quality": quality.op6_quality,
+    "op7_sharding": sharding.op7_sharding,
+    "op9_bpe": bpe.op9_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op4_urlfilter": urlfilter.OP4_SQL,
+    "op7_sharding": sharding.OP7_SQL,
+}
