@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, simhash, urlfilter, warc
+from . import bpe, quality, sharding, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_urlfilter": urlfilter.op4_urlfilter,
     "op6_quality": quality.op6_quality,
     "op7_sharding": sharding.op7_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
 }
 
