@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, simhash, toxicity, urlfilter, warc
+from . import bpe, embeddings, quality, sharding, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
     "op4_urlfilter": urlfilter.op4_urlfilter,
+    "op5_embeddings": embeddings.op5_embeddings,
     "op6_quality": quality.op6_quality,
     "op7_sharding": sharding.op7_sharding,
     "op8_toxicity": toxicity.op8_toxicity,
