@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, quality, sharding, simhash, toxicity, urlfilter, warc
+from . import bpe, decontamination, embeddings, quality, sharding, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
     "op4_urlfilter": urlfilter.op4_urlfilter,
