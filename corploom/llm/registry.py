@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embeddings, quality, sharding, simhash, toxicity, urlfilter, warc
+from . import bpe, decontamination, embeddings, quality, sharding, simhash, substring, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
+    "op10_substring": substring.op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {
