@@ -57,6 +57,11 @@ class Scratch:
                 _delete(self.spark, path)
                 _KEPT[self.spark.sparkContext.applicationId].remove(path)
 
+    def keep(self, t: DataFrame) -> None:
+        """Leave a table out of ``release``; it is the caller's from now on."""
+        path = self.paths.pop(id(t))
+        _KEPT[self.spark.sparkContext.applicationId].remove(path)
+
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application that are still there.

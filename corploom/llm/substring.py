@@ -235,10 +235,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = scratch.save(first.select("key", F.col("f.rid").alias("rid2"), F.col("f.ord").alias("ord2"), F.col("f.start").alias("start2")))
     own = Window.partitionBy("rid").orderBy("ord")  # a document's own runs
     islands = met.where("did <> keeper").withColumn("island", F.col("ord") - F.row_number().over(own))
-    # shared runs in a row cannot reach LEAST words if they and their two neighbours have fewer
+    # a passage ends in the run beside its shared ones, or, as the last cuts hang on what follows, up to REACH + 2 words on
     row = Window.partitionBy("rid", "island")
     islands = islands.withColumn("room", F.sum("n").over(row) + F.min_by("before", "ord").over(row) + F.max_by("after", "ord").over(row))
-    wide = scratch.save(islands.where(F.col("room") >= LEAST).select("did", "rid", "ord", "start", "n", "key", "keeper"))
+    wide = scratch.save(islands.where(F.col("room") >= LEAST - 2 * (REACH + 2)).select("did", "rid", "ord", "start", "n", "key", "keeper"))
     placed = wide.join(first, "key").withColumn("shift", F.col("ord") - F.col("ord2"))
     along = Window.partitionBy("rid", "rid2", "shift").orderBy("ord")
     pieces = placed.withColumn("g", F.col("ord") - F.row_number().over(along)).groupBy("did", "rid", "keeper", "rid2", "shift", "g").agg(

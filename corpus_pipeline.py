@@ -1,14 +1,64 @@
-"""The corpus pipeline: documents through the stages in order."""
+"""The corpus pipeline: documents through the stages in order.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written as Parquet and read again as the next stage's documents.  All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corploom.llm import simhash
+from corploom.llm import bpe, decontamination, quality, simhash, substring
+from corploom.llm.common import Scratch, release, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    release(spark)  # the stage before has been written
+    return simhash.keep_first(docs)
+
+
+def passages_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out."""
+    release(spark)
+    return substring.remove(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    release(spark)
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of ids and decoded text, of each document left."""
+    release(spark)
+    return bpe.encode(docs, bpe.read_spec(bpe.word_bpe_path()))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("simhash", near_deduplicated),
+    ("substring", passages_removed),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
 
-STAGES = [("simhash", lambda spark, docs, sf_dir: simhash.keep_first(docs))]
+#: A classifier, edit distances and BPE are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        out = Scratch(spark, f"stage-{name}")
+        written = out.save(stage(spark, docs, sf_dir))
+        out.keep(written)
+        docs = written
+    return STAGES[-1][1](spark, docs, sf_dir)
