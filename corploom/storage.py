@@ -70,7 +70,3 @@ def release(spark: SparkSession) -> None:
     """
     for path in _KEPT.pop(spark.sparkContext.applicationId, []):
         _delete(spark, path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
