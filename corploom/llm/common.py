@@ -1,75 +1,12 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder."""
+"""What the operators share: scratch tables and the tables' place."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-_KEPT: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (unit tests in one JVM) a folder of our own stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="corploom-")
-    return _OWN[app]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """Parquet tables that cut lineage and outlive lost executors.
-
-    ``save`` writes a table and reads it back; ``drop`` removes one early.
-    Tables that a lazy result still reads stay until ``release``.
-    """
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.tag = spark, tag
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/corploom-{self.tag}-{uuid.uuid4().hex}"
-        _KEPT.setdefault(self.spark.sparkContext.applicationId, []).append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.paths.pop(id(t), None)
-            if path:
-                _delete(self.spark, path)
-                _KEPT[self.spark.sparkContext.applicationId].remove(path)
-
-    def keep(self, t: DataFrame) -> None:
-        """Leave a table out of ``release``; it is the caller's from now on."""
-        path = self.paths.pop(id(t))
-        _KEPT[self.spark.sparkContext.applicationId].remove(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application that are still there.
+from ..storage import Scratch, release, shared_dir
 
-    Call it only when results made so far have been written or collected.
-    """
-    for path in _KEPT.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+__all__ = ["Scratch", "release", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
