@@ -38,8 +38,8 @@ SAMPLE, SLOTS, WIDTH, EPOCHS, DAMPING, SEED = 4000, 1 << 18, 4, 40, 10.0, 11
 GRAMS, STARTS = (4, 5, 6), (3, 7, 8, 9, 10)
 #: Words of a share p of the sample weigh COMMON / (COMMON + p) in the mean.
 COMMON = 1e-3
-#: Words that a worker remembers.
-MEMORY = 400_000
+#: Words that a worker remembers, and texts that it cuts into words at once.
+MEMORY, AT_ONCE = 400_000, 256
 
 _WORDS = re.compile(r"\w+")
 
@@ -191,8 +191,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return src.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
