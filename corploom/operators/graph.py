@@ -92,3 +92,24 @@ def calls_between(calls: DataFrame, callers: DataFrame, callees: DataFrame, name
     """Calls whose callee has one of the names, with both ends' names."""
     wanted = callees.where(F.col("callee_name").isin(*names))
     return calls.join(wanted, "callee").join(callers, "caller")
+
+
+def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """``node``: sources from which some sink can be reached over ``edges(src, dst)`` and ``extra`` steps.
+
+    Reachability, an approximation of data flow: it knows no calling context
+    and no values.
+    """
+    steps = edges.select("src", "dst")
+    if extra is not None:
+        steps = steps.unionByName(extra.select("src", "dst"))
+    return reaches(steps, sinks).join(sources.select("node").distinct(), "node", "left_semi")
+
+
+def handlers(functions: DataFrame, edges: DataFrame, sinks: DataFrame, name_pattern: str, type_pattern: str) -> DataFrame:
+    """``address, name``: functions whose name and first parameter match wholly and that reach a sink."""
+    from ..functions.source_text import definition
+
+    first = F.element_at(definition(F.col("code"))["params"], 1)
+    fit = functions.where(F.rlike("name", F.lit(f"^(?:{name_pattern})$")) & F.coalesce(F.rlike(first, F.lit(f"^(?:{type_pattern})$")), F.lit(False)))
+    return fit.join(reaches(edges, sinks).withColumnRenamed("node", "address"), "address", "left_semi").select("address", "name")
