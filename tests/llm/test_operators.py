@@ -438,3 +438,20 @@ def test_pipeline(spark, tmp_path):
     assert 200 not in got and 201 not in got and 1 in got
     assert not any(k in got for k in range(0, 150, 4)) and sum(k in got for k in range(150) if k % 4) >= 105
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash", "substring", "decontamination", "bpe"]
+
+
+def test_crowded_lines(spark):
+    rng = random.Random(15)
+    shared = prose(70, rng)
+    rows = {k: f"{shared} {prose(60, rng)}" for k in range(260)}
+    for k in range(0, 20, 2):  # one word of the line's own part differs
+        w = rows[k].split()
+        w[100] = "other"
+        rows[300 + k] = " ".join(w)
+    got = {r["doc_id"]: r for r in substring.find(documents(spark, list(rows.items()))).collect()}
+    assert set(got) == set(rows) - {0}
+    assert all((got[300 + k]["first_word"], got[300 + k]["n_words"]) == (0, 130) for k in range(0, 20, 2))
+    agree = lambda i, j: next(n for n, (a, b) in enumerate(zip(rows[i].split(), rows[j].split())) if a != b)
+    for k in range(1, 260):  # what the first document holds, at most what any earlier one does
+        assert (got[k]["first_word"], got[k]["kept_doc_id"]) == (0, 0)
+        assert agree(0, k) <= got[k]["n_words"] <= max(agree(j, k) for j in range(k))
