@@ -4,9 +4,9 @@ Two kinds of paragraph are looked for:
 
 * lines of ``LEAST`` words or more, near-duplicates included: MinHash of their
   five-word shingles, banded for a recall of 0.999 at Jaccard 0.8; colliding
-  lines are joined to a leader of their band, verified by exact Jaccard, and
-  those that fail form a band of their own with a new leader, until none is
-  left; components of verified links are the clusters;
+  lines are joined to a leader of their band and verified by exact Jaccard;
+  those that fail are compared exactly among themselves, tile against tile;
+  components of verified links are the clusters;
 * passages inside longer lines: content-defined runs of words, cut where a
   word pair's hash is the least within five words, so a passage is cut alike
   wherever it stands.  Equal runs are joined to their first document, checked
@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .components import connected_components
+from .simhash import _Forest
 
 #: Least words of a repeated passage; words of a shingle; Jaccard; bands and rows; reach of a cut; longest run; context.
 LEAST, SHINGLE, JACCARD, BANDS, ROWS, REACH, LONGEST = 50, 5, 0.8, 10, 3, 5, 64
+#: Lines in a tile of a crowded band.
+TILE = 128
 _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _MIX = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -215,6 +218,68 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(x)) for x in keep], pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*keep, "left", "right"])
 
 
+def _alike(rows: list[tuple[int, np.ndarray, bool, bool]]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that reach JACCARD, of ``(dig, shingles, upper, settled)``.
+
+    Two uppers are another task's; two that are settled hang on one leader already.
+    """
+    n = len(rows)
+    size = np.array([len(r[1]) for r in rows])
+    upper, settled = (np.array([r[k] for r in rows]) for k in (2, 3))
+    values, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    held = np.zeros((n, len(values)), np.float32)
+    held[np.repeat(np.arange(n), size), at] = 1
+    both = held @ held.T
+    near = both >= JACCARD * (size[:, None] + size[None, :] - both) - 1e-6
+    near &= ~(upper[:, None] & upper[None, :]) & ~(settled[:, None] & settled[None, :])
+    forest = _Forest(n)
+    forest.add(*np.nonzero(np.triu(near, 1)))
+    return [(rows[x][0], rows[y][0]) for x, y in forest.edges]
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_alike`` of each run of rows with one ``g``; a group is a pair of tiles at most."""
+    held: list[tuple[int, np.ndarray, bool, bool]] = []
+    now = None
+    for b in batches:
+        edges: list[tuple[int, int]] = []
+        sets = b.column(4)
+        flat, offset = np.asarray(sets.values), np.asarray(sets.offsets)
+        for k, (g, dig, up, settled) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+            if g != now:
+                edges += _alike(held) if len(held) > 1 else []
+                held, now = [], g
+            held.append((dig, flat[offset[k] : offset[k + 1]].copy(), up, settled))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
+    edges = _alike(held) if len(held) > 1 else []
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
+
+
+def _crowded(rest: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges of lines in one band that their leader does not speak for, ``rest(band, dig, settled)``; exact.
+
+    Lines that reach JACCARD have sizes within its ratio, so a line meets its
+    own size class and the next one up only.  A crowded class is dealt into
+    tiles of unsettled and of settled lines, and tiles are compared in pairs,
+    one of them unsettled.
+    """
+    sized = sets.select("dig", F.floor(F.log(F.size("sh")) / float(np.log(1 / JACCARD))).cast("int").alias("c"))
+    near = F.array(F.struct(F.col("c").alias("c"), F.lit(False).alias("up")), F.struct((F.col("c") - 1).alias("c"), F.lit(True).alias("up")))
+    asked = rest.join(sized, "dig").select("band", "dig", "settled", F.explode(near).alias("x")).select("band", "dig", "settled", "x.c", "x.up")
+    n = asked.groupBy("band", "c").agg(F.count_if(~F.col("settled")).alias("f"), F.count_if(F.col("settled")).alias("s"), F.count_if(~F.col("up")).alias("own")).where("f > 0 and f + s > 1 and own > 0")
+    n = scratch.save(n.select("band", "c", F.ceil(F.col("f") / TILE).cast("int").alias("nf"), F.ceil(F.col("s") / TILE).cast("int").alias("ns")))
+    dealt = asked.join(n, ["band", "c"]).withColumn("t", F.pmod(F.xxhash64("dig", F.lit(3)), F.when(F.col("settled"), F.col("ns")).otherwise(F.col("nf"))).cast("int"))
+    partner = F.expr(
+        "if(settled, transform(sequence(0, nf - 1), o -> struct(2 as k, o as p, t as q)),"
+        " concat(transform(sequence(0, nf - 1), o -> struct(1 as k, least(t, o) as p, greatest(t, o) as q)),"
+        " if(ns > 0, transform(sequence(0, greatest(ns, 1) - 1), o -> struct(2 as k, t as p, o as q)), array())))"
+    )
+    keyed = dealt.withColumn("x", F.explode(partner)).select(F.xxhash64("band", "c", "x.k", "x.p", "x.q").alias("g"), "dig", "up", "settled")
+    tasks = keyed.join(sets, "dig").select("g", "dig", "up", "settled", "sh")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(4 * parts, "g").sortWithinPartitions("g").mapInArrow(_crowds, "a long, b long")
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(did, rid, first_word, n_words, kept_doc_id)``: merged ranges of words to remove, by row identity."""
     spark = docs.sparkSession
@@ -273,23 +338,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grown = both.select("did", "rid", "s", "e", "keeper", "w", "s2", "e2", "w2").mapInArrow(_extend, "did long, rid long, s int, e int, keeper long, left int, right int")
     passages = grown.where(F.col("left") >= 0).select("did", "rid", (F.col("s") - F.col("left")).alias("a"), (F.col("e") + F.col("right")).alias("e"), "keeper").where(f"e - a >= {LEAST}")
 
-    # near-duplicate lines: a star round each leader, then the same among those that the leader failed
+    # near-duplicate lines: a star round each leader, then all that failed theirs, tile against tile
     sh = found.where("sh is not null").select("rid", "a", "e", "sh")
     sets = scratch.save(involved.join(sh, ["rid", "a", "e"]).select("dig", "sh").dropDuplicates(["dig"]))
-    edges = None
-    while True:
-        pairs = member.where("dig <> leader").select("dig", "leader").distinct()
-        scored = pairs.join(sets, "dig").join(sets.select(F.col("dig").alias("leader"), F.col("sh").alias("sh2")), "leader")
-        both_n = F.size(F.array_intersect("sh", "sh2"))
-        scored = scored.select("dig", "leader", (both_n >= F.lit(JACCARD) * (F.size("sh") + F.size("sh2") - both_n)).alias("ok"))
-        scored = scratch.save(scored)
-        good = scored.where("ok").select(F.col("dig").alias("a"), F.col("leader").alias("b"))
-        edges = good if edges is None else edges.unionByName(good)
-        rest = member.where("dig <> leader").join(scored.where("not ok").drop("ok"), ["dig", "leader"], "left_semi").select("band", "dig")
-        heads = rest.groupBy("band").agg(F.min("dig").alias("leader"), F.max("dig").alias("other")).where("leader <> other").drop("other")
-        member = scratch.save(rest.join(heads, "band").select("band", "dig", "leader"))
-        if member.isEmpty():
-            break
+    pairs = member.where("dig <> leader").select("dig", "leader").distinct()
+    scored = pairs.join(sets, "dig").join(sets.select(F.col("dig").alias("leader"), F.col("sh").alias("sh2")), "leader")
+    both_n = F.size(F.array_intersect("sh", "sh2"))
+    scored = scratch.save(scored.select("dig", "leader", (both_n >= F.lit(JACCARD) * (F.size("sh") + F.size("sh2") - both_n)).alias("ok")))
+    judged = member.join(scored, ["dig", "leader"], "left").select("band", "dig", F.coalesce("ok", F.lit(True)).alias("settled"))
+    open_bands = judged.where("not settled").select("band").distinct()
+    rest = judged.join(open_bands, "band", "left_semi")
+    edges = scored.where("ok").select(F.col("dig").alias("a"), F.col("leader").alias("b")).unionByName(_crowded(scratch.save(rest), sets, scratch))
     comp = scratch.save(connected_components(scratch.save(edges), scratch).select(F.col("node").alias("dig"), "component"))
     keep = comp.join(classes.select("dig", "least"), "dig").groupBy("component").agg(F.min("least").alias("keeper"))
     named = scratch.save(comp.join(keep, "component").select("dig", "keeper"))
