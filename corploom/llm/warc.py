@@ -70,10 +70,10 @@ def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_co
         F.lit(_END * 2), http,
     )
     joined.select("key", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(headers_path)
-    # payloads: only the rows that stand for one carry their bytes; ids are spread, so no key is hot
+    # payloads: only the rows that stand for one carry their bytes, dealt once by (id, key); ids are spread, so no key is hot
     stand = first.select(F.col("first_id").alias("_id"), "k")
     once = rows.select(F.coalesce("id", F.lit(least_id)).alias("_id"), F.col("key").alias("k"), "payload")
-    once.join(stand, ["_id", "k"], "left_semi").dropDuplicates(["k"]).select(F.col("k").alias("key"), "payload").write.option(
+    once.join(stand, ["_id", "k"], "left_semi").dropDuplicates(["_id", "k"]).select(F.col("k").alias("key"), "payload").write.option(
         "compression", "zstd"
     ).parquet(payloads_path)
     known.drop(first)
