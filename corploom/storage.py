@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,3 +71,13 @@ def release(spark: SparkSession) -> None:
     """
     for path in _KEPT.pop(spark.sparkContext.applicationId, []):
         _delete(spark, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that have been written and dropped.
+
+    Spark deletes them once the driver's garbage collector has found their
+    plans unused, which on a large heap may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
