@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import Scratch, release, shared_dir
+from ..storage import Scratch, free_shuffles, release, shared_dir
 
-__all__ = ["Scratch", "release", "shared_dir", "table"]
+__all__ = ["Scratch", "free_shuffles", "release", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

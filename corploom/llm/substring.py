@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free_shuffles, table
 from .components import connected_components
 from .simhash import _Forest
 
@@ -175,47 +175,37 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The upper halves of hashes, to compare a few of them at known places."""
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+_AROUND = "rid long, a int, e int, pre array<int>, post array<int>, dig long, sh array<int>"
+
+
 def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the asked-for ranges of a text, and their distinct shingles where asked."""
+    """Of each asked-for range of a text: its digest and the words around it, or its distinct shingles."""
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         for rid, text, asked in zip(*(b.column(k).to_pylist() for k in range(3))):
-            words = _WORD.findall(text.lower())
-            hashes = None
+            words = word_hashes(text)[0]
             for x in asked:
                 a, e = x["a"], x["e"]
-                out[0].append(rid), out[1].append(a), out[2].append(e)
                 if x["line"]:
-                    hashes = word_hashes(text)[0] if hashes is None else hashes
-                    out[3].append(None), out[4].append(np.unique(shingles(hashes[a:e])).view(np.int64))
+                    row = (rid, a, e, None, None, None, np.unique(_short(shingles(words[a:e]))))
                 else:
-                    out[3].append(words[max(0, a - LONGEST) : e + LONGEST]), out[4].append(None)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.list_(pa.int64()))],
-            ["rid", "a", "e", "words", "sh"],
-        )
+                    digest = int(_spans(words, np.array([a]), np.array([e]), _B).view(np.int64)[0])
+                    row = (rid, a, e, _short(words[max(0, a - LONGEST) : a]), _short(words[e : e + LONGEST]), digest, None)
+                for o, v in zip(out, row):
+                    o.append(v)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["rid", "a", "e", "pre", "post", "dig", "sh"])
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Check that both runs are equal word by word, and how far both texts agree around them."""
-    for b in batches:
-        get = {name: b.column(k).to_pylist() for k, name in enumerate(b.schema.names)}
-        left, right = [], []
-        for s, e, w, s2, e2, w2 in zip(*(get[x] for x in ("s", "e", "w", "s2", "e2", "w2"))):
-            a, a2 = min(s, LONGEST), min(s2, LONGEST)  # words of context before the run
-            n = e - s
-            if w[a : a + n] != w2[a2 : a2 + n]:
-                left.append(-1), right.append(-1)
-                continue
-            k = 0
-            while k < min(a, a2) and w[a - k - 1] == w2[a2 - k - 1]:
-                k += 1
-            j = 0
-            while a + n + j < len(w) and a2 + n + j < len(w2) and w[a + n + j] == w2[a2 + n + j]:
-                j += 1
-            left.append(k), right.append(j)
-        keep = [x for x in ("did", "rid", "s", "e", "keeper")]
-        yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(x)) for x in keep], pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*keep, "left", "right"])
+def _agree(x, y):
+    """How many values two arrays share from their start."""
+    differ = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
 
 
 def _alike(rows: list[tuple[int, np.ndarray, bool, bool]]) -> list[tuple[int, int]]:
@@ -290,12 +280,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = rows.join(again, "rid", "left_anti").unionByName(rows.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
         rows = scratch.save(rows.select("did", "rid", "text"))
     cut = scratch.save(rows.mapInArrow(_cut, _RUNS + ", bands array<long>"))
-    runs, lines = cut.where("ord >= 0").drop("bands"), cut.where("ord < 0")
+    runs, lines = cut.where("ord >= 0").drop("bands"), scratch.save(cut.where("ord < 0"))
 
     # runs that several documents hold, and the first document of each
     shared = runs.groupBy("key").agg(F.min("did").alias("keeper"), F.max("did").alias("last")).where("keeper <> last").drop("last")
     shared = scratch.save(shared)
     met = scratch.save(runs.join(shared, "key"))
+    scratch.drop(cut)
+    free_shuffles(spark)
     first = met.where("did = keeper").groupBy("key").agg(F.min(F.struct("ord", "start", "rid")).alias("f"))
     first = scratch.save(first.select("key", F.col("f.rid").alias("rid2"), F.col("f.ord").alias("ord2"), F.col("f.start").alias("start2")))
     own = Window.partitionBy("rid").orderBy("ord")  # a document's own runs
@@ -330,13 +322,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     asked = scratch.save(ask.groupBy("rid").agg(F.collect_list(F.struct("a", "e", "line")).alias("asked")))  # ranges of one text
     texts = rows.select(F.col("rid").alias("r"), "text").join(asked, F.col("r") == F.col("rid")).select("rid", "text", "asked")
-    found = scratch.save(texts.mapInArrow(_context, "rid long, a int, e int, words array<string>, sh array<long>"))
-    around = found.where("words is not null").select("rid", "a", "e", "words")
-    mine = around.select(F.col("rid"), F.col("a").alias("s"), F.col("e"), F.col("words").alias("w"))
-    theirs = around.select(F.col("rid").alias("rid2"), F.col("a").alias("s2"), F.col("e").alias("e2"), F.col("words").alias("w2"))
-    both = pieces.join(mine, ["rid", "s", "e"]).join(theirs, ["rid2", "s2", "e2"])
-    grown = both.select("did", "rid", "s", "e", "keeper", "w", "s2", "e2", "w2").mapInArrow(_extend, "did long, rid long, s int, e int, keeper long, left int, right int")
-    passages = grown.where(F.col("left") >= 0).select("did", "rid", (F.col("s") - F.col("left")).alias("a"), (F.col("e") + F.col("right")).alias("e"), "keeper").where(f"e - a >= {LEAST}")
+    free_shuffles(spark)
+    found = scratch.save(texts.mapInArrow(_context, _AROUND))
+    free_shuffles(spark)
+    around = found.where("dig is not null").select("rid", "a", "e", "pre", "post", "dig")
+    mine = around.withColumnsRenamed({"a": "s"})
+    theirs = around.toDF("rid2", "s2", "e2", "pre2", "post2", "dig2")
+    both = pieces.join(mine, ["rid", "s", "e"]).join(theirs, ["rid2", "s2", "e2"]).where("dig = dig2")
+    grown = both.select(
+        "did", "rid", (F.col("s") - _agree(F.reverse("pre"), F.reverse("pre2"))).alias("a"), (F.col("e") + _agree(F.col("post"), F.col("post2"))).alias("e"), "keeper"
+    )
+    passages = scratch.save(grown.where(f"e - a >= {LEAST}"))
+    free_shuffles(spark)
 
     # near-duplicate lines: a star round each leader, then all that failed theirs, tile against tile
     sh = found.where("sh is not null").select("rid", "a", "e", "sh")
@@ -348,7 +345,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     judged = member.join(scored, ["dig", "leader"], "left").select("band", "dig", F.coalesce("ok", F.lit(True)).alias("settled"))
     open_bands = judged.where("not settled").select("band").distinct()
     rest = judged.join(open_bands, "band", "left_semi")
-    edges = scored.where("ok").select(F.col("dig").alias("a"), F.col("leader").alias("b")).unionByName(_crowded(scratch.save(rest), sets, scratch))
+    rest = scratch.save(rest)
+    free_shuffles(spark)
+    edges = scored.where("ok").select(F.col("dig").alias("a"), F.col("leader").alias("b")).unionByName(_crowded(rest, sets, scratch))
     comp = scratch.save(connected_components(scratch.save(edges), scratch).select(F.col("node").alias("dig"), "component"))
     keep = comp.join(classes.select("dig", "least"), "dig").groupBy("component").agg(F.min("least").alias("keeper"))
     named = scratch.save(comp.join(keep, "component").select("dig", "keeper"))
@@ -356,7 +355,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # ranges that overlap or touch are one
     spans = scratch.save(passages.unionByName(near).distinct())
-    scratch.drop(cut, met, wide, found, asked, classes)
+    scratch.drop(met, wide, found, asked, classes, lines)
     order = Window.partitionBy("rid").orderBy("a", "e", "keeper")  # a document's own ranges
     merged = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     merged = merged.withColumn("g", F.sum((F.col("reach").isNull() | (F.col("a") > F.col("reach"))).cast("int")).over(order))
