@@ -33,7 +33,7 @@ from .common import Scratch, table
 from .quality import remainder
 
 #: Labelled rows to learn from, slots of the table, width of a vector, epochs, damping, seed.
-SAMPLE, SLOTS, WIDTH, EPOCHS, DAMPING, SEED = 4000, 1 << 18, 4, 40, 10.0, 11
+SAMPLE, SLOTS, WIDTH, EPOCHS, DAMPING, SEED = 4000, 1 << 18, 4, 80, 3.0, 11
 #: Lengths of n-grams taken everywhere in <word>, and at its start only.
 GRAMS, STARTS = (4, 5, 6), (3, 7, 8, 9, 10)
 #: Words of a share p of the sample weigh COMMON / (COMMON + p) in the mean.
