@@ -110,6 +110,6 @@ def handlers(functions: DataFrame, edges: DataFrame, sinks: DataFrame, name_patt
     """``address, name``: functions whose name and first parameter match wholly and that reach a sink."""
     from ..functions.source_text import definition
 
-    first = F.element_at(definition(F.col("code"))["params"], 1)
+    first = F.try_element_at(definition(F.col("code"))["params"], F.lit(1))
     fit = functions.where(F.rlike("name", F.lit(f"^(?:{name_pattern})$")) & F.coalesce(F.rlike(first, F.lit(f"^(?:{type_pattern})$")), F.lit(False)))
     return fit.join(reaches(edges, sinks).withColumnRenamed("node", "address"), "address", "left_semi").select("address", "name")
