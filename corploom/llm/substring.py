@@ -7,11 +7,12 @@ Two kinds of paragraph are looked for:
   lines are joined to a leader of their band and verified by exact Jaccard;
   those that fail are compared exactly among themselves, tile against tile;
   components of verified links are the clusters;
-* passages inside longer lines: content-defined runs of words, cut where a
-  word pair's hash is the least within five words, so a passage is cut alike
-  wherever it stands.  Equal runs are joined to their first document, checked
-  word by word, and extended to both sides as far as the texts agree; what
-  reaches ``LEAST`` words is a repeated passage.
+* exact passages, also across lines: every window of ``LEAST`` words that an
+  earlier document holds too.  A window is filed under the least hash of its
+  ``GRAM``-word runs, which hangs on its own words only; neighbours with one
+  such key are one row.  Where all rows of a key agree in all their words they
+  need no closer look; the others are compared window by window, each window
+  with the first document that holds it.  Periodic text is no exception.
 
 The first document (least doc_id) of a cluster keeps its text; everywhere else
 the words are removed.  Text repeated inside one document stays.
@@ -37,8 +38,8 @@ from .common import Scratch, free_shuffles, table
 from .components import connected_components
 from .simhash import _Forest
 
-#: Least words of a repeated passage; words of a shingle; Jaccard; bands and rows; reach of a cut; longest run; context.
-LEAST, SHINGLE, JACCARD, BANDS, ROWS, REACH, LONGEST = 50, 5, 0.8, 10, 3, 5, 64
+#: Least words of a repeated passage, and of the runs that file its windows; words of a shingle; Jaccard; bands and rows.
+LEAST, GRAM, SHINGLE, JACCARD, BANDS, ROWS = 50, 30, 5, 0.8, 10, 3
 #: Lines in a tile of a crowded band.
 TILE = 128
 _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -95,24 +96,25 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return _spans(words, start, np.minimum(start + SHINGLE, len(words)), _B)
 
 
-def cuts(words: np.ndarray) -> np.ndarray:
-    """Starts of the content-defined runs; the first is 0."""
-    n = len(words)
-    if n < 2 * REACH + 3:
-        found = np.zeros(0, np.int64)
-    else:
-        at = np.arange(n - 1)
-        v = _spans(words, at, at + 2, _B)
-        w = np.lib.stride_tricks.sliding_window_view(v, REACH)
-        mid = v[REACH : len(v) - REACH]
-        least = (mid < w[: len(mid)].min(axis=1)) & (mid <= w[REACH + 1 : REACH + 1 + len(mid)].min(axis=1))
-        found = np.flatnonzero(least) + REACH
-    start = np.unique(np.concatenate(([0], found)))
-    size = np.diff(np.append(start, n))
-    more = -(-size // LONGEST)
-    if (more > 1).any():  # a run without cuts is cut by its length, from its start
-        start = np.repeat(start, more) + LONGEST * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
-    return start
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    n, have = len(values) - width + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values[:n]
+
+
+def runs_of_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and key of each run of windows that are filed under one key."""
+    n = len(words) - LEAST + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(words) - GRAM + 1)
+    low = _least(_spans(words, at, at + GRAM, _B), LEAST - GRAM + 1)
+    start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    return start, np.diff(np.append(start, n)), low[start]
 
 
 def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,8 +125,7 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce("d", late).alias("did"), "rid", "text")
 
 
-_RUNS = "did long, rid long, ord int, start int, n int, before int, after int, key long"
-_LINES = "did long, rid long, start int, n int, dig long, bands array<long>"
+_RUNS = "did long, rid long, start int, n int, key long, dig long"
 
 
 def _array(parts: list[np.ndarray], kind) -> pa.Array:
@@ -135,19 +136,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both kinds of paragraph of each text, told apart by ``bands``."""
     for b in batches:
         dids, rids = b.column(0).to_pylist(), b.column(1).to_pylist()
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         bands: list[np.ndarray | None] = []
         for did, rid, text in zip(dids, rids, b.column(2).to_pylist()):
             w, lines = word_hashes(text)
             if not len(w):
                 continue
-            start = cuts(w)
-            end = np.append(start[1:], len(w))
-            size = end - start
-            around = np.concatenate(([0], size, [0]))
-            key = _spans(w, start, end, _A).view(np.int64)
+            start, size, key = runs_of_windows(w)
             m = len(start)
-            own = [np.full(m, did), np.full(m, rid), np.arange(m), start, size, around[:-2], around[2:], key]
+            own = [np.full(m, did), np.full(m, rid), start, size, key.view(np.int64), _spans(w, start, start + size - 1 + LEAST, _A).view(np.int64)]
             bands += [None] * m
             stop = np.append(lines[1:], len(w))
             long = stop - lines >= LEAST
@@ -163,15 +160,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys = _mix(keys * np.uint64(_A) + low[r::ROWS] + np.arange(BANDS, dtype=np.uint64)[:, None])
                 dig = _spans(w, s, e, _A).view(np.int64)
                 q = len(s)
-                more = [np.full(q, did), np.full(q, rid), np.full(q, -1), s, e - s, np.zeros(q, np.int64), np.zeros(q, np.int64), dig]
+                more = [np.full(q, did), np.full(q, rid), s, e - s, np.zeros(q, np.int64), dig]
                 own = [np.concatenate(x) for x in zip(own, more)]
                 bands += list(keys.T.view(np.int64))
             for c, x in zip(cols, own):
                 c.append(x)
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
             [*[_array(c, k) for c, k in zip(cols, kinds)], pa.array(bands, pa.list_(pa.int64()))],
-            ["did", "rid", "ord", "start", "n", "before", "after", "key", "bands"],
+            ["did", "rid", "start", "n", "key", "dig", "bands"],
         )
 
 
@@ -180,32 +177,26 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-_AROUND = "rid long, a int, e int, pre array<int>, post array<int>, dig long, sh array<int>"
+_AROUND = "rid long, a int, e int, grams array<long>, sh array<int>"
 
 
 def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each asked-for range of a text: its digest and the words around it, or its distinct shingles."""
+    """Of each asked-for range of a text: a hash of each window of LEAST words, or its distinct shingles."""
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(5)]
         for rid, text, asked in zip(*(b.column(k).to_pylist() for k in range(3))):
             words = word_hashes(text)[0]
             for x in asked:
                 a, e = x["a"], x["e"]
                 if x["line"]:
-                    row = (rid, a, e, None, None, None, np.unique(_short(shingles(words[a:e]))))
+                    row = (rid, a, e, None, np.unique(_short(shingles(words[a:e]))))
                 else:
-                    digest = int(_spans(words, np.array([a]), np.array([e]), _B).view(np.int64)[0])
-                    row = (rid, a, e, _short(words[max(0, a - LONGEST) : a]), _short(words[e : e + LONGEST]), digest, None)
+                    at = np.arange(a, e - LEAST + 1)
+                    row = (rid, a, e, _spans(words, at, at + LEAST, _B).view(np.int64), None)
                 for o, v in zip(out, row):
                     o.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["rid", "a", "e", "pre", "post", "dig", "sh"])
-
-
-def _agree(x, y):
-    """How many values two arrays share from their start."""
-    differ = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
-    return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["rid", "a", "e", "grams", "sh"])
 
 
 def _alike(rows: list[tuple[int, np.ndarray, bool, bool]]) -> list[tuple[int, int]]:
@@ -280,28 +271,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = rows.join(again, "rid", "left_anti").unionByName(rows.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
         rows = scratch.save(rows.select("did", "rid", "text"))
     cut = scratch.save(rows.mapInArrow(_cut, _RUNS + ", bands array<long>"))
-    runs, lines = cut.where("ord >= 0").drop("bands"), scratch.save(cut.where("ord < 0"))
+    runs = cut.where("bands is null").drop("bands")
+    lines = scratch.save(cut.where("bands is not null").select("did", "rid", "start", "n", F.col("dig").alias("key"), "bands"))
 
-    # runs that several documents hold, and the first document of each
-    shared = runs.groupBy("key").agg(F.min("did").alias("keeper"), F.max("did").alias("last")).where("keeper <> last").drop("last")
-    shared = scratch.save(shared)
-    met = scratch.save(runs.join(shared, "key"))
+    # keys that several documents hold, and what differs under one key
+    shared = runs.groupBy("key").agg(F.min("did").alias("keeper"), F.max("did").alias("last")).where("keeper <> last").select("key")
+    met = scratch.save(runs.join(scratch.save(shared), "key"))
     scratch.drop(cut)
     free_shuffles(spark)
-    first = met.where("did = keeper").groupBy("key").agg(F.min(F.struct("ord", "start", "rid")).alias("f"))
-    first = scratch.save(first.select("key", F.col("f.rid").alias("rid2"), F.col("f.ord").alias("ord2"), F.col("f.start").alias("start2")))
-    own = Window.partitionBy("rid").orderBy("ord")  # a document's own runs
-    islands = met.where("did <> keeper").withColumn("island", F.col("ord") - F.row_number().over(own))
-    # a passage ends in the run beside its shared ones, or, as the last cuts hang on what follows, up to REACH + 2 words on
-    row = Window.partitionBy("rid", "island")
-    islands = islands.withColumn("room", F.sum("n").over(row) + F.min_by("before", "ord").over(row) + F.max_by("after", "ord").over(row))
-    wide = scratch.save(islands.where(F.col("room") >= LEAST - 2 * (REACH + 2)).select("did", "rid", "ord", "start", "n", "key", "keeper"))
-    placed = wide.join(first, "key").withColumn("shift", F.col("ord") - F.col("ord2"))
-    along = Window.partitionBy("rid", "rid2", "shift").orderBy("ord")
-    pieces = placed.withColumn("g", F.col("ord") - F.row_number().over(along)).groupBy("did", "rid", "keeper", "rid2", "shift", "g").agg(
-        F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.min("start2").alias("s2"), F.max(F.col("start2") + F.col("n")).alias("e2")
-    )
-    pieces = scratch.save(pieces.drop("shift", "g"))
+    kinds = met.groupBy("dig").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min(F.struct("did", "rid", "start")).alias("f"), F.max("did").alias("last"))
+    kinds = scratch.save(kinds.select("dig", "key", "n", F.col("f.did").alias("least"), "last", F.col("f.rid").alias("rid"), F.col("f.start").alias("a")))
+    split = scratch.save(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    apart = kinds.join(split, "key", "left_semi").select("dig", "least", "last", "rid", "a", (F.col("a") + F.col("n") + (LEAST - 1)).alias("e"))
+    apart = scratch.save(apart)
 
     # lines that share a band
     classes = lines.groupBy(F.col("key").alias("dig")).agg(F.min("did").alias("least"), F.min("rid").alias("rid_low"), F.first("bands").alias("bands"))
@@ -313,10 +295,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     involved = member.select("dig").distinct().join(classes.select("dig", "rid_low"), "dig").join(spots, ["dig", "rid_low"])
     involved = scratch.save(involved.select("dig", F.col("rid_low").alias("rid"), "a", (F.col("a") + F.col("n")).alias("e")))
 
-    # words around all of these, by one pass over the texts
+    # the words of all of these, by one pass over the texts
     ask = (
-        pieces.select("rid", F.col("s").alias("a"), "e", F.lit(False).alias("line"))
-        .unionByName(pieces.select(F.col("rid2").alias("rid"), F.col("s2").alias("a"), F.col("e2").alias("e"), F.lit(False).alias("line")))
+        apart.select("rid", "a", "e", F.lit(False).alias("line"))
         .unionByName(involved.select("rid", "a", "e", F.lit(True).alias("line")))
         .distinct()
     )
@@ -325,14 +306,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     free_shuffles(spark)
     found = scratch.save(texts.mapInArrow(_context, _AROUND))
     free_shuffles(spark)
-    around = found.where("dig is not null").select("rid", "a", "e", "pre", "post", "dig")
-    mine = around.withColumnsRenamed({"a": "s"})
-    theirs = around.toDF("rid2", "s2", "e2", "pre2", "post2", "dig2")
-    both = pieces.join(mine, ["rid", "s", "e"]).join(theirs, ["rid2", "s2", "e2"]).where("dig = dig2")
-    grown = both.select(
-        "did", "rid", (F.col("s") - _agree(F.reverse("pre"), F.reverse("pre2"))).alias("a"), (F.col("e") + _agree(F.col("post"), F.col("post2"))).alias("e"), "keeper"
-    )
-    passages = scratch.save(grown.where(f"e - a >= {LEAST}"))
+    # each window and the first document that holds it
+    held = apart.join(found.where("grams is not null").select("rid", "a", "e", "grams"), ["rid", "a", "e"]).select("dig", "least", "last", F.posexplode("grams").alias("at", "gram"))
+    held = scratch.save(held)
+    keepers = scratch.save(held.groupBy("gram").agg(F.min("least").alias("keeper")))
+    again = held.join(keepers, "gram").where("keeper <> last").select("dig", "at", "keeper")
+    along = Window.partitionBy("dig", "keeper").orderBy("at")  # one run's windows
+    again = again.withColumn("g", F.col("at") - F.row_number().over(along)).groupBy("dig", "keeper", "g").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    alike = kinds.join(split, "key", "left_anti").select("dig", F.col("least").alias("keeper"), F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
+    ranges = scratch.save(again.drop("g").unionByName(alike))
+    scratch.drop(held, keepers)
+    free_shuffles(spark)
+    passages = met.join(ranges, "dig").where("did <> keeper")
+    passages = scratch.save(passages.select("did", "rid", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + LEAST).alias("e"), "keeper"))
     free_shuffles(spark)
 
     # near-duplicate lines: a star round each leader, then all that failed theirs, tile against tile
@@ -354,8 +340,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = lines.select("did", "rid", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("e"), F.col("key").alias("dig")).join(named, "dig").where("did <> keeper").drop("dig")
 
     # ranges that overlap or touch are one
-    spans = scratch.save(passages.unionByName(near).distinct())
-    scratch.drop(met, wide, found, asked, classes, lines)
+    spans = scratch.save(passages.unionByName(near))
+    scratch.drop(met, kinds, apart, ranges, found, asked, classes, lines)
     order = Window.partitionBy("rid").orderBy("a", "e", "keeper")  # a document's own ranges
     merged = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     merged = merged.withColumn("g", F.sum((F.col("reach").isNull() | (F.col("a") > F.col("reach"))).cast("int")).over(order))

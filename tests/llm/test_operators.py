@@ -455,3 +455,31 @@ def test_crowded_lines(spark):
     for k in range(1, 260):  # what the first document holds, at most what any earlier one does
         assert (got[k]["first_word"], got[k]["kept_doc_id"]) == (0, 0)
         assert agree(0, k) <= got[k]["n_words"] <= max(agree(j, k) for j in range(k))
+
+
+def ranges(rows):
+    """The words to remove, as (doc_id, word) pairs: those in a window of 50 that an earlier document holds."""
+    first, out = {}, set()
+    for i, text in sorted(rows):
+        w = text.lower().split()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) != i:
+                out |= {(i, x) for x in range(k, k + 50)}
+    return out
+
+
+def told(found):
+    return {(r["doc_id"], x) for r in found.collect() for x in range(r["first_word"], r["first_word"] + r["n_words"])}
+
+
+def test_passages_in_pieces(spark):
+    # each stretch of 40 words stands in an earlier document of its own; only the last two share the whole
+    rng = random.Random(21)
+    whole = prose(160, rng).split()
+    rows = [(k, " ".join([prose(20, rng), *whole[at : at + 40], prose(20, rng)])) for k, at in enumerate(range(0, 121, 5))]
+    rows += [(100, " ".join([prose(30, rng), *whole, prose(30, rng)])), (101, " ".join([prose(17, rng), *whole, prose(9, rng)]))]
+    line = prose(70, rng)
+    rows += [(k, prose(10, rng) + "\n" + line + "\n" + prose(12, rng)) for k in (102, 103, 104)]
+    expect = ranges(rows)
+    assert {i for i, _ in expect} == {101, 103, 104}
+    assert told(substring.find(documents(spark, rows))) == expect
