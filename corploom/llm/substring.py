@@ -12,7 +12,8 @@ Two kinds of paragraph are looked for:
   ``GRAM``-word runs, which hangs on its own words only; neighbours with one
   such key are one row.  Where all rows of a key agree in all their words they
   need no closer look; the others are compared window by window, each window
-  with the first document that holds it.  Periodic text is no exception.
+  with the first document that holds it.  Equal means equal 64-bit hashes.
+  Periodic text is no exception: a stretch with one key is one row.
 
 The first document (least doc_id) of a cluster keeps its text; everywhere else
 the words are removed.  Text repeated inside one document stays.

@@ -483,3 +483,16 @@ def test_passages_in_pieces(spark):
     expect = ranges(rows)
     assert {i for i, _ in expect} == {101, 103, 104}
     assert told(substring.find(documents(spark, rows))) == expect
+
+
+def test_periodic_passages(spark):
+    # text with a short period has no landmarks; it stands at other places in each document
+    rng = random.Random(22)
+    loops = ["rep " * 120, "one two three " * 30, "a b c d e " * 40, "Is " * 51]
+    rows = []
+    for k, loop in enumerate(loops):
+        rows += [(10 * k + j, " ".join([prose(5 + 9 * j + k, rng), loop * (1 + j % 2), prose(7, rng)])) for j in range(4)]
+    rows += [(90, "lone " * 49 + prose(9, rng)), (91, prose(11, rng) + " lone" * 49)]
+    expect = ranges(rows)
+    assert {i for i, _ in expect} == {10 * k + j for k in range(4) for j in range(1, 4)}
+    assert told(substring.find(documents(spark, rows))) == expect
