@@ -3,9 +3,12 @@
 Each pass orders the distinct vectors lexicographically by the signs of many
 random projections and compares every vector with a bounded window of its
 neighbours, in blocks of matrix products in double precision.  Pairs that reach
-the threshold are united across passes.  Vectors more alike than a window is
-wide would miss partners there, so links are then counted exactly inside each
-component, tile against tile; no partner is capped.
+the threshold are united across passes.  Where more vectors share a pass's first
+``PREFIX`` signs than a window holds, those of different components are then
+compared exactly, tile against tile; so, but for the ends of partitions, a pass
+finds each pair that shares these signs, however dense its surroundings are.
+Links are counted exactly inside each component, tile against tile; no partner
+is capped.
 
 Defined results: vectors that are null, empty, zero, or hold a null or
 non-finite component link with nothing and are their own component; vectors of
@@ -31,6 +34,8 @@ from .simhash import _Forest
 
 #: Cosine that links, passes, sign bits of a pass, neighbours on either side, vectors in a tile, seed.
 COSINE, PASSES, BITS, WINDOW, TILE, SEED = 0.95, 16, 60, 256, 1024, 5
+#: Signs that share a crowded cell (a pair at COSINE shares them in one of PASSES with probability 0.99), vectors in its tiles.
+PREFIX, CELL_TILE = 13, 4096
 
 
 def _rows(column: pa.Array) -> list[np.ndarray]:
@@ -124,6 +129,45 @@ def links(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, wind
     return ordered.select("pass", "cid", "v").mapInArrow(_windows(cosine, window), "a long, b long").distinct()
 
 
+def _across(cosine: float):
+    def run(key, batch):
+        ids = [np.asarray(x.values) for x in batch.column("ids").combine_chunks()]
+        comps = [np.asarray(x.values) for x in batch.column("comps").combine_chunks()]
+        flat = [_unit(np.asarray(x.values).astype(np.float64).reshape(len(i), -1)) for x, i in zip(batch.column("vs").combine_chunks(), ids)]
+        values, at = np.unique(np.concatenate(comps), return_inverse=True)
+        a, b = at[: len(ids[0])], at[-len(ids[-1]) :]  # one tile meets itself
+        forest = _Forest(len(values))
+        for k in range(0, len(a), 256):
+            near = flat[0][k : k + 256] @ flat[-1].T >= cosine
+            near &= forest.root[a[k : k + 256], None] != forest.root[b][None, :]
+            i, j = np.nonzero(near)
+            forest.add(a[k + i], b[j])
+        x, y = np.array(forest.edges, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(values[x], pa.int64()), "b": pa.array(values[y], pa.int64())})
+
+    return run
+
+
+def crowded_links(vectors: DataFrame, comp: DataFrame, scratch: Scratch, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+    """Edges ``(a, b)`` between components ``comp(cid, comp)`` of ``vectors(cid, v)`` that share a crowded cell; exact there.
+
+    A vector that ``comp`` does not list is its own component.
+    """
+    cells = _keys(vectors, passes).select("cid", F.size("v").alias("d"), "pass", F.shiftright("key", BITS - PREFIX).alias("cell"))
+    cells = scratch.save(cells.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+    n = cells.groupBy("pass", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("n") > window) & (F.col("lo") < F.col("hi")))
+    n = scratch.save(n.select("pass", "cell", F.ceil(F.col("n") / CELL_TILE).cast("int").alias("tiles")))
+    dealt = cells.join(n, ["pass", "cell"]).withColumn("t", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("tiles")).cast("int")).join(vectors, "cid")
+    tiles = dealt.groupBy("pass", "cell", "d", "t", "tiles").agg(F.collect_list(F.struct("cid", "comp", "v")).alias("x")).select(
+        "pass", "cell", "d", "t", "tiles", F.col("x.cid").alias("ids"), F.col("x.comp").alias("comps"), F.flatten("x.v").alias("vs")
+    )
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    paired = tiles.withColumn("o", F.explode(others)).select("pass", "cell", "d", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "ids", "comps", "vs")
+    out = scratch.save(paired.groupBy("pass", "cell", "d", "p", "q").applyInArrow(_across(cosine), "a long, b long").distinct())
+    scratch.drop(cells, n)
+    return out
+
+
 def _count(cosine: float):
     def run(key, batch):
         ids = [np.asarray(x.values) for x in batch.column("ids").combine_chunks()]
@@ -158,8 +202,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     classes = rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     classes = scratch.save(classes.withColumn("cid", F.xxhash64("h")))
     edges = scratch.save(links(classes.select("cid", "v"), cosine, passes, window))
-    comp = scratch.save(connected_components(edges, scratch).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
-    scratch.drop(edges)
+    united = lambda e: scratch.save(connected_components(e, scratch).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
+    comp = united(edges)
+    more = crowded_links(classes.select("cid", "v"), comp, scratch, cosine, passes, window)
+    if not more.isEmpty():
+        scratch.drop(comp)
+        comp = united(edges.unionByName(more))
+    scratch.drop(edges, more)
 
     inside = scratch.save(classes.join(comp, "cid").select("comp", "cid", "n", "v", "least", F.size("v").alias("d")))
     sizes = inside.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("component_id"))

@@ -301,6 +301,25 @@ def test_embeddings_beyond_the_window(spark):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)}
 
 
+def test_embeddings_in_a_dense_group(spark):
+    # all point one way, pairwise cosine 0.9, so a sort puts many between the two of a pair
+    rng = np.random.default_rng(23)
+    axis = rng.standard_normal(64) / 8
+    x = np.sqrt(0.9) * axis + np.sqrt(0.1) * rng.standard_normal((1500, 64)) / 8
+    twins = x[:100] + 0.025 * rng.standard_normal((100, 64))
+    v = np.vstack([x, twins]).astype(np.float32)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    linked = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1)).tolist()
+    names = classes(range(len(v)), [tuple(p) for p in linked])
+    least = {}
+    for k in range(len(v)):
+        least.setdefault(names[k], k)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, window=2).collect()}
+    degree = np.bincount(np.array(linked).ravel(), minlength=len(v))
+    assert sum(got[k]["component_id"] == least[names[k]] and got[k]["n_links"] == degree[k] for k in got) >= 0.99 * len(v)
+
+
 # classifiers
 
 
