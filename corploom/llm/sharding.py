@@ -42,19 +42,27 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
     ``shard`` is the bucket's prefix of ``depth`` bits, written in 0 and 1.
     """
+    # written once, so that the row numbers stay as they are if a task runs again
     scratch = Scratch(docs.sparkSession, "sharding")
+    return _place(scratch.save(_rows(docs, F.monotonically_increasing_id(), id_col, text_col)), limit, scratch).drop("n")
+
+
+def _rows(docs: DataFrame, number: Column, id_col: str, text_col: str) -> DataFrame:
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    # written once, so that the row numbers stay as they are if a task runs again
-    rows = scratch.save(docs.select(
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), _hash(F.col(id_col)).alias("bits"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.monotonically_increasing_id().alias("n"),
-    ))
+        F.xxhash64(F.col(text_col).cast("string")).alias("h"), number.alias("n"),
+    )
+
+
+def _place(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """``assign`` of ``_rows`` whose numbers ``n`` stay as they are; ``n`` is kept."""
     many = rows.groupBy("bits").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("c")).where((F.col("b") > limit) & (F.col("c") > 1))
     hot = scratch.save(many.select("bits", F.lit(True).alias("hot")))
-    keyed = rows.drop("h", "n")
+    keyed = rows.drop("h")
     if not hot.isEmpty():
         spread = _hash(F.concat_ws(":", "bits", "h", "n"))
-        keyed = scratch.save(rows.join(hot, "bits", "left").select("doc_id", "n_bytes", F.when(F.col("hot"), spread).otherwise(F.col("bits")).alias("bits")))
+        keyed = scratch.save(rows.join(hot, "bits", "left").select("n", "doc_id", "n_bytes", F.when(F.col("hot"), spread).otherwise(F.col("bits")).alias("bits")))
 
     out: list[DataFrame] = []
     top, waiting = 0, keyed
@@ -73,11 +81,11 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
         directory = scratch.save(bucket)
         met = waiting.withColumn("slot", _prefix("bits", depth))
         out.append(met.join(directory, "slot").select(
-            "doc_id", "n_bytes", F.expr("if(x.depth = 0, '', lpad(bin(x.prefix), x.depth, '0'))").alias("shard"), "x.depth", F.col("x.b").alias("shard_bytes")
+            "n", "doc_id", "n_bytes", F.expr("if(x.depth = 0, '', lpad(bin(x.prefix), x.depth, '0'))").alias("shard"), "x.depth", F.col("x.b").alias("shard_bytes")
         ))
         if slots.join(directory, "slot", "left_anti").isEmpty():
             break
-        waiting = scratch.save(met.join(directory, "slot", "left_anti").select("doc_id", "n_bytes", "bits"))
+        waiting = scratch.save(met.join(directory, "slot", "left_anti").select("n", "doc_id", "n_bytes", "bits"))
         top = depth
     result = out[0]
     for more in out[1:]:
@@ -86,11 +94,13 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` in one folder for each shard; rows of equal id and size share a shard's place in the directory."""
-    place = assign(docs, limit, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), "shard").dropDuplicates(["_id", "_n"])
-    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    put = docs.join(place, F.col("_id").eqNullSafe(docs[id_col].cast("long")) & (size == F.col("_n"))).drop("_id", "_n")
+    """Write ``docs`` in one folder for each shard; each row goes to the shard that its own number was assigned."""
+    scratch = Scratch(docs.sparkSession, "sharding")
+    numbered = scratch.save(docs.withColumn("_n", F.monotonically_increasing_id()))
+    place = _place(scratch.save(_rows(numbered, F.col("_n"), id_col, text_col)), limit, scratch)
+    put = numbered.join(place.select(F.col("n").alias("_n"), "shard"), "_n").drop("_n")
     put.repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    scratch.drop(numbered)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

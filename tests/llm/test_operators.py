@@ -266,6 +266,20 @@ def test_sharding(spark):
     assert {r["shard"] for r in sharding.assign(documents(spark, rows[:5])).collect()} == {""}
 
 
+def test_written_shards(spark, tmp_path):
+    rng = random.Random(24)
+    hot = [(None, f"{k:03d}" + "n" * 197) for k in range(60)] + [(77, "z" * 200)] * 60
+    rows = [(k, "x" * rng.randint(0, 300)) for k in range(200)] + hot + [(900, "y" * 5000), (901, None), (902, "")]
+    path = str(tmp_path / "shards")
+    sharding.write_shards(documents(spark, rows), path, limit=2000)
+    got = spark.read.parquet(path).withColumn("folder", F.regexp_extract(F.input_file_name(), "shard=([^/]*)", 1)).collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"])) for r in got)
+    held = {}
+    for r in got:
+        held.setdefault(r["folder"], []).append(len(r["text"] or ""))
+    assert all(sum(sizes) <= 2000 or len(sizes) == 1 for sizes in held.values())
+
+
 # embeddings
 
 
