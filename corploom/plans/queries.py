@@ -185,7 +185,9 @@ def exec_calls(spark, sf):
 
 
 def _facts(spark, sf, obj="l_suppkey", least=45):
-    return t(spark, sf, "lineitem").where(F.col("l_quantity") >= least).select(F.col(obj).alias("obj"), F.col("l_partkey").alias("off"), (F.col("l_returnflag") == "R").alias("is_write"))
+    """Of lines of a quantity of ``least`` at least; of all lines if it is 0."""
+    line = t(spark, sf, "lineitem")
+    return (line.where(F.col("l_quantity") >= least) if least else line).select(F.col(obj).alias("obj"), F.col("l_partkey").alias("off"), (F.col("l_returnflag") == "R").alias("is_write"))
 
 
 def _pairs_sql(obj: str, where: str) -> str:
@@ -209,6 +211,20 @@ def consensus_offsets(spark, sf):
     return similarity.consensus(similarity.related(similarity.offset_pairs(facts), 8).select("a", "b"), facts)
 
 
+@query(f"WITH {_pairs_sql('l_suppkey', '')} SELECT a, b, overlap, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM p) WHERE place <= 3")
+def offset_jaccard_whole(spark, sf):
+    top = similarity.related(similarity.offset_pairs(_facts(spark, sf, least=0)), 3)
+    return top.select("a", "b", "overlap", F.round("score", 9).alias("score"), "place")
+
+
+@query(f"""WITH {_pairs_sql('l_suppkey', '')}, top AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p) WHERE k <= 8),
+ok AS (SELECT a FROM top GROUP BY a HAVING count(*) >= 2)
+SELECT a AS obj, o.off, count(*) + 1 AS sites FROM top JOIN ok USING (a) JOIN f y ON y.obj = b JOIN f o ON o.obj = a AND o.off = y.off GROUP BY 1, 2 HAVING count(*) + 1 >= 3""")
+def consensus_whole(spark, sf):
+    facts = _facts(spark, sf, least=0)
+    return similarity.consensus(similarity.related(similarity.offset_pairs(facts), 8).select("a", "b"), facts)
+
+
 @query(f"""WITH {_pairs_sql('l_orderkey', '')},
 w AS (SELECT DISTINCT p.a, p.b FROM p JOIN f o ON o.obj = p.a JOIN f y ON y.obj = p.b AND y.off = o.off AND y.is_write WHERE p.overlap = p.na),
 r AS (SELECT p.*, w.a IS NOT NULL AS writer, row_number() OVER (PARTITION BY p.a ORDER BY score DESC, p.b) AS k FROM p LEFT JOIN w ON w.a = p.a AND w.b = p.b),
@@ -295,17 +311,28 @@ def export_map(spark, sf):
     return p.withColumn("address", ad.symbol_address(F.col("symbol"))).join(named, "address", "left").select("symbol", F.coalesce("s_name", "canonical").alias("export_name"))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS struct_key, p_brand AS field, l_orderkey, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
-f AS (SELECT DISTINCT struct_key, field FROM a WHERE l_returnflag = 'A' AND l_orderkey % 7 = 0)
-SELECT struct_key, count(*) AS checked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.struct_key = a.struct_key AND f.field = a.field)) AS violations FROM a WHERE l_returnflag = 'R' GROUP BY struct_key""")
-def coherence_antijoin(spark, sf):
+def _coherence(spark, sf, evidence):
     line, s, p = t(spark, sf, "lineitem"), t(spark, sf, "supplier"), t(spark, sf, "part")
     a = line.join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("s_nationkey").alias("struct_key"), F.col("p_brand").alias("field"), "l_orderkey", "l_returnflag")
-    fields = a.where("l_returnflag = 'A' and l_orderkey % 7 = 0").select("struct_key", "field", F.lit(True).alias("known")).distinct()
+    fields = a.where(evidence).select("struct_key", "field", F.lit(True).alias("known")).distinct()
     met = a.where("l_returnflag = 'R'").join(fields, ["struct_key", "field"], "left")
     return met.groupBy("struct_key").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("known").isNull()).alias("violations"))
 
 
+@query("""WITH a AS (SELECT s_nationkey AS struct_key, p_brand AS field, l_orderkey, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
+f AS (SELECT DISTINCT struct_key, field FROM a WHERE l_returnflag = 'A' AND l_orderkey % 7 = 0)
+SELECT struct_key, count(*) AS checked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.struct_key = a.struct_key AND f.field = a.field)) AS violations FROM a WHERE l_returnflag = 'R' GROUP BY struct_key""")
+def coherence_antijoin(spark, sf):
+    return _coherence(spark, sf, "l_returnflag = 'A' and l_orderkey % 7 = 0")
+
+
+@query("""WITH a AS (SELECT s_nationkey AS struct_key, p_brand AS field, l_orderkey, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
+f AS (SELECT DISTINCT struct_key, field FROM a WHERE l_returnflag = 'A')
+SELECT struct_key, count(*) AS checked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.struct_key = a.struct_key AND f.field = a.field)) AS violations FROM a WHERE l_returnflag = 'R' GROUP BY struct_key""")
+def coherence_whole(spark, sf):
+    return _coherence(spark, sf, "l_returnflag = 'A'")
+
+
 @query("""WITH a AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS arg, unnest(range(0, len(string_split(p_name, ' ')))) AS pos FROM part),
 q AS (SELECT p_partkey, unnest(string_split(lower(p_type || ' ' || p_brand), ' ')) AS param, unnest(range(0, len(string_split(p_type || ' ' || p_brand, ' ')))) AS pos FROM part)
 SELECT p_partkey, a.pos, arg, param, length(arg) <> length(param) AS mismatch FROM a JOIN q USING (p_partkey, pos)""")
