@@ -14,13 +14,17 @@ merge across it could only use a piece that is a suffix of the left token and
 a prefix of the right one.
 
 Defined results: null and empty texts have no tokens and decode to the empty
-string; strings of special tokens in a text become those tokens; repeated rows
-each get a row; other columns are ignored.
+string; strings of special tokens in a text become those tokens; very long
+texts are encoded whole, and a very long word is merged through a heap, in time
+that grows with its length but for a logarithm; merges of one rank are made
+from the left; repeated rows each get a row; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -31,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, pieces, table
 
 #: Characters on which all libraries agree about case, normal form, classes and white space.
 ODD = r"[^\x00-\x1b\x20-\x7f\xa1-\xac\xae-\u012f\u0134-\u0148\u014a-\u017e]"
-#: Distinct words, pieces between white space, or pairs that a worker remembers.
-MEMORY = 400_000
+#: Bytes of words and of pieces between white space, and pairs, that a worker remembers while a task runs.
+MEMORY, PAIRS = 24 << 20, 200_000
+#: Bytes that an entry takes besides its strings; pieces of a word that are merged through a heap.
+ENTRY, HEAP_FROM = 400, 128
 NONE = 1 << 60
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1 << 19
 
 
 class WordBpe:
@@ -70,9 +78,14 @@ class WordBpe:
         rest = [b for b in range(256) if b not in shown]
         self.stand_in = {b: 256 + k for k, b in enumerate(rest)}
         self.sound: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of words, pieces and pairs."""
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
         self.pieces: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
 
     def units(self, shown: str) -> list[int]:
         """Ids of single characters, the word end on the last; one without a token is left out, as in the library."""
@@ -89,6 +102,8 @@ class WordBpe:
 
     def merge(self, parts: list[int]) -> list[int]:
         """Exact merging: always the first pair of least rank."""
+        if len(parts) >= HEAP_FROM:
+            return self.merge_long(parts)
         get = self.rank.get
         ranks = [get(x << 32 | y, NONE) for x, y in zip(parts, parts[1:])]
         while ranks:
@@ -104,6 +119,27 @@ class WordBpe:
                 ranks[k] = get(new << 32 | parts[k + 1], NONE)
         return parts
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap of pairs and links to the neighbours that are left."""
+        get, made, n = self.rank.get, self.made, len(parts)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, k) for k in range(n - 1) if (r := get(parts[k] << 32 | parts[k + 1], NONE)) != NONE]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            m = right[k]
+            if parts[k] < 0 or m >= n or get(parts[k] << 32 | parts[m], NONE) != rank:
+                continue  # one of the two has been merged since
+            parts[k], parts[m] = made[rank], -1
+            right[k] = m = right[m]
+            if m < n:
+                left[m] = k
+                if (r := get(parts[k] << 32 | parts[m], NONE)) != NONE:
+                    heapq.heappush(heap, (r, k))
+            if (b := left[k]) >= 0 and (r := get(parts[b] << 32 | parts[k], NONE)) != NONE:
+                heapq.heappush(heap, (r, b))
+        return [x for x in parts if x >= 0]
+
     def greedy(self, word: str) -> list[int] | None:
         """Longest match from the left over stand-in characters; None if a character has no token."""
         out, k, n = [], 0, len(word)
@@ -129,7 +165,7 @@ class WordBpe:
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each adjacent pair of ids: does BPE keep the two apart and whole?"""
         found, at = np.unique(left << 32 | right, return_inverse=True)
-        if len(self.pairs) > 4 * MEMORY:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         pairs, good = self.pairs, []
         for x in found.tolist():
@@ -155,7 +191,8 @@ class WordBpe:
         for w, s, g, wrong in zip(words, shown, ids, bad.tolist()):
             if wrong or (len(g) == 1 and not self.is_sound(g[0])):
                 g = self.merge(self.units(s))
-            self.known[w] = (len(g), " ".join(map(str, g)), " ".join([names[x] for x in g]))
+            self.known[w] = got = (len(g), " ".join(map(str, g)), " ".join([names[x] for x in g]))
+            self.held += ENTRY + len(w) + len(got[1]) + len(got[2])
 
     @staticmethod
     def joined(got: list[tuple[int, str, str]]) -> tuple[int, str, str]:
@@ -181,10 +218,8 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids joined by spaces, decoded text."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
+        if self.held > MEMORY:
+            self.forget()
         known, pieces = self.known, self.pieces
         cut: list[list] = []  # lists of pieces, and ids of special tokens
         for t in texts:
@@ -205,7 +240,8 @@ class WordBpe:
         if words:
             self.learn(list(words))
         for p, ws in new:
-            pieces[p] = known[ws[0]] if len(ws) == 1 else self.joined([known[w] for w in ws])
+            pieces[p] = got = known[ws[0]] if len(ws) == 1 else self.joined([known[w] for w in ws])
+            self.held += ENTRY // 4 + (0 if len(ws) == 1 else ENTRY + len(p) + len(got[1]) + len(got[2]))
         out = []
         for parts in cut:
             got: list[tuple[int, str, str]] = []
@@ -215,23 +251,12 @@ class WordBpe:
         return out
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
-def loaded(spec: str) -> WordBpe:
-    """One tokenizer for each worker process."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = WordBpe(spec)
-    return _LOADED[key]
-
-
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, at_once: int = 256) -> DataFrame:
+def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``; with ``texts`` also ``ids`` and ``decoded``.
 
     ``spec`` is the tokenizer file's content, read on the driver (2 MB, fixed
@@ -240,21 +265,20 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(sent.value)
+        bpe = None
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for whole in batches:
-            for k in range(0, whole.num_rows, at_once):
-                b = whole.slice(k, at_once)
-                got = bpe.encode(b.column(1).to_pylist())
-                cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got], pa.string()), pa.array([sha(g[2]) for g in got], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if texts:
-                    cols += [pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for b in pieces(batches, 1, AT_ONCE):
+            bpe = bpe or WordBpe(sent.value)  # a task's own: kept for longer it would be in the way of other stages
+            got = bpe.encode(b.column(1).to_pylist())
+            cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got], pa.string()), pa.array([sha(g[2]) for g in got], pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if texts:
+                cols += [pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts)
+    return src.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts)
 
 
 def word_bpe_path() -> str:

@@ -1,18 +1,21 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Edits are counted in words: lower-cased runs of letters, digits and
-underscores, so case, punctuation and white space don't matter.  An item of m
-words may differ from a passage by ``budget(m)`` inserted, deleted or replaced
-words.  Cut into budget + 1 pieces, at least one piece of it must then occur
-unchanged; exact piece hits are found with one hash per word position, and the
-text around each hit is verified with Myers' bit-parallel edit distance.
-
-Defined results: null and empty texts match nothing; items of fewer than
-``LEAST_WORDS`` words (null and empty ones too) are not searched for, since
-ordinary text holds them by chance; items with one id are searched for one by
-one and reported under that id; repeated rows of documents are each reported;
-empty tables give an empty result; other columns are ignored, or kept by
-``drop_contaminated``.
+underscores, so case, punctuation and white space don't matter.  In scripts
+that are written without spaces each character is a word.  An item of m words
+may differ from a passage by ``budget(m)`` inserted, deleted or replaced words.
+Cut into budget + 1 pieces, at least one piece of it must then occur unchanged;
+exact piece hits are found with one hash per word position, and the text around
+each hit is verified with Myers' bit-parallel edit distance.
+
+Defined results: null and empty texts match nothing; very long texts are
+searched whole; items without a word (null and empty ones too) match nothing,
+items of fewer than ``EXACT_BELOW`` words must occur unchanged; items with one
+id, or a null one, are searched for one by one and reported under it; an item
+found at several places of a document is reported at the first of the best;
+repeated rows of documents are each reported; empty tables give an empty
+result; other columns are ignored, or kept by ``drop_contaminated``, which
+judges every row by its own text.
 """
 
 from __future__ import annotations
@@ -22,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import free_memory, lean, parts, pieces, table
 
-#: Part of an item's words that may be edited; least words of an item; bytes of items that are searched for at once.
-ERRORS, LEAST_WORDS, BLOCK_BYTES = 0.2, 8, 16 << 20
-_WORDS = re.compile(r"\w+")
+#: Part of an item's words that may be edited; words below which none may; bytes of items that are searched for at once.
+ERRORS, EXACT_BELOW, BLOCK_BYTES = 0.2, 8, 16 << 20
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han characters: scripts without spaces between words.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, first_word int, n_words int"
 
@@ -39,7 +45,7 @@ def words(text: str | None) -> list[str]:
 
 
 def budget(m: int, errors: float = ERRORS) -> int:
-    return int(m * errors)
+    return int(m * errors) if m >= EXACT_BELOW else 0
 
 
 def distance(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -75,14 +81,14 @@ def distance(item: list[int], text: list[int]) -> tuple[int, int]:
 class Matcher:
     """A block of items, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, least: int = LEAST_WORDS):
+    def __init__(self, items: list[tuple[int | None, str]], errors: float = ERRORS):
         self.ids: dict[str, int] = {}
-        self.items: list[tuple[int, list[int], int]] = []
+        self.items: list[tuple[int | None, list[int], int]] = []
         pieces: dict[int, list[tuple[int, int, int]]] = {}  # length -> (hash, item, offset)
         seen = set()
         for item_id, text in items:
             ws = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            if len(ws) < least or (item_id, tuple(ws)) in seen:
+            if not ws or (item_id, tuple(ws)) in seen:
                 continue
             seen.add((item_id, tuple(ws)))
             k = budget(len(ws), errors)
@@ -105,14 +111,14 @@ class Matcher:
                 h = h * _BASE + ids[k : len(ids) - n + 1 + k]
             return (h ^ (h >> np.uint64(31))) * _BASE
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
+    def search(self, text: str | None) -> list[tuple[int | None, int, int, int, int]]:
         """(item_id, distance, item words, first word, words) of each item found, at its best place."""
         ws = words(text)
         if not self.items or not ws:
             return []
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in ws), np.uint64, len(ws))
-        if np.count_nonzero(ids) < 2:
+        if not ids.any():
             return []
         starts: dict[int, set[int]] = {}
         for n, (known, item, offset) in self.pieces.items():
@@ -149,12 +155,12 @@ class Matcher:
                     best = (d, a + end - size, size)
             if best[0] <= k:
                 out.append((item_id, best[0], m, best[1], best[2]))
-        return sorted(out)
+        return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size, so that what is sent to the executors never grows with the table."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most)
     for k in range(n):
@@ -162,32 +168,42 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield [(r["id"], r["text"]) for r in own.orderBy("id", "text").collect()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: float = ERRORS, least: int = LEAST_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: float = ERRORS, most: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item whose passage it holds: ``SCHEMA``."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], SCHEMA)
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Matcher(block, errors, least))
+    for block in blocks(benchmark, most=most):
+        sent = spark.sparkContext.broadcast(Matcher(block, errors))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = sent.value
-            for b in batches:
+            for b in pieces(batches, 1):
                 got = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in matcher.search(t)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)], names)
 
-        out = out.unionByName(src.mapInArrow(run, SCHEMA))
+        out = out.unionByName(src.mapInArrow(lean(run), SCHEMA))
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark passage, all columns kept; rows without doc_id are judged by their own text."""
-    named = docs.withColumn("_row", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    hits = find(named.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    hits = Scratch(docs.sparkSession, "decontamination").save(hits)
-    return named.join(hits, named["_row"] == hits["_bad"], "left_anti").drop("_row")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", errors: float = ERRORS, most: int = BLOCK_BYTES) -> DataFrame:
+    """Rows whose text holds no benchmark passage, all columns kept; nothing is shuffled."""
+    spark = docs.sparkSession
+
+    def clean(sent: Broadcast) -> Column:
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            matcher = sent.value
+            for whole in columns:
+                yield pa.array([not matcher.search(t) for c in parts(whole) for t in c.to_pylist()], pa.bool_())
+            free_memory()
+
+        return F.arrow_udf(run, "boolean")(F.col(text_col).cast("string"))
+
+    for block in blocks(benchmark, most=most):
+        docs = docs.where(clean(spark.sparkContext.broadcast(Matcher(block, errors))))
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,23 @@
 
 Each pass orders the distinct vectors lexicographically by the signs of many
 random projections and compares every vector with a bounded window of its
-neighbours, in blocks of matrix products in double precision.  Pairs that reach
+neighbours, in blocks of matrix products in double precision.  Blocks are cut
+by place in the order and hold the window before their first row as well, so
+no border hides a pair, whatever the number of partitions.  Pairs that reach
 the threshold are united across passes.  Where more vectors share a pass's first
 ``PREFIX`` signs than a window holds, those of different components are then
-compared exactly, tile against tile; so, but for the ends of partitions, a pass
-finds each pair that shares these signs, however dense its surroundings are.
-Links are counted exactly inside each component, tile against tile; no partner
-is capped.
+compared exactly, tile against tile; so a pass finds each pair that shares
+these signs, however dense its surroundings are and however many rows there
+are.  Links are counted exactly inside each component, tile against tile; no
+partner is capped.
 
 Defined results: vectors that are null, empty, zero, or hold a null or
 non-finite component link with nothing and are their own component; vectors of
-different lengths do not link; exact copies are one class whose rows all link
-with each other; repeated ids each get a row, and a null id names a component
-only if all its members are null; an empty table gives an empty result; other
-columns are ignored.
+different lengths do not link; components are taken in the column's own
+precision, products in double precision; exact copies are one class whose rows
+all link with each other; repeated ids each get a row, and a null id names a
+component only if all its members are null; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 from .components import connected_components
 from .simhash import _Forest
 
-#: Cosine that links, passes, sign bits of a pass, neighbours on either side, vectors in a tile, seed.
-COSINE, PASSES, BITS, WINDOW, TILE, SEED = 0.95, 16, 60, 256, 1024, 5
+#: Cosine that links, passes, sign bits of a pass, neighbours on either side, vectors in a tile, rows of a block of the order, seed.
+COSINE, PASSES, BITS, WINDOW, TILE, BLOCK, SEED = 0.95, 16, 60, 256, 1024, 4096, 5
 #: Signs that share a crowded cell (a pair at COSINE shares them in one of PASSES with probability 0.99), vectors in its tiles.
 PREFIX, CELL_TILE = 13, 4096
 
@@ -52,7 +55,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(vectors: DataFrame, passes: int) -> DataFrame:
-    """``(pass, key, cid, v)``: a row for each pass, the key being the pass's sign bits as a number."""
+    """``(pass, key, cid, d)``: a row for each pass, the key being the pass's sign bits as a number, ``d`` the vector's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -71,62 +74,61 @@ def _keys(vectors: DataFrame, passes: int) -> DataFrame:
                     x = np.stack([rows[i] for i in at[k : k + 512]])
                     signs = (x @ planes[d] > 0).reshape(len(x), passes, BITS)
                     keys[at[k : k + 512]] = signs @ weights
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(keys.ravel(), passes).cast(pa.list_(pa.int64()))], ["cid", "v", "keys"])
+            listed = pa.FixedSizeListArray.from_arrays(keys.ravel(), passes).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), listed], ["cid", "d", "keys"])
 
-    keyed = vectors.mapInArrow(run, "cid long, v array<float>, keys array<long>")
-    return keyed.select(F.posexplode("keys").alias("pass", "key"), "cid", "v")
+    keyed = vectors.select("cid", "v").mapInArrow(lean(run), "cid long, d int, keys array<long>")
+    return keyed.select(F.posexplode("keys").alias("pass", "key"), "cid", "d")
 
 
 def _windows(cosine: float, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_id, held_v, held_p = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(1).to_numpy(zero_copy_only=False)
-            which = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = _rows(b.column(2))
-            size = np.array([len(r) for r in rows])
-            which = which * (1 << 32) + size  # neighbours are of one pass and one length
-            d = int(size.max())
-            if held_v is not None:
-                d = max(d, held_v.shape[1])
-            v = np.zeros((len(rows), d))
-            for i, r in enumerate(rows):
-                v[i, : len(r)] = r
-            v = _unit(v)
-            if held_v is not None:
-                held_v = np.pad(held_v, ((0, 0), (0, d - held_v.shape[1])))
-                ids, which, v = np.concatenate([held_id, ids]), np.concatenate([held_p, which]), np.vstack([held_v, v])
-            old = len(held_id)
-            values, at = np.unique(ids, return_inverse=True)
-            forest = _Forest(len(values))
-            step = 256
-            for k in range(old, len(ids), step):
-                lo = max(0, k - window)
-                hi = min(len(ids), k + step)
-                i, j = np.nonzero(v[k:hi] @ v[lo:hi].T >= cosine)
-                i, j = i + k, j + lo
-                ok = (j < i) & (i - j <= window) & (which[i] == which[j])
-                forest.add(at[i[ok]], at[j[ok]])
-            held_id, held_v, held_p = ids[-window:], v[-window:], which[-window:]
-            if forest.edges:
-                a, c = np.array(forest.edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[c])], ["a", "b"])
+    """Links of a block's rows with the ``window`` rows before them."""
+
+    def run(key, batch):
+        own = np.asarray(batch.column("own"))
+        order = np.argsort(np.asarray(batch.column("place")), kind="stable")
+        ids, own = np.asarray(batch.column("cid"))[order], own[order]
+        v = _unit(np.stack(_rows(batch.column("v")))[order])  # one block is of one length
+        values, at = np.unique(ids, return_inverse=True)
+        forest = _Forest(len(values))
+        first, step = int(np.argmax(own)), 256
+        for k in range(first, len(ids), step):
+            lo, hi = max(0, k - window), min(len(ids), k + step)
+            i, j = np.nonzero(v[k:hi] @ v[lo:hi].T >= cosine)
+            i, j = i + k, j + lo
+            ok = (j < i) & (i - j <= window)
+            forest.add(at[i[ok]], at[j[ok]])
+        a, c = np.array(forest.edges, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(values[a], pa.int64()), "b": pa.array(values[c], pa.int64())})
 
     return run
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Verified edges ``(a, b)`` that connect what the windows of all passes link, of distinct ``vectors(cid, v)``.
+def places(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(pass, d, cid, place)``: the place of each row in its pass's order, from 0 in each pass and length of vector.
 
-    The sort is a range partitioning by (pass, key); a partition's first rows
-    do not see the last ones of the partition before, which other passes make
-    good.
+    The sort is a range partitioning; a row's place is its place in its
+    partition and the sizes of the partitions before, a row for each of those.
     """
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _keys(vectors, passes).repartitionByRange(max(passes, n), "pass", "key").sortWithinPartitions("pass", "key", "cid")
-    return ordered.select("pass", "cid", "v").mapInArrow(_windows(cosine, window), "a long, b long").distinct()
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keys.repartitionByRange(max(16, n), "pass", "d", "key", "cid").sortWithinPartitions("pass", "d", "key", "cid")
+    at = F.monotonically_increasing_id()
+    ordered = scratch.save(ordered.select("pass", "d", "cid", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
+    sizes = ordered.groupBy("pass", "d", "part").agg(F.min("i").alias("lo"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("pass", "d").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = scratch.save(sizes.select("pass", "d", "part", (F.coalesce(before, F.lit(0)) - F.col("lo")).alias("shift")))
+    return ordered.join(F.broadcast(sizes), ["pass", "d", "part"]).select("pass", "d", "cid", (F.col("i") + F.col("shift")).alias("place"))
+
+
+def links(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """Verified edges ``(a, b)`` that connect what the windows of all passes link, of distinct ``vectors(cid, v)``."""
+    block = max(block, window)
+    at = places(_keys(vectors, passes), scratch)
+    number = F.floor(F.col("place") / block).cast("long")
+    also = (F.col("place") % block) >= block - window  # the next block begins with these
+    spots = F.filter(F.array(F.struct(number.alias("block"), F.lit(True).alias("own")), F.when(also, F.struct((number + 1).alias("block"), F.lit(False).alias("own")))), lambda x: x.isNotNull())
+    dealt = at.withColumn("s", F.explode(spots)).select("pass", "d", "s.block", "s.own", "place", "cid").join(vectors.select("cid", "v"), "cid")
+    return dealt.groupBy("pass", "d", "block").applyInArrow(_windows(cosine, window), "a long, b long").distinct()
 
 
 def _across(cosine: float):
@@ -153,7 +155,7 @@ def crowded_links(vectors: DataFrame, comp: DataFrame, scratch: Scratch, cosine:
 
     A vector that ``comp`` does not list is its own component.
     """
-    cells = _keys(vectors, passes).select("cid", F.size("v").alias("d"), "pass", F.shiftright("key", BITS - PREFIX).alias("cell"))
+    cells = _keys(vectors, passes).select("cid", "d", "pass", F.shiftright("key", BITS - PREFIX).alias("cell"))
     cells = scratch.save(cells.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
     n = cells.groupBy("pass", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("n") > window) & (F.col("lo") < F.col("hi")))
     n = scratch.save(n.select("pass", "cell", F.ceil(F.col("n") / CELL_TILE).cast("int").alias("tiles")))
@@ -192,16 +194,17 @@ def _count(cosine: float):
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for each vector."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"))
+    kind = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"))
     ok = F.expr("v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    rows = rows.withColumn("v", F.when(F.coalesce(ok, F.lit(False)), F.transform("v", lambda x: x + F.lit(0.0).cast("float"))))
+    rows = rows.withColumn("v", F.when(F.coalesce(ok, F.lit(False)), F.transform("v", lambda x: x + F.lit(0.0).cast(kind))))
     # exact copies are one class, named by a strong hash of the components
     name = F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))).cast("binary"))
     rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), name))
     members = scratch.save(rows.select("vec_id", "h"))
     classes = rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     classes = scratch.save(classes.withColumn("cid", F.xxhash64("h")))
-    edges = scratch.save(links(classes.select("cid", "v"), cosine, passes, window))
+    edges = scratch.save(links(classes.select("cid", "v"), scratch, cosine, passes, window))
     united = lambda e: scratch.save(connected_components(e, scratch).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
     comp = united(edges)
     more = crowded_links(classes.select("cid", "v"), comp, scratch, cosine, passes, window)

@@ -4,16 +4,19 @@ Every document becomes a vector of statistics of its whole text.  Random
 Fourier features approximate a Gaussian kernel over them; each partition adds
 up its normal equations, the sums are solved for ridge scores on the driver
 (a matrix of fixed size), and isotonic regression over a histogram of all
-calibration rows turns scores into probabilities.
+calibration rows turns scores into probabilities: between the middles of two
+pooled blocks the score runs from one block's share to the next one's.
 
 Learning rows are split by a hash of their id: one part fits the ridge, the
 other the calibration, so scores are calibrated on rows the ridge has not seen.
 
 Defined results: null and empty texts get the statistics of an empty text and
-a score; repeated rows each get a row; labelled ids that occur twice count
-twice; a null doc_id is scored and never learned from; with no labels, or one
+a score; very long texts are read whole; equal statistics tie; repeated rows
+each get a row; labelled ids that occur twice count twice; a null doc_id is
+scored, never learned from, and has a null ``held_out``; with no labels, or one
 class only, the score is the smoothed share of label 1 (0.5 without labels); an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored, or kept by
+``keep_good``, which judges every row by its own text.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free_memory, lean, parts, pieces, table
 
 #: Random features, ridge weight, bins of the calibration's histogram, seed.
 FEATURES, RIDGE, BINS, SEED = 256, 1e-3, 512, 7
@@ -70,12 +73,12 @@ def statistics(text: bytes | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             x = np.array([statistics(t) for t in b.column(1).cast(pa.binary()).to_pylist()], np.float64).reshape(-1, N_STATS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(x.ravel(), N_STATS).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, x array<double>")
+    return src.mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 class Fourier:
@@ -122,21 +125,27 @@ def normal_equations(rows: DataFrame, phi: Fourier) -> tuple[np.ndarray, np.ndar
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["i", "v"])
 
-    parts = rows.select("x", "y").mapInArrow(run, "i int, v array<double>")
-    got = parts.repartition(8, "i").mapInArrow(summed, "i int, v array<double>").collect()  # one matrix of fixed size
+    sums = rows.select("x", "y").mapInArrow(lean(run), "i int, v array<double>")
+    # each of the matrix's rows is summed by one task
+    got = sums.repartition("i").mapInArrow(summed, "i int, v array<double>").collect()  # one matrix of fixed size
     full = np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
     return full[:, :-1], full[:, -1]
 
 
-def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators: non-decreasing shares of ones over ordered bins, weighted by their counts."""
+def isotonic(total: np.ndarray, ones: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators over bins in order of ``at``: the mean place and the smoothed share of ones of each block.
+
+    Places and shares both rise.
+    """
+    prior = (ones.sum() + 0.5) / (total.sum() + 1)  # half a row of it in each bin
     blocks: list[list[float]] = []
-    for n, k in zip(total.tolist(), ones.tolist()):
-        blocks.append([n, k, 1])
+    for n, k, x in zip((total + 0.5).tolist(), (ones + 0.5 * prior).tolist(), at.tolist()):
+        blocks.append([n, k, n * x])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            n2, k2, m2 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + n2, blocks[-1][1] + k2, blocks[-1][2] + m2]
-    return np.concatenate([np.full(int(m), (k + 0.5) / (n + 1)) for n, k, m in blocks]) if blocks else np.zeros(0)
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
+    n, k, x = np.array(blocks, float).reshape(-1, 3).T
+    return x / n, k / n
 
 
 class Model:
@@ -149,11 +158,10 @@ class Model:
         return self.phi(x) @ self.beta
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """The calibrated share of label 1; beyond the outermost blocks theirs."""
         if self.phi is None or not len(x):
             return np.full(len(x), self.constant)
-        r = self.raw(x)
-        # the calibrated share, and a little of the ridge score so that no two scores tie needlessly
-        return np.clip(0.98 * np.interp(r, self.at, self.share) + 0.02 * np.clip(r, 0, 1), 0, 1)
+        return np.clip(np.interp(self.raw(x), self.at, self.share), 0, 1)
 
 
 def learn(rows: DataFrame) -> Model:
@@ -181,8 +189,7 @@ def learn(rows: DataFrame) -> Model:
     fit = rows.where("part = 1") if n > n0 else rows
     hist = fit.select("x", "y").mapInArrow(bins, "k int, y double").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).orderBy("k").collect()
     k, n, y = (np.array([r[i] for r in hist], float) for i in range(3))
-    model.at = (k + 0.5) / BINS * 2 - 0.5
-    model.share = isotonic(n, y)
+    model.at, model.share = isotonic(n, y, (k + 0.5) / BINS * 2 - 0.5)
     return model
 
 
@@ -210,17 +217,36 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             s = model.score(_matrix(b, "x")) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    scored = stats.select("doc_id", "x").mapInArrow(lean(run), "doc_id long, score double")
     return scored.select(
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier does not reject; every column is kept."""
-    bad = score(docs, labels).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_bad"))
-    bad = Scratch(docs.sparkSession, "quality").save(bad.distinct())
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows whose text the classifier does not reject; every column is kept.
+
+    Only labelled rows are shuffled, to learn from; each row is then judged
+    where it is, by its own text.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("_known")).where("_known is not null").distinct()
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scratch = Scratch(spark, "quality")
+    stats = scratch.save(with_statistics(own.join(known, F.col("doc_id") == F.col("_known"), "left_semi")))
+    model = fit(spark, stats, labels)
+    scratch.drop(stats)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in columns:
+            good: list[np.ndarray] = []
+            for c in parts(whole):
+                x = np.array([statistics(t) for t in c.cast(pa.binary()).to_pylist()], np.float64).reshape(-1, N_STATS)
+                good.append(model.score(x) >= 0.5)
+            yield pa.array(np.concatenate(good) if good else np.zeros(0, bool))
+        free_memory()
+
+    return docs.where(F.arrow_udf(run, "boolean")(F.col(text_col).cast("string")))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ the limit (repeated rows of a hot key), a further hash of the row's content and
 of its number in its task spreads them, so they split like others.  A single
 row above the limit has a shard to itself, the only shard that may exceed it.
 
-Defined results: null and empty texts count 0 bytes; a null key hashes like
-the empty string; an empty table has no shards; other columns are ignored by
-``assign`` and kept by ``write_shards``.
+Defined results: null and empty texts count 0 bytes; very long texts are
+measured whole; a null key hashes like the empty string; rows of one key share
+a shard unless the key is hot; an empty table has no shards; other columns are
+ignored by ``assign`` and kept by ``write_shards``, whose folders are named by
+``shard``, with underscores before it if ``docs`` has such a column.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 #: Bytes of UTF-8 text in a shard at most.
 LIMIT = 1 << 20
@@ -96,10 +98,12 @@ def _place(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` in one folder for each shard; each row goes to the shard that its own number was assigned."""
     scratch = Scratch(docs.sparkSession, "sharding")
-    numbered = scratch.save(docs.withColumn("_n", F.monotonically_increasing_id()))
-    place = _place(scratch.save(_rows(numbered, F.col("_n"), id_col, text_col)), limit, scratch)
-    put = numbered.join(place.select(F.col("n").alias("_n"), "shard"), "_n").drop("_n")
-    put.repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    row, shard, n = fresh(docs, "row", "shard", "n")
+    numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    place = _place(scratch.save(_rows(numbered, F.col(row), id_col, text_col)), limit, scratch)
+    place = place.select(F.col("n").alias(n), F.col("shard").alias(shard))
+    put = numbered.join(place, numbered[row] == place[n]).drop(row, n)
+    put.repartition(shard).write.partitionBy(shard).option("compression", "zstd").parquet(path)
     scratch.drop(numbered)
 
 

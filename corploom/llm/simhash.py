@@ -1,15 +1,16 @@
 """Near-duplicate detection on 64-bit SimHash fingerprints.
 
 Fingerprints are compared exactly, tile against tile, with numpy exclusive-or
-and bit counts.  A tile holds fingerprints of one population count, so tile
-pairs whose counts differ by more than the radius are never formed; inside a
-pair, blocks whose upper halves' counts differ by more than it are skipped too.
+and bit counts.  A tile holds fingerprints of one cell: one population count of
+the upper half and one of the lower.  Tile pairs whose counts differ by more
+than the radius, the halves' differences added up, are never formed.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; a text of fewer words than a shingle is one shingle; repeated rows each
-get a row; a null doc_id gets a row and never names a component unless all
-members are null; an empty table gives an empty result; other columns are
-ignored.
+other; a text of fewer words than a shingle is one shingle; very long texts are
+hashed whole and summed up in parts; repeated rows each get a row; a null
+doc_id gets a row and never names a component unless all members are null; an
+empty table gives an empty result; other columns are ignored, or kept by
+``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, lean, pieces, table, text_key
 from .components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -44,7 +45,7 @@ def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
     return [h(line[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())]
 
 
-def fingerprints(texts: list[bytes | None], width: int = 3, at_once: int = 200_000) -> np.ndarray:
+def fingerprints(texts: list[bytes | None], width: int = 3, at_once: int = 20_000) -> np.ndarray:
     """Signed 64-bit fingerprints; bit set where over half the hashes have it."""
     out = np.zeros(len(texts), np.uint64)
     held: list[list[int]] = []
@@ -81,15 +82,15 @@ def fingerprints(texts: list[bytes | None], width: int = 3, at_once: int = 200_0
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row."""
+    """``(doc_id, h, fp)`` for every row; ``h`` tells apart the texts of one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = fingerprints(b.column(1).cast(pa.binary()).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        for b in pieces(batches, 2):
+            fp = fingerprints(b.column(2).cast(pa.binary()).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "h", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(lean(run), "doc_id long, h long, fp long")
 
 
 class _Forest:
@@ -123,74 +124,58 @@ class _Forest:
             root[:] = up
 
 
-def linked(a: np.ndarray, b: np.ndarray, radius: int, block: int = 64) -> list[tuple[int, int]]:
+def linked(a: np.ndarray, b: np.ndarray, radius: int, block: int = 64, width: int = 8192) -> list[tuple[int, int]]:
     """Edges of a spanning forest of all links between fingerprints of a and b."""
-    half = lambda x: np.bitwise_count(x >> np.uint64(32))
-    a, b = (x[np.argsort(half(x), kind="stable")] for x in (a, b))
-    ca, cb = half(a).astype(np.int64), half(b).astype(np.int64)
-    both = np.concatenate([a, b])
-    values, at = np.unique(both, return_inverse=True)
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     ia, ib = at[: len(a)], at[len(a) :]
     forest = _Forest(len(values))
     for k in range(0, len(a), block):
-        rows = a[k : k + block]
-        lo, hi = np.searchsorted(cb, [ca[k] - radius, ca[min(k + block, len(a)) - 1] + radius + 1])
-        if lo < hi:
-            near = np.bitwise_count(rows[:, None] ^ b[None, lo:hi]) <= radius
-            i, j = np.divmod(np.flatnonzero(near), hi - lo)
-            forest.add(ia[k + i], ib[lo + j])
+        for m in range(0, len(b), width):
+            near = np.bitwise_count(a[k : k + block, None] ^ b[None, m : m + width]) <= radius
+            i, j = np.nonzero(near)
+            if len(i):
+                forest.add(ia[k + i], ib[m + j])
     return [(int(values[x].view(np.int64)), int(values[y].view(np.int64))) for x, y in forest.edges]
 
 
-def links(fps: DataFrame, radius: int = 3, tile_rows: int = 2048, tiles: int = 64, most_rows: int = 131_072) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, tile_rows: int = 65_536) -> DataFrame:
     """Edges ``(a, b)`` that connect what the links of distinct ``fps(fp)`` connect.
 
-    A tile is one array of at most about ``most_rows`` fingerprints (1 MB);
-    about ``tiles`` of them, or more beyond that size, are paired.
+    A tile is one array of about ``tile_rows`` fingerprints (512 KB) at most.
+    Each tile names the pairs that it is part of by itself, from the number of
+    tiles in each cell (33 x 33 cells); the driver holds no list of pairs.
     """
-    bits = F.bit_count("fp")
-    hist = {r[0]: r[1] for r in fps.groupBy(bits.alias("p")).count().collect()}  # at most 65 rows
-    goal = min(most_rows, max(tile_rows, -(-sum(hist.values()) // tiles)))
-    parts = {p: -(-n // goal) for p, n in hist.items()}
-    pairs = {
-        (p, c): [
-            (p, c, q, d)
-            for q in range(p, p + radius + 1)
-            for d in range(c if q == p else 0, parts.get(q, 0))
-        ]
-        for p in parts
-        for c in range(parts[p])
-    }
-    partner: dict[tuple[int, int], list[int]] = {t: [] for t in pairs}
-    number = 0
-    for own in pairs.values():
-        for p, c, q, d in own:
-            partner[p, c].append(2 * number)
-            if (p, c) != (q, d):
-                partner[q, d].append(2 * number + 1)
-            number += 1
-    if not number:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    spark = fps.sparkSession
-    plan = spark.createDataFrame([(p, c, v) for (p, c), v in partner.items()], "p int, c int, pairs array<long>")
-    count = F.create_map(*[F.lit(int(x)) for pn in parts.items() for x in pn])
+    hi, lo = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    sized = fps.groupBy(hi.alias("hi"), lo.alias("lo")).count().collect()  # 1089 cells at most
+    cells = fps.sparkSession.createDataFrame([(r["hi"], r["lo"], -(-r["count"] // tile_rows)) for r in sized], "hi int, lo int, parts int")
     tiled = (
-        fps.select("fp", bits.alias("p"))
-        .withColumn("c", F.pmod(F.xxhash64("fp"), F.element_at(count, F.col("p"))).cast("int"))
-        .groupBy("p", "c").agg(F.collect_list("fp").alias("fps"))
-    )
-    dealt = (
-        tiled.join(F.broadcast(plan), ["p", "c"])  # one row for each tile; tiles are bounded by the goal above
-        .select(F.explode("pairs").alias("k"), "fps")
-        .select(F.expr("shiftright(k, 1)").alias("pair"), "fps")
+        fps.select("fp", hi.alias("hi"), lo.alias("lo")).join(F.broadcast(cells), ["hi", "lo"])
+        .withColumn("t", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .groupBy("hi", "lo", "t").agg(F.collect_list("fp").alias("fps"))
     )
+    # of two cells the first is the one with the lesser (hi, lo); each pair of tiles has one key
+    steps = [(x, y) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius]
+    near = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]))
+    other = cells.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("parts").alias("parts2"))
+    met = tiled.select("*", near.alias("d")).select("hi", "lo", "t", "fps", (F.col("hi") + F.col("d.x")).alias("hi2"), (F.col("lo") + F.col("d.y")).alias("lo2"))
+    met = met.join(F.broadcast(other), ["hi2", "lo2"]).withColumn("t2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    own, its = F.struct("hi", "lo", "t"), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"), F.col("t2").alias("t"))
+    dealt = met.select(F.least(own, its).alias("p"), F.greatest(own, its).alias("q"), "fps")
 
     def run(key, batch):
         arrays = [np.asarray(x.values).view(np.uint64) for x in batch.column("fps").combine_chunks()]
         got = linked(arrays[0], arrays[-1], radius)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
-    return dealt.groupBy("pair").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("p", "q").applyInArrow(run, "a long, b long")
+
+
+def components(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """``(fp, component)`` of the fingerprints that link with another one."""
+    edges = scratch.save(links(prints.select("fp").distinct(), radius))
+    comp = scratch.save(connected_components(edges, scratch).withColumnRenamed("node", "fp"))
+    scratch.drop(edges)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
@@ -198,12 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(with_fingerprints(docs, id_col, text_col, width))
     least = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = scratch.save(links(least.select("fp"), radius))
-    comp = connected_components(edges, scratch).withColumnRenamed("node", "fp")
-    comp = scratch.save(comp)
-    scratch.drop(edges)
-    joined = least.join(comp, "fp")
-    first = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    comp = components(least, radius, scratch)
+    first = least.join(comp, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     named = comp.join(first, "component").select("fp", "component_id")
     ids = scratch.save(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     scratch.drop(comp, least)
@@ -212,14 +193,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the least doc_id, all columns kept.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+    """One row of each component, all columns kept: the one of the least doc_id, null last.
 
-    Of repeated rows with that doc_id one stays; rows without doc_id stay.
+    Rows are told apart by doc_id and text, not by doc_id alone: of two texts
+    under one doc_id that are not alike both stay.  Of rows alike in both, and
+    of texts alike under the least doc_id, one stays.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(with_fingerprints(docs, id_col, text_col, width))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
+    least = scratch.save(prints.groupBy("fp").agg(F.min(order).alias("r")))
+    comp = components(least, radius, scratch)
+    chosen = least.join(comp, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("r").alias("r"))
+    k, h = fresh(docs, "k", "h")
+    named = docs.withColumns({k: F.col(id_col).cast("long"), h: text_key(F.col(text_col))})
+    win = scratch.save(chosen.select(F.col("r.doc_id").alias("_" + k), F.col("r.h").alias("_" + h)))
+    kept = named.join(win, named[k].eqNullSafe(win["_" + k]) & (named[h] == win["_" + h]), "left_semi")
+    # rows that repeat whole: only where there are any is one of each chosen, on the join's own partitioning
+    again = prints.groupBy("doc_id", "h").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([k, h])
+    scratch.drop(prints, least, comp)
+    return kept.select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

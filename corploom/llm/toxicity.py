@@ -5,16 +5,19 @@ hashed into one table; a text is the mean of its words; a linear softmax reads
 the text.  Table and softmax are trained jointly in numpy, so a misspelling
 never seen shares most of its n-gram vectors with the word it stands for.
 
-Learning uses a bounded sample of labelled rows (``SAMPLE``, a parameter): the
-rows of least hash, half of them of each class where there are enough.  Every
-document is scored over its whole text.
+Learning uses a bounded sample of labelled rows (``SAMPLE`` rows and
+``SAMPLE_BYTES`` of text, parameters): the rows of least hash, half of them of
+each class where there are enough, those whose text would go beyond the bytes
+left out.  Every document is scored over its whole text.
 
 Because the softmax is linear in the mean, a word adds a fixed number to a
 text's margin; workers keep those numbers for words they have met.
 
-Defined results: null and empty texts are scored by the bias alone; repeated
-rows each get a row; a null doc_id is scored and never learned from; without
-labels, or with one class only, the score is the smoothed share of label 1
+Defined results: null and empty texts are scored by the bias alone; very long
+texts are scored whole; texts of the same words tie; repeated rows each get a
+row; a null doc_id is scored, never learned from, and has a null ``held_out``;
+of several texts under one labelled doc_id the one of least hash is learned
+from; a doc_id labelled both ways counts both ways; without labels, or with one class only, the score is the smoothed share of label 1
 (0.5 without labels); an empty table gives an empty result; other columns are
 ignored.
 """
@@ -29,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, pieces, table, text_key
 from .quality import remainder
 
-#: Labelled rows to learn from, slots of the table, width of a vector, epochs, damping, seed.
-SAMPLE, SLOTS, WIDTH, EPOCHS, DAMPING, SEED = 4000, 1 << 18, 4, 80, 3.0, 11
+#: Labelled rows to learn from and bytes of their texts, slots of the table, width of a vector, epochs, damping, seed.
+SAMPLE, SAMPLE_BYTES, SLOTS, WIDTH, EPOCHS, DAMPING, SEED = 4000, 24 << 20, 1 << 18, 4, 80, 3.0, 11
 #: Lengths of n-grams taken everywhere in <word>, and at its start only.
 GRAMS, STARTS = (4, 5, 6), (3, 7, 8, 9, 10)
 #: Words of a share p of the sample weigh COMMON / (COMMON + p) in the mean.
 COMMON = 1e-3
-#: Words that a worker remembers, and texts that it cuts into words at once.
-MEMORY, AT_ONCE = 400_000, 256
+#: Words that a worker remembers, and bytes of text that it cuts into words at once.
+MEMORY, AT_ONCE = 200_000, 1 << 19
 
 _WORDS = re.compile(r"\w+")
 
@@ -109,6 +112,11 @@ class Model:
                 z[k] = sum(map(known.__getitem__, ws)) / len(ws)
         return 1 / (1 + np.exp(-np.clip(z + self.bias[1] - self.bias[0], -30, 30)))
 
+    def forget(self) -> None:
+        """Drop the margins of words met so far."""
+        for k in ("margin", "slot_margin"):
+            self.__dict__.pop(k, None)
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("margin", "slot_margin")}
 
@@ -170,7 +178,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
     """Fit on the labels whose crc32 remainder by 5 is not 0."""
     y = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     y = y.where(remainder("doc_id", 5) != 0).distinct()
@@ -178,25 +186,36 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         y.where(F.col("y") == c).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample // 2)  # a bounded sample, the same each run
         for c in (0, 1)
     ]
-    ids = Scratch(docs.sparkSession, "toxicity").save(picked[0].unionByName(picked[1]))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = chosen.dropDuplicates(["doc_id", "y"]).orderBy("doc_id", "y").select("text", "y").toArrow()  # at most `sample` texts
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    ids = scratch.save(picked[0].unionByName(picked[1]))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("h"))
+    # sizes first, a row for each label picked; then the texts within the bound
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sized = own.select("doc_id", "h", size.alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("h", "n")).alias("r"))
+    left, chosen = most, []
+    for r in sized.select("doc_id", "y", "r.h", "r.n").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id", "y").collect():  # at most `sample` rows
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append((r["doc_id"], r["y"], r["h"]))
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int, h long")
+    rows = own.join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["doc_id", "y"]).orderBy("doc_id", "y").select("text", "y").toArrow()
     return train(rows.column("text").to_pylist(), rows.column("y").to_pylist())
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(learn(src, labels, sample))  # a table of fixed size, 4 MB
+    sent = docs.sparkSession.sparkContext.broadcast(learn(src, labels, sample, most))  # a table of fixed size, 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(k, AT_ONCE)
+        try:
+            for b in pieces(batches, 1, AT_ONCE):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        finally:
+            model.forget()
 
-    return src.mapInArrow(run, "doc_id long, score double").select(
+    return src.mapInArrow(lean(run), "doc_id long, score double").select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 

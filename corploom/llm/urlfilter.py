@@ -8,8 +8,9 @@ a carried block, for the page itself and, where an alias is explicitly allowed,
 for its whole component.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
-fits no rule and is nobody's alias; null html has no links; repeated rows each
-get a row; an empty table gives an empty result; other columns are ignored.
+fits no rule and is nobody's alias; null html has no links; very long html is
+read whole; of two fitting rules of one length the one whose host and path
+sort last decides; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,17 +73,32 @@ def _folder(base: Column) -> Column:
 
 
 def _absolute() -> Column:
-    """Column ``link`` as a full url; the page's ``scheme``, ``host`` and ``folder`` fill in."""
+    """Column ``link`` as a full url; the page's ``u``, ``scheme``, ``host`` and ``folder`` fill in."""
     link, host = F.col("link"), F.concat("scheme", F.lit("://"), "host")
+    folder = F.when(F.col("folder") != "", F.col("folder")).otherwise(F.concat(host, F.lit("/")))
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat("scheme", F.lit(":"), link))
         .when(link.startswith("/"), F.concat(host, link))
-        .when((link != "") & ~link.rlike(r"^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(F.when(F.col("folder") != "", F.col("folder")).otherwise(F.concat(host, F.lit("/"))), link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract("u", r"^([^?#]*)", 1), link))
+        .when((link != "") & ~link.rlike(r"^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(folder, link))
     )
 
 
-_CANON = r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*>"
+def _without_dots(url: Column) -> Column:
+    """A url whose path has no ``.`` and ``..`` segments left; beyond the root ``..`` has no effect."""
+    whole = r"(?s)^(.*?://[^/?#]*)(/[^?#]*)?(.*)$"
+    path = F.regexp_extract(url, whole, 2)
+    kept = F.aggregate(
+        F.split(F.substring(path, F.lit(2), F.length(path)), "/"), F.array().cast("array<string>"),
+        lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.lit(0), F.size(held) - 1))).when(s == ".", held).otherwise(F.concat(held, F.array(s))),
+    )
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise("")
+    made = F.concat(F.regexp_extract(url, whole, 1), F.lit("/"), F.array_join(kept, "/"), end, F.regexp_extract(url, whole, 3))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), made).otherwise(url)
+
+
+_CANON = r"(?i)<link\b(?=[^>]*\brel\s*=\s*(?:canonical(?=[\s>/])|\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']))[^>]*>"
 _META = r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>"
 
 
@@ -102,7 +118,8 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     link = F.regexp_replace(F.trim(F.when(F.col("canon"), href).otherwise(goal)), "&amp;", "&")
     found = tags.select("u", link.alias("link"))
     full = found.select("u", "link", host_of(F.col("u")).alias("host"), F.substring_index("u", "://", 1).alias("scheme"), _folder(F.col("u")).alias("folder"))
-    full = Scratch(pages.sparkSession, "urlfilter").save(full.select("u", _absolute().alias("to")))  # links only: small
+    full = full.select("u", _absolute().alias("to")).select("u", _without_dots(F.col("to")).alias("to"))
+    full = Scratch(pages.sparkSession, "urlfilter").save(full)  # links only: small
     return full.select(_name(F.col("u")).alias("a"), _name(F.col("to")).alias("b"))
 
 

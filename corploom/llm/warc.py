@@ -2,21 +2,29 @@
 
 Payload bytes are stored once in a table keyed by their SHA-256, exact record
 headers in a table of their own, and a join reconstructs the records.  Every
-payload read back is hashed again and must bear out its key.
+payload read back is hashed again and must bear out its key; a record whose
+payload is not there is an error.
+
+Each record has an id of its own, made of its content and its place in the
+table.  Page ids, and urls as they were, stand in fields of their own, since a
+record id must not repeat and a target URI must not hold line ends (they are
+written ``%0D`` and ``%0A`` there).
 
 Defined results: a null payload is the empty one; a null url is the empty
-target; of equal large payloads those rows that carry the greatest record id
-are responses (repeated rows with one id alike), all others revisit it; null
-ids count as least; an empty table makes an empty archive; other columns are
-ignored.
+target; very long payloads are stored whole; of equal large payloads those rows
+that carry the greatest page id are responses (repeated rows with one id alike),
+all others revisit one of them; null ids count as least; an empty table makes an
+empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir, table
+from .common import Scratch, free_shuffles, table
 
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 1000
@@ -27,12 +35,14 @@ def _http(length: Column) -> Column:
     return F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), length.cast("string"), F.lit(_END * 2))
 
 
-def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
+def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = LEAST_BYTES, date: datetime | None = None) -> None:
     """Write one WARC record per row as two Parquet tables.
 
     headers: ``key`` (SHA-256 of the payload), ``header`` (the record's exact
     WARC header and, for responses, HTTP header).  payloads: ``key, payload``.
+    ``date`` is when the pages were fetched; if it is not given, now.
     """
+    when = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
@@ -42,28 +52,33 @@ def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_co
         "id", "url", F.length("payload").cast("long").alias("n"),
         F.unhex(F.sha2("payload", 256)).alias("key"), F.sha1("payload").alias("sha1"), "payload",
     )
-    lean = rows.drop("payload")
+    # written once, so that record ids stay as they are if a task runs again
+    known = Scratch(pages.sparkSession, "warc")
+    told = F.concat_ws(" ", F.monotonically_increasing_id().cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("-")), "sha1", "url")
+    lean = known.save(rows.drop("payload").withColumn("name", F.regexp_replace(F.md5(told.cast("binary")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "urn:uuid:$1-$2-$3-$4-$5")))
     # the id that stands for each payload: partially aggregated, so copies meet as one row for each task
     least_id = -(1 << 63)
     first = lean.groupBy("key").agg(
-        F.max(F.struct(F.coalesce("id", F.lit(least_id)).alias("id"), "url")).alias("r")
-    ).select(F.col("key").alias("k"), F.col("r.id").alias("first_id"), F.col("r.url").alias("first_url"))
-    known = Scratch(pages.sparkSession, "warc")
+        F.max(F.struct(F.coalesce("id", F.lit(least_id)).alias("id"), "url", "name")).alias("r")
+    ).select(F.col("key").alias("k"), F.col("r.id").alias("first_id"), F.col("r.url").alias("first_url"), F.col("r.name").alias("first_name"))
     first = known.save(first)
     joined = lean.join(first, lean["key"] == first["k"])
     response = (F.col("n") < least_bytes) | (F.coalesce("id", F.lit(least_id)) == F.col("first_id"))
     kind = F.when(response, "response").otherwise("revisit")
     http = F.when(response, _http(F.col("n"))).otherwise(F.lit(f"HTTP/1.1 200 OK{_END}{_END}"))
-    uri = lambda c: F.concat(F.lit("urn:x-page:"), c.cast("string"))
+    target = lambda u: F.replace(F.replace(u, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat(
         F.lit(f"WARC/1.1{_END}WARC-Type: "), kind,
-        F.lit(f"{_END}WARC-Record-ID: <"), F.coalesce(uri(F.col("id")), F.lit("urn:x-page:")),
-        F.lit(f">{_END}WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", "%0A"),
+        F.lit(f"{_END}WARC-Record-ID: <"), F.col("name"),
+        F.lit(f">{_END}WARC-Date: {when}{_END}WARC-Target-URI: "), target(F.col("url")),
         F.lit(f"{_END}WARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.lit(f"{_END}X-Payload-Length: "), F.col("n").cast("string"),
+        F.when(F.col("id").isNotNull(), F.concat(F.lit(f"{_END}X-Page-Id: "), F.col("id").cast("string"))).otherwise(""),
+        F.when(F.col("url").rlike(r"[\r\n]"), F.concat(F.lit(f"{_END}X-Target-Base64: "), F.regexp_replace(F.base64(F.encode("url", "UTF-8")), r"\s", ""))).otherwise(""),
         F.when(response, "").otherwise(F.concat(
             F.lit(f"{_END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}WARC-Refers-To: <"),
-            uri(F.col("first_id")), F.lit(f">{_END}WARC-Refers-To-Target-URI: "), F.regexp_replace("first_url", "[\r\n]", "%0A"),
+            F.col("first_name"), F.lit(f">{_END}WARC-Refers-To-Target-URI: "), target(F.col("first_url")),
+            F.when(F.col("first_id") != least_id, F.concat(F.lit(f"{_END}X-Refers-To-Page-Id: "), F.col("first_id").cast("string"))).otherwise(""),
         )),
         F.lit(f"{_END}Content-Type: application/http; msgtype=response{_END}Content-Length: "),
         F.when(response, F.length(http) + F.col("n")).otherwise(F.length(http)).cast("string"),
@@ -76,7 +91,7 @@ def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_co
     once.join(stand, ["_id", "k"], "left_semi").dropDuplicates(["_id", "k"]).select(F.col("k").alias("key"), "payload").write.option(
         "compression", "zstd"
     ).parquet(payloads_path)
-    known.drop(first)
+    known.drop(first, lean)
 
 
 def read_headers(spark: SparkSession, headers_path: str) -> DataFrame:
@@ -86,12 +101,12 @@ def read_headers(spark: SparkSession, headers_path: str) -> DataFrame:
     number = lambda c: F.when(c != "", c).cast("long")
     return spark.read.schema("key binary, header binary").parquet(headers_path).select(
         "key", "header",
-        number(field("WARC-Record-ID", r"<urn:x-page:([-\d]*)>")).alias("page_id"),
-        field("WARC-Target-URI", r"([^\r]*)").alias("url"),
+        number(field("X-Page-Id", r"(-?\d+)")).alias("page_id"),
+        F.coalesce(F.decode(F.unbase64(F.nullif(field("X-Target-Base64", r"([^\r]*)"), F.lit(""))), "UTF-8"), field("WARC-Target-URI", r"([^\r]*)")).alias("url"),
         F.regexp_extract(text, r"^WARC/1\.1\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
         field("WARC-Payload-Digest", r"sha1:([0-9a-f]*)").alias("payload_digest"),
         number(field("X-Payload-Length", r"(\d+)")).alias("payload_bytes"),
-        number(field("WARC-Refers-To", r"<urn:x-page:([-\d]+)>")).alias("refers_to"),
+        number(field("X-Refers-To-Page-Id", r"(-?\d+)")).alias("refers_to"),
     )
 
 
@@ -106,25 +121,23 @@ def read_payloads(spark: SparkSession, payloads_path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, headers_path: str, payloads_path: str) -> DataFrame:
-    """Original records: the parsed header, ``payload`` and the exact ``record`` bytes."""
+    """Original records: the parsed header, ``payload`` and the exact ``record`` bytes; fails where a payload is missing."""
     whole = read_headers(spark, headers_path).join(read_payloads(spark, payloads_path), "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no stored payload of digest "), F.hex("key"))).cast("binary")
+    whole = whole.withColumn("payload", F.coalesce("payload", missing))
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
     return whole.withColumn("record", F.concat("header", block, F.encode(F.lit(_END * 2), "UTF-8")))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written and read back; digest and length are those of the bytes read back."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/corploom-archive-{uuid.uuid4().hex}"
-    write_archive(table(spark, sf_dir, "pages"), f"{base}/headers", f"{base}/payloads")
-    heads = read_headers(spark, f"{base}/headers")
-    stored = read_payloads(spark, f"{base}/payloads").select(
-        "key", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
-    )
-    # the digest of each stored payload is taken once, then joined to every record of it
-    return heads.drop("payload_bytes", "payload_digest").join(stored, "key").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    """Every page written, and every record reconstructed; digest and length are those of the bytes read back."""
+    place = Scratch(spark, "archive")
+    headers, payloads = place.path(), place.path()
+    write_archive(table(spark, sf_dir, "pages"), headers, payloads)
+    free_shuffles(spark)
+    return read_records(spark, headers, payloads).select(
+        "page_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to",
+        (F.length("record") - F.length("header") - F.lit(len(_END * 2))).cast("long").alias("block_bytes"),
     )
 
 
@@ -136,6 +149,7 @@ WITH p AS (
 ), q AS (SELECT *, max(page_id) OVER (PARTITION BY k) AS top FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 1000 OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN payload_bytes < 1000 OR page_id = top THEN NULL ELSE top END AS refers_to
+       CASE WHEN payload_bytes < 1000 OR page_id = top THEN NULL ELSE top END AS refers_to,
+       CASE WHEN payload_bytes < 1000 OR page_id = top THEN payload_bytes ELSE 0 END AS block_bytes
 FROM q
 """

@@ -171,7 +171,7 @@ def test_decontamination_against_brute_force(spark):
     for i, t in docs:
         for j, u in items:
             w = decontamination.words(u)
-            if len(w) >= decontamination.LEAST_WORDS and (d := edits(w, decontamination.words(t))) <= decontamination.budget(len(w)):
+            if w and (d := edits(w, decontamination.words(t))) <= decontamination.budget(len(w)):
                 want[i, j] = min(d, want.get((i, j), 99))
     assert got == want
     kept = decontamination.drop_contaminated(df, bench)
@@ -373,8 +373,18 @@ def test_quality_held_out(spark):
 
 
 def test_isotonic():
-    n, y = np.array([1, 1, 1, 4.0]), np.array([1, 0, 1, 4.0])
-    assert (np.diff(quality.isotonic(n, y)) >= 0).all() and quality.isotonic(np.zeros(0), np.zeros(0)).size == 0
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 50, 60).astype(float)
+    y = rng.binomial(n.astype(int), np.linspace(0.1, 0.9, 60)).astype(float)
+    x = np.arange(60.0)
+    at, share = quality.isotonic(n, y, x)
+    assert (np.diff(at) > 0).all() and (np.diff(share) > 0).all() and 0 < share.min() and share.max() < 1
+    # the least-squares fit that does not fall: max over starts of the min over ends of block means (with the prior's half row)
+    m, k = n + 0.5, y + 0.5 * (y.sum() + 0.5) / (n.sum() + 1)
+    mean = lambda a, b: k[a : b + 1].sum() / m[a : b + 1].sum()
+    best = [max(min(mean(a, b) for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(sorted(set(np.round(best, 9))), share)
+    assert all(v.size == 0 for v in quality.isotonic(np.zeros(0), np.zeros(0), np.zeros(0)))
 
 
 def test_toxicity_held_out(spark):
