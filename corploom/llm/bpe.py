@@ -27,7 +27,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -39,13 +39,13 @@ from .common import lean, pieces, table
 
 #: Characters on which all libraries agree about case, normal form, classes and white space.
 ODD = r"[^\x00-\x1b\x20-\x7f\xa1-\xac\xae-\u012f\u0134-\u0148\u014a-\u017e]"
-#: Bytes of words and of pieces between white space, and pairs, that a worker remembers while a task runs.
-MEMORY, PAIRS = 24 << 20, 200_000
+#: Bytes of words and of pieces between white space, and pairs, that a worker remembers in each of two generations while a task runs.
+MEMORY, PAIRS = 64 << 20, 400_000
 #: Bytes that an entry takes besides its strings; pieces of a word that are merged through a heap.
 ENTRY, HEAP_FROM = 400, 128
 NONE = 1 << 60
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 21
 
 
 class WordBpe:
@@ -85,8 +85,14 @@ class WordBpe:
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
         self.pieces: dict[str, tuple[int, str, str]] = {}
+        self.old_known, self.old_pieces = self.known, self.pieces
         self.held = 0
 
+    def age(self) -> None:
+        """Start a new generation; what it asks for again comes over from the last one, the rest is forgotten with the next."""
+        self.old_known, self.old_pieces = self.known, self.pieces
+        self.known, self.pieces, self.held = {}, {}, 0
+
     def units(self, shown: str) -> list[int]:
         """Ids of single characters, the word end on the last; one without a token is left out, as in the library."""
         vocab = self.vocab
@@ -216,10 +222,17 @@ class WordBpe:
             return [piece[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(piece)]
         return self.pattern.findall(piece)
 
+    def bring(self, asked: Iterable[str], to: dict, old: dict) -> None:
+        """Take over from the last generation what is asked for."""
+        for x in asked:
+            if (got := old.get(x)) is not None and x not in to:
+                to[x] = got
+                self.held += ENTRY + len(x) + len(got[1]) + len(got[2])
+
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids joined by spaces, decoded text."""
         if self.held > MEMORY:
-            self.forget()
+            self.age()
         known, pieces = self.known, self.pieces
         cut: list[list] = []  # lists of pieces, and ids of special tokens
         for t in texts:
@@ -235,10 +248,14 @@ class WordBpe:
             for p in parts:
                 if not isinstance(p, int):
                     fresh.update(p)
+        fresh = [p for p in fresh if p not in pieces]
+        self.bring(fresh, pieces, self.old_pieces)
         new = [(p, self.split(p)) for p in fresh if p not in pieces]
         words = {w for _, ws in new for w in ws if w not in known}
+        self.bring(words, known, self.old_known)
+        words = [w for w in words if w not in known]
         if words:
-            self.learn(list(words))
+            self.learn(words)
         for p, ws in new:
             pieces[p] = got = known[ws[0]] if len(ws) == 1 else self.joined([known[w] for w in ws])
             self.held += ENTRY // 4 + (0 if len(ws) == 1 else ENTRY + len(p) + len(got[1]) + len(got[2]))

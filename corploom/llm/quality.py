@@ -226,14 +226,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows whose text the classifier does not reject; every column is kept.
 
-    Only labelled rows are shuffled, to learn from; each row is then judged
-    where it is, by its own text.
+    No text is shuffled: the classifier learns from statistics, and each row is
+    then judged where it is, by its own text.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("_known")).where("_known is not null").distinct()
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark, "quality")
-    stats = scratch.save(with_statistics(own.join(known, F.col("doc_id") == F.col("_known"), "left_semi")))
+    stats = scratch.save(with_statistics(docs, id_col, text_col))
     model = fit(spark, stats, labels)
     scratch.drop(stats)
 
