@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .registry import KINDS
+from ..functions.source_text import stripped
+from .registry import KINDS, replace_symbols
+from .validation import is_identifier
 
 
 def substitute(corpus: DataFrame, text: str, pattern: str, replacement: str) -> DataFrame:
@@ -34,12 +38,35 @@ def unique_edits(corpus: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def resolve_batch(resolutions: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``status`` of ``resolutions(symbol, canonical_name, kind)`` against the registry: invalid, same, conflict or applied."""
-    known = symbols.select("symbol", F.col("canonical_name").alias("known"))
-    met = resolutions.join(known, "symbol", "left")
-    valid = F.col("kind").isin(*KINDS) & F.rlike("canonical_name", F.lit(r"^[A-Za-z_]\w*$")) & F.rlike("symbol", F.lit(r"^[A-Za-z_]\w*$"))
-    status = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("known") == F.col("canonical_name"), "same").when(F.col("known").isNotNull(), "conflict").otherwise("applied")
-    return met.withColumn("status", status).drop("known")
+    """``status`` of ``resolutions(symbol, canonical_name, kind)`` against the registry: invalid, same, conflict or applied; an unknown kind is a function."""
+    known = symbols.select("symbol", F.col("canonical_name").alias("_known"))
+    kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("function")
+    met = resolutions.withColumns({"symbol": stripped(F.coalesce("symbol", F.lit(""))), "canonical_name": stripped(F.coalesce("canonical_name", F.lit(""))), "kind": kind}).join(known, "symbol", "left")
+    valid = (F.col("symbol") != "") & is_identifier(F.col("canonical_name"))
+    status = F.when(~valid, "invalid").when(F.col("_known") == F.col("canonical_name"), "same").when(F.col("_known").isNotNull(), "conflict").otherwise("applied")
+    return met.withColumn("status", status).drop("_known")
+
+
+def apply_batch(corpus: DataFrame, text: str, resolved: DataFrame, key: str = "address") -> DataFrame:
+    """The corpus with every applied symbol replaced by its name, whole words only: ``key, text, hits``."""
+    mapping = resolved.where("status = 'applied'").groupBy(F.col("symbol").alias("old")).agg(F.min("canonical_name").alias("new"))
+    return replace_symbols(corpus, key, text, mapping)
+
+
+def rename_symbol(corpus: DataFrame, text: str, old: str, new: str) -> DataFrame:
+    """An identifier renamed everywhere, whole words only; a new name that is no identifier is an error."""
+    if not re.fullmatch(r"[A-Za-z_]\w*", new):
+        raise ValueError(f"{new!r} is no identifier")
+    return substitute(corpus, text, rf"\b\Q{old}\E\b", new)
+
+
+def rewrite(corpus: DataFrame, rewrites: DataFrame, prologue: str = "") -> DataFrame:
+    """The corpus with the whole text of ``rewrites(address, code)`` in place of the old one, the prologue before it unless it is there, a line end behind it."""
+    code = F.col("_new")
+    body = F.when(F.lit(prologue == "") | F.contains(code, F.lit(prologue.strip() or " ")), code).otherwise(F.concat(F.lit(prologue), F.regexp_replace(code, r"^\s+", "")))
+    ended = F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
+    met = corpus.join(rewrites.select("address", F.col("code").alias("_new")), "address", "left")
+    return met.withColumn("code", F.when(code.isNotNull(), ended).otherwise(F.col("code"))).select(*corpus.columns)
 
 
 def change_totals(changes: DataFrame) -> DataFrame:
@@ -47,6 +74,24 @@ def change_totals(changes: DataFrame) -> DataFrame:
     return changes.groupBy("tool").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("address").alias("addresses"))
 
 
+def changes_by_agent(changes: DataFrame) -> DataFrame:
+    """``agent, changes`` of ``changes(seq, agent, tool, address)``; changes without an agent are left out."""
+    return changes.where("coalesce(agent, '') <> ''").groupBy("agent").agg(F.count(F.lit(1)).alias("changes"))
+
+
+def review_log(changes: DataFrame) -> DataFrame:
+    """One JSON object a change, in order."""
+    return changes.orderBy("seq").select(F.to_json(F.struct(*changes.columns)).alias("line"))
+
+
 def rename_struct(corpus: DataFrame, text: str, old: str, new: str) -> DataFrame:
     """Struct tags and their uses, whole words only."""
     return substitute(corpus, text, rf"\bstruct\s+\Q{old}\E\b", f"struct {new}")
+
+
+def rename_layout(structs: DataFrame, old: str, new: str) -> DataFrame:
+    """The registry with one struct under another name; if that name is taken its own layout stays and the old one goes."""
+    taken = not structs.where(F.col("name") == new).isEmpty()
+    if taken or old == new:
+        return structs.where(F.col("name") != old) if old != new else structs
+    return structs.withColumn("name", F.when(F.col("name") == old, F.lit(new)).otherwise(F.col("name")))

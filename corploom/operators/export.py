@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import symbol_address
-from ..functions.source_text import definition
+from ..functions.source_text import PLACEHOLDER, definition, file_token, renamed_definition
 
 
 def base_names(functions: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -23,12 +23,28 @@ def unique_names(bases: DataFrame) -> DataFrame:
 
 
 def export_map(symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """``old, new``: function placeholders take their export name, others their canonical one."""
-    told = symbols.withColumn("address", F.when(F.col("kind") == "function", symbol_address(F.col("symbol")))).join(names, "address", "left")
+    """``old, new`` of made-up names: functions take their export name, others, and functions without one, their canonical one."""
+    made_up = symbols.where(F.col("symbol").rlike(r"\A(?:" + PLACEHOLDER + r")\z"))
+    told = made_up.withColumn("address", F.when(F.col("kind") == "function", symbol_address(F.col("symbol")))).join(names, "address", "left")
     return told.select(F.col("symbol").alias("old"), F.coalesce("name", "canonical_name").alias("new")).where("old <> new")
 
 
+def rename_definitions(sources: DataFrame, bases: DataFrame, names: DataFrame) -> DataFrame:
+    """``address, code`` with the first definition of each base name under its export name."""
+    met = sources.join(bases, "address", "left").join(names, "address", "left")
+    return met.select("address", F.when(F.col("base").isNull() | F.col("name").isNull(), F.col("code")).otherwise(renamed_definition(F.col("code"), F.col("base"), F.col("name"))).alias("code"))
+
+
+def source_files(sources: DataFrame, prologue: str) -> DataFrame:
+    """``address, file_name, content`` of ``sources(address, name, code)``; empty texts have no file."""
+    token = file_token(F.col("name"))
+    file = F.concat(F.lit("0x"), "address", F.when(token != "", F.concat(F.lit("_"), token)).otherwise(""), F.lit(".c"))
+    return sources.where("code <> ''").select("address", file.alias("file_name"), F.concat(F.lit(prologue), "code").alias("content"))
+
+
 def file_names(sources: DataFrame) -> DataFrame:
-    """``address, old, new`` where a file's name no longer says what its function is called."""
-    want = F.concat(F.lit("0x"), "address", F.lit("_"), F.regexp_replace("name", r"[^A-Za-z0-9_.-]", "_"), F.lit(".c"))
-    return sources.select("address", F.col("file_name").alias("old"), want.alias("new")).where("old <> new")
+    """``address, old, new`` where a file's name no longer says what its function is called; names without a token stay."""
+    token = F.regexp_extract("file_name", r"^0x[0-9a-fA-F]+_(.+)\.c$", 1)
+    head = F.regexp_extract("file_name", r"^(0x[0-9a-fA-F]+)_", 1)
+    want = F.concat(head, F.lit("_"), file_token(F.col("name")), F.lit(".c"))
+    return sources.where((token != "") & (token != F.col("name"))).select("address", F.col("file_name").alias("old"), want.alias("new")).where("old <> new")

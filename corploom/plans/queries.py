@@ -1,8 +1,9 @@
 """The operators bound to the driver's tables, each with its DuckDB SQL.
 
-The driver's tables hold no C text, so each operator runs over a shape alike:
-parts are functions, part keys call half their key, suppliers are objects whose
-offsets are part keys, events are proposals and edits.
+The driver's tables hold no C text, so operators that read it run over text
+made of the parts' columns (``ctext``), while the SQL reads the columns; others
+run over a shape alike: suppliers are objects whose offsets are part keys,
+events are proposals and edits.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as ad
 from ..functions import source_text as st
-from ..operators import corpus, graph, registry, similarity
+from ..operators import catalog, corpus, edits, evidence, export, graph, registry, similarity, validation
+from ..sources import sinks
+from . import ctext
 from .catalog import merge_sections, usage_text
 
 QUERIES: dict = {}
@@ -56,6 +59,14 @@ def noise_by_type(spark, sf):
     return corpus.noise_by_type(corpus.noise_counts(t(spark, sf, "documents"), "doc_id", "text", PROSE_NOISE), list(PROSE_NOISE))
 
 
+@query(f"""{_NOISE_SQL}, u AS (SELECT doc_id, kind, n FROM (UNPIVOT n ON {', '.join(PROSE_NOISE)} INTO NAME kind VALUE n) WHERE n > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS place FROM u)
+SELECT kind, CAST(sum(n) AS BIGINT) AS count, array_to_string(list(doc_id || ' (' || n || ')' ORDER BY place) FILTER (WHERE place <= 8), ',') AS files FROM r GROUP BY kind""")
+def noise_first_files(spark, sf):
+    counts = corpus.noise_counts(t(spark, sf, "documents"), "doc_id", "text", PROSE_NOISE)
+    return corpus.noise_files(counts, "doc_id", list(PROSE_NOISE)).withColumn("files", F.array_join("files", ","))
+
+
 @query("SELECT doc_id, name FROM (SELECT doc_id, CASE source WHEN 'src0' THEN '_start' WHEN 'src1' THEN '_INIT_' || doc_id WHEN 'src2' THEN '_DT_FINI' ELSE source END AS name FROM documents) WHERE name <> '_start' AND NOT starts_with(name, '_INIT') AND NOT starts_with(name, '_FINI') AND NOT starts_with(name, '_DT_INIT') AND NOT starts_with(name, '_DT_FINI')")
 def runtime_filter(spark, sf):
     s = F.col("source")
@@ -63,7 +74,7 @@ def runtime_filter(spark, sf):
     return corpus.drop_runtime_stubs(t(spark, sf, "documents").select("doc_id", name.alias("name")), "name")
 
 
-@query("SELECT doc_id, line_no, substr(trim(line, ' '), 1, 240) AS snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE contains(lower(line), 'license') ORDER BY doc_id, line_no LIMIT 30")
+@query(r"""SELECT doc_id, line_no, substr(regexp_replace(line, '^\s+|\s+$', '', 'g'), 1, 240) AS snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE contains(lower(line), 'license') ORDER BY doc_id, line_no LIMIT 30""")
 def text_search_topn(spark, sf):
     return corpus.search_text(t(spark, sf, "documents"), "doc_id", "text", "License")
 
@@ -104,7 +115,7 @@ WITH RECURSIVE e AS (
 SELECT address, dropped IS NOT NULL AS dropped, coalesce(reason, '') AS reason FROM e LEFT JOIN d ON dropped = address
 """)
 def overlap_dedup(spark, sf):
-    return corpus.drop_overlapping(_entries(spark, sf), "address", "refs", "print")
+    return corpus.drop_overlapping(_entries(spark, sf), "address", "refs", "print").drop("kept")
 
 
 @query("SELECT user_id, event_id, next_key FROM (SELECT user_id, event_id, ts, lead(ts) OVER w AS there, lead(event_id) OVER w AS next_key FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE there > ts AND there <= ts + INTERVAL 1 HOUR")
@@ -112,14 +123,12 @@ def successor_pairs(spark, sf):
     return corpus.successor_pairs(t(spark, sf, "events"), "user_id", "ts", "event_id", F.expr("there > here and there <= here + interval 1 hour"))
 
 
-@query("SELECT l_returnflag, count(p_partkey) AS known, count(*) - count(p_partkey) AS unknown, count(DISTINCT CASE WHEN p_partkey IS NULL THEN l_partkey END) AS unknown_parts FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 10) ON l_partkey = p_partkey GROUP BY l_returnflag")
+@query(f"""WITH {ctext.FN}, {ctext.SYMBOLS}, found AS (
+  SELECT address, 'FUN_' || {ctext.ADDRESS.format('third')} AS symbol, 0 AS place FROM fn
+  UNION ALL SELECT address, 'DAT_' || printf('%x', k % 50), 1 FROM fn WHERE k % 2 = 0)
+SELECT address, symbol, place, canonical_name IS NOT NULL AS known, canonical_name FROM found LEFT JOIN sym USING (symbol)""")
 def placeholder_split(spark, sf):
-    known = t(spark, sf, "part").where("p_size <= 10").select("p_partkey")
-    met = t(spark, sf, "lineitem").select("l_returnflag", "l_partkey").join(known, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return met.groupBy("l_returnflag").agg(
-        F.count("p_partkey").alias("known"), F.count_if(F.col("p_partkey").isNull()).alias("unknown"),
-        F.count_distinct(F.when(F.col("p_partkey").isNull(), F.col("l_partkey"))).alias("unknown_parts"),
-    )
+    return registry.placeholder_split(ctext.functions(spark, sf), ctext.symbols(spark, sf))
 
 
 def _heap(spark, sf):
@@ -134,18 +143,33 @@ def edges_indegree(spark, sf):
     return graph.degrees(t(spark, sf, "part"), "p_partkey", _heap(spark, sf))
 
 
-@query(f"WITH {_HEAP} SELECT src, dst, a.p_name AS caller, b.p_name AS callee FROM heap JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst")
+@query(f"WITH {ctext.FN}, {ctext.CALLS} SELECT a.address AS caller, a.name AS caller_name, b.address AS callee, b.name AS callee_name FROM edges JOIN fn a ON a.k = src JOIN fn b ON b.k = dst")
 def callers_callees(spark, sf):
-    p = t(spark, sf, "part")
-    named = lambda key, name: p.select(F.col("p_partkey").alias(key), F.col("p_name").alias(name))
-    return _heap(spark, sf).join(named("src", "caller"), "src").join(named("dst", "callee"), "dst").select("src", "dst", "caller", "callee")
+    f = ctext.functions(spark, sf)
+    return catalog.neighbours(graph.call_edges(f), f)
+
 
+@query(f"""WITH {ctext.FN}, {ctext.CALLS}, u AS (SELECT src, dst FROM edges UNION SELECT k, third FROM fn WHERE k <> third)
+SELECT a.address AS src, b.address AS dst FROM u JOIN fn a ON a.k = src JOIN fn b ON b.k = dst""")
+def united_edges(spark, sf):
+    return graph.order_edges(ctext.functions(spark, sf))
 
-@query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, place FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS place FROM lineitem) WHERE place <= 24")
+
+@query(f"""WITH {ctext.FN}, {ctext.CALLS}, s AS (SELECT b.address AS callee, a.address AS caller, line_no, snippet FROM calls JOIN fn a ON a.k = src JOIN fn b ON b.k = dst WHERE src <> dst)
+SELECT callee, caller, line_no, snippet FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller, line_no) AS n FROM s) WHERE n <= 24""")
 def call_sites_topk(spark, sf):
-    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    rows = t(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", F.row_number().over(w).cast("long").alias("place"))
-    return rows.where("place <= 24")
+    f = ctext.functions(spark, sf)
+    return catalog.call_sites(f, graph.call_edges(f), 24)
+
+
+@query(f"""WITH {ctext.FN}, odd AS (SELECT *, '*(int *)(p + ' || (k % 5) * 4 || ')' AS a FROM fn)
+SELECT address, name AS function, 8 AS line_no, 'p' AS base, CAST(off AS BIGINT) AS "offset", ctype, size, CASE WHEN k % 2 = 1 THEN 'use(' || a || ' + *(short *)(p + 64), name);' ELSE a || ' = DAT_' || printf('%x', k % 50) || ';' END AS snippet,
+  CASE WHEN k % 2 = 1 THEN 'use' ELSE '' END AS callee, CASE WHEN k % 2 = 1 THEN 0 ELSE -1 END AS arg_index, CASE WHEN k % 2 = 1 THEN 2 ELSE 0 END AS arg_count, 'displacement' AS access_kind,
+  CASE WHEN k % 2 = 1 THEN 'read' ELSE 'write' END AS access_mode, CASE WHEN k % 2 = 1 THEN 'participates_in_pointer_or_offset_addition,passed_to_use_arg0' ELSE '' END AS roles
+FROM (SELECT address, name, k, a, (k % 5) * 4 AS off, 'int' AS ctype, 4 AS size FROM odd UNION ALL SELECT address, name, k, a, 64, 'short', 2 FROM odd WHERE k % 2 = 1)""")
+def access_facts(spark, sf):
+    facts = evidence.access_facts(ctext.functions(spark, sf))
+    return facts.drop("byte_offset").withColumn("roles", F.array_join("roles", ","))
 
 
 @query(f"WITH RECURSIVE {_HEAP}, d(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT src, depth + 1 FROM d JOIN heap ON dst = n), x AS (SELECT n, max(depth) AS depth FROM d GROUP BY n) SELECT n AS p_partkey, depth, false AS is_cycle FROM x")
@@ -184,58 +208,44 @@ def exec_calls(spark, sf):
     return graph.calls_between(calls, callers, callees, ["Brand#1", "Brand#7", "Brand#19"]).select("l_orderkey", "l_linenumber", "caller", "caller_name", "callee", "callee_name")
 
 
-def _facts(spark, sf, obj="l_suppkey", least=45):
-    """Of lines of a quantity of ``least`` at least; of all lines if it is 0."""
-    line = t(spark, sf, "lineitem")
-    return (line.where(F.col("l_quantity") >= least) if least else line).select(F.col(obj).alias("obj"), F.col("l_partkey").alias("off"), (F.col("l_returnflag") == "R").alias("is_write"))
+def _facts(spark, sf, obj="l_suppkey"):
+    return t(spark, sf, "lineitem").select(F.col(obj).alias("obj"), F.col("l_partkey").alias("off"), (F.col("l_returnflag") == "R").alias("is_write"))
 
 
-def _pairs_sql(obj: str, where: str) -> str:
-    return f"""f AS (SELECT {obj} AS obj, l_partkey AS off, max(l_returnflag = 'R') AS is_write FROM lineitem {where} GROUP BY 1, 2),
+def _pairs_sql(obj: str) -> str:
+    return f"""f AS (SELECT {obj} AS obj, l_partkey AS off, max(l_returnflag = 'R') AS is_write FROM lineitem GROUP BY 1, 2),
 z AS (SELECT obj, count(*) AS n FROM f GROUP BY obj),
 s AS (SELECT x.obj AS a, y.obj AS b, count(*) AS overlap FROM f x JOIN f y ON x.off = y.off AND x.obj <> y.obj GROUP BY 1, 2 HAVING count(*) >= 2),
 p AS (SELECT a, b, overlap, overlap / (za.n + zb.n - overlap) AS score, za.n AS na FROM s JOIN z za ON za.obj = a JOIN z zb ON zb.obj = b)"""
 
 
-@query(f"WITH {_pairs_sql('l_suppkey', 'WHERE l_quantity >= 45')} SELECT a, b, overlap, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM p) WHERE place <= 3")
+@query(f"WITH {_pairs_sql('l_suppkey')} SELECT a, b, overlap, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM p) WHERE place <= 3")
 def offset_jaccard_topk(spark, sf):
-    top = similarity.related(similarity.offset_pairs(_facts(spark, sf)), 3)
-    return top.select("a", "b", "overlap", F.round("score", 9).alias("score"), "place")
+    return similarity.related(_facts(spark, sf).drop("is_write"), limit=3).withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {_pairs_sql('l_suppkey', 'WHERE l_quantity >= 45')}, top AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p) WHERE k <= 8),
-ok AS (SELECT a FROM top GROUP BY a HAVING count(*) >= 2)
-SELECT a AS obj, o.off, count(*) + 1 AS sites FROM top JOIN ok USING (a) JOIN f y ON y.obj = b JOIN f o ON o.obj = a AND o.off = y.off GROUP BY 1, 2 HAVING count(*) + 1 >= 3""")
+@query(f"""WITH {_pairs_sql('l_suppkey')}, top AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p) WHERE k <= 8),
+peer AS (SELECT a, b FROM top WHERE score >= 0.015), ok AS (SELECT a FROM peer GROUP BY a HAVING count(*) >= 2),
+u AS (SELECT DISTINCT l_suppkey AS obj, l_partkey AS off, s_nationkey AS fn, l_returnflag AS call FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+seen AS (SELECT o.obj, o.off, u.fn, u.call FROM ok JOIN f o ON o.obj = a JOIN peer USING (a) JOIN u ON u.obj = b AND u.off = o.off UNION ALL SELECT o.obj, o.off, s_nationkey, NULL FROM ok JOIN f o ON o.obj = a JOIN supplier ON s_suppkey = a)
+SELECT obj, off, count(DISTINCT fn) AS sites, array_to_string(list_slice(list_sort(list(DISTINCT CAST(fn AS VARCHAR))), 1, 3), ',') AS functions, array_to_string(list_sort(list(DISTINCT call) FILTER (WHERE call IS NOT NULL)), ',') AS calls
+FROM seen GROUP BY 1, 2 HAVING count(DISTINCT fn) >= 3""")
 def consensus_offsets(spark, sf):
-    facts = _facts(spark, sf)
-    return similarity.consensus(similarity.related(similarity.offset_pairs(facts), 8).select("a", "b"), facts)
-
+    facts = _facts(spark, sf).drop("is_write")
+    nation = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("obj"), F.col("s_nationkey").cast("string").alias("function"))
+    uses = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("obj"), F.col("l_partkey").alias("off"), F.col("l_returnflag").alias("call")).join(nation, "obj")
+    got = similarity.consensus(similarity.related(facts, limit=8), facts, uses, least_score=0.015)
+    return got.select("obj", "off", "sites", F.array_join("functions", ",").alias("functions"), F.array_join("calls", ",").alias("calls"))
 
-@query(f"WITH {_pairs_sql('l_suppkey', '')} SELECT a, b, overlap, round(score, 9) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM p) WHERE place <= 3")
-def offset_jaccard_whole(spark, sf):
-    top = similarity.related(similarity.offset_pairs(_facts(spark, sf, least=0)), 3)
-    return top.select("a", "b", "overlap", F.round("score", 9).alias("score"), "place")
 
-
-@query(f"""WITH {_pairs_sql('l_suppkey', '')}, top AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p) WHERE k <= 8),
-ok AS (SELECT a FROM top GROUP BY a HAVING count(*) >= 2)
-SELECT a AS obj, o.off, count(*) + 1 AS sites FROM top JOIN ok USING (a) JOIN f y ON y.obj = b JOIN f o ON o.obj = a AND o.off = y.off GROUP BY 1, 2 HAVING count(*) + 1 >= 3""")
-def consensus_whole(spark, sf):
-    facts = _facts(spark, sf, least=0)
-    return similarity.consensus(similarity.related(similarity.offset_pairs(facts), 8).select("a", "b"), facts)
-
-
-@query(f"""WITH {_pairs_sql('l_orderkey', '')},
+@query(f"""WITH {_pairs_sql('l_orderkey')},
 w AS (SELECT DISTINCT p.a, p.b FROM p JOIN f o ON o.obj = p.a JOIN f y ON y.obj = p.b AND y.off = o.off AND y.is_write WHERE p.overlap = p.na),
-r AS (SELECT p.*, w.a IS NOT NULL AS writer, row_number() OVER (PARTITION BY p.a ORDER BY score DESC, p.b) AS k FROM p LEFT JOIN w ON w.a = p.a AND w.b = p.b),
+r AS (SELECT p.*, w.a IS NOT NULL AS writer, row_number() OVER (PARTITION BY p.a ORDER BY score DESC, p.b) AS k, count(*) OVER (PARTITION BY p.a) AS n FROM p LEFT JOIN w ON w.a = p.a AND w.b = p.b),
 m AS (SELECT *, min(CASE WHEN writer THEN k END) OVER (PARTITION BY a) AS slot FROM r),
-q AS (SELECT *, CASE WHEN slot IS NULL THEN k WHEN k = slot THEN 2 WHEN slot = 1 AND k = 2 THEN 1 WHEN slot > 1 AND k >= 2 AND k < slot THEN k + 1 ELSE k END AS place FROM m)
+q AS (SELECT *, CASE WHEN slot IS NULL THEN k WHEN k = slot THEN least(2, n) WHEN slot = 1 AND k = 2 THEN 1 WHEN slot > 1 AND k >= 2 AND k < slot THEN k + 1 ELSE k END AS place FROM m)
 SELECT a, b, overlap, round(score, 9) AS score, CAST(place AS BIGINT) AS place FROM q WHERE place <= 3""")
 def writer_slot(spark, sf):
-    facts = _facts(spark, sf, "l_orderkey", 0)
-    pairs = similarity.offset_pairs(facts)
-    got = similarity.reserve_writer(pairs, similarity.covering_writers(pairs, facts), 3)
-    return got.select("a", "b", "overlap", F.round("score", 9).alias("score"), "place")
+    return similarity.related(_facts(spark, sf, "l_orderkey"), limit=3, writer=True).withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT l_suppkey, l_linenumber,
@@ -277,7 +287,15 @@ def fww_conflict_counts(spark, sf):
     return _judged(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("symbols"))
 
 
-@query()
+#: One field a proposal, never overlapping, so an entry only gains offsets: conflicts are other types at a known offset.
+@query("""WITH p AS (SELECT l_partkey, l_linenumber * 8 AS off, l_returnflag = 'R' AS r, l_suppkey % 9 AS size, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS seq FROM lineitem),
+q AS (SELECT *, first_value(r) OVER (PARTITION BY l_partkey, off ORDER BY seq) AS known, row_number() OVER (PARTITION BY l_partkey, off ORDER BY seq) = 1 AS fresh FROM p),
+n AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY l_partkey ORDER BY seq) AS n_fields, off + greatest(size, 1) AS stop FROM q),
+s AS (SELECT *, CASE WHEN r <> known THEN 'conflict' WHEN seq = 1 THEN 'inserted' WHEN n_fields = 1 THEN 'updated' ELSE 'merged' END AS status FROM n),
+f AS (SELECT l_partkey, arg_max(stop, seq) AS first_stop FROM s WHERE n_fields = 1 AND status <> 'conflict' GROUP BY 1)
+SELECT seq, 'part_' || s.l_partkey AS name, status, CAST(n_fields AS INTEGER) AS n_fields,
+  CAST(CASE WHEN n_fields = 1 THEN 0 ELSE greatest(first_stop, max(CASE WHEN fresh AND n_fields > 1 THEN stop END) OVER (PARTITION BY s.l_partkey ORDER BY seq)) END AS BIGINT) AS size, 'medium' AS confidence
+FROM s JOIN f ON f.l_partkey = s.l_partkey""")
 def struct_merge(spark, sf):
     line = t(spark, sf, "lineitem")
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
@@ -286,10 +304,11 @@ def struct_merge(spark, sf):
         offset.cast("long").alias("offset"), F.concat(F.lit("field_"), F.lower(F.hex(offset))).alias("name"),
         F.when(F.col("l_returnflag") == "R", "int").otherwise("uint").alias("type"), F.pmod(F.col("l_suppkey"), F.lit(9)).cast("long").alias("size"),
     )
-    return registry.merge_layouts(line.select(
+    judged = registry.merge_layouts(line.select(
         F.row_number().over(order).cast("long").alias("seq"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"), F.array(field).alias("fields"), F.lit(0).alias("size"),
         F.lit("medium").alias("confidence"), F.col("l_returnflag").alias("evidence"), F.lit("").alias("source_file"),
     ))
+    return judged.select("seq", "name", "status", "n_fields", "size", "confidence")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) = 1 AS granted FROM events")
@@ -297,89 +316,99 @@ def edit_lock(spark, sf):
     return registry.edit_locks(t(spark, sf, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "event_id", "granted")
 
 
-@query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name, p_brand) > 1 THEN p_name || p_brand || '_0x' || printf('%x', p_partkey) ELSE p_name || p_brand END AS unique_name FROM part")
+@query(f"""WITH {ctext.FN}, b AS (SELECT address, CASE WHEN size <= 10 THEN replace(p_name, ' ', '_') ELSE 'do_' || replace(p_name, ' ', '_') END AS base FROM fn)
+SELECT address, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '_0x' || address ELSE base END AS name FROM b""")
 def dup_base_names(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", F.concat("p_name", "p_brand").alias("base"))
-    n = p.groupBy("base").agg(F.count(F.lit(1)).alias("n"))  # counted first, so a popular name's rows need not meet
-    return p.join(n, "base").select("p_partkey", F.when(F.col("n") > 1, F.concat("base", F.lit("_0x"), F.lower(F.hex("p_partkey")))).otherwise(F.col("base")).alias("unique_name"))
+    return export.unique_names(_bases(spark, sf))
 
 
-@query("SELECT 'FUN_' || lpad(printf('%x', p_partkey), 8, '0') AS symbol, coalesce(n.s_name, p_name) AS export_name FROM part LEFT JOIN supplier n ON n.s_suppkey = p_partkey")
-def export_map(spark, sf):
-    p = t(spark, sf, "part").select(F.concat(F.lit("FUN_"), F.lpad(F.lower(F.hex("p_partkey")), 8, "0")).alias("symbol"), F.col("p_name").alias("canonical"))
-    named = t(spark, sf, "supplier").select(ad.normalize_address(F.hex("s_suppkey")).alias("address"), "s_name")
-    return p.withColumn("address", ad.symbol_address(F.col("symbol"))).join(named, "address", "left").select("symbol", F.coalesce("s_name", "canonical").alias("export_name"))
+def _bases(spark, sf):
+    """Parts whose definitions are named by the part, and the small ones by the registry."""
+    p = t(spark, sf, "part").select(ctext.address(F.col("p_partkey")).alias("address"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("n"))
+    f = p.select("address", F.concat(F.lit("FUN_"), "address").alias("ghidra_name"), F.concat(F.lit("int do_"), "n", F.lit("(void)\n{\n}")).alias("code"))
+    return export.base_names(f, ctext.symbols(spark, sf))
 
 
-def _coherence(spark, sf, evidence):
-    line, s, p = t(spark, sf, "lineitem"), t(spark, sf, "supplier"), t(spark, sf, "part")
-    a = line.join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("s_nationkey").alias("struct_key"), F.col("p_brand").alias("field"), "l_orderkey", "l_returnflag")
-    fields = a.where(evidence).select("struct_key", "field", F.lit(True).alias("known")).distinct()
-    met = a.where("l_returnflag = 'R'").join(fields, ["struct_key", "field"], "left")
-    return met.groupBy("struct_key").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("known").isNull()).alias("violations"))
+@query(f"""WITH {ctext.FN}, {ctext.SYMBOLS}, b AS (SELECT address, replace(p_name, ' ', '_') AS base, CASE WHEN size <= 10 THEN replace(p_name, ' ', '_') ELSE 'do_' || replace(p_name, ' ', '_') END AS whole FROM fn),
+n AS (SELECT address, CASE WHEN count(*) OVER (PARTITION BY whole) > 1 THEN whole || '_0x' || address ELSE whole END AS name FROM b)
+SELECT symbol AS old, coalesce(name, canonical_name) AS new FROM sym LEFT JOIN n ON symbol = 'FUN_' || address""")
+def export_map(spark, sf):
+    return export.export_map(ctext.symbols(spark, sf), export.unique_names(_bases(spark, sf)))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS struct_key, p_brand AS field, l_orderkey, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
-f AS (SELECT DISTINCT struct_key, field FROM a WHERE l_returnflag = 'A' AND l_orderkey % 7 = 0)
-SELECT struct_key, count(*) AS checked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.struct_key = a.struct_key AND f.field = a.field)) AS violations FROM a WHERE l_returnflag = 'R' GROUP BY struct_key""")
-def coherence_antijoin(spark, sf):
-    return _coherence(spark, sf, "l_returnflag = 'A' and l_orderkey % 7 = 0")
+@query(f"""WITH {ctext.FN}, {ctext.SYMBOLS}, c AS (SELECT fn.*, f.canonical_name AS called, d.canonical_name AS data FROM fn LEFT JOIN sym f ON f.symbol = 'FUN_' || {ctext.ADDRESS.format('third')} LEFT JOIN sym d ON k % 2 = 0 AND d.symbol = 'DAT_' || printf('%x', k % 50))
+SELECT address, CAST((called IS NOT NULL) AS INTEGER) + CAST((data IS NOT NULL) AS INTEGER) AS hits, '  ' || coalesce(called, 'FUN_' || {ctext.ADDRESS.format('third')}) || '();' AS line6,
+  CASE WHEN k % 2 = 0 THEN '  *(int *)(p + ' || (k % 5) * 4 || ') = ' || coalesce(data, 'DAT_' || printf('%x', k % 50)) || ';' ELSE '  use(*(int *)(p + ' || (k % 5) * 4 || ') + *(short *)(p + 64), name);' END AS line8 FROM c""")
+def export_text(spark, sf):
+    mapping = ctext.symbols(spark, sf).select(F.col("symbol").alias("old"), F.col("canonical_name").alias("new"))
+    got = registry.replace_symbols(ctext.functions(spark, sf), "address", "code", mapping)
+    line = lambda k: F.element_at(st.lines(F.col("code")), k).alias(f"line{k}")
+    return got.select("address", "hits", line(6), line(8))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS struct_key, p_brand AS field, l_orderkey, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
-f AS (SELECT DISTINCT struct_key, field FROM a WHERE l_returnflag = 'A')
-SELECT struct_key, count(*) AS checked, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.struct_key = a.struct_key AND f.field = a.field)) AS violations FROM a WHERE l_returnflag = 'R' GROUP BY struct_key""")
-def coherence_whole(spark, sf):
-    return _coherence(spark, sf, "l_returnflag = 'A'")
+@query(f"""WITH {ctext.FN}, known AS (SELECT DISTINCT size, k % 7 AS f FROM fn WHERE k % 2 = 0), s AS (SELECT DISTINCT size FROM known),
+u AS (SELECT fn.*, s.size IS NOT NULL AS there, known.size IS NULL AND s.size IS NOT NULL AS bad FROM fn LEFT JOIN s ON s.size = fn.size LEFT JOIN known ON known.size = fn.size AND known.f = k % 7)
+SELECT address, 1 AS checked, CASE WHEN there THEN 0 ELSE 1 END AS unbound, CASE WHEN bad THEN 'p.f_' || k % 7 || ' of s_' || size || ' at 7: p->f_' || k % 7 || ' = ' || size || ';' ELSE '' END AS violations FROM u""")
+def coherence_antijoin(spark, sf):
+    got = validation.field_coherence(ctext.functions(spark, sf), ctext.structs(spark, sf))
+    told = F.transform("violations", lambda v: F.format_string("%s.%s of %s at %d: %s", v["base"], v["field"], v["struct_name"], v["line"], v["snippet"]))
+    return got.select("address", "checked", "unbound", F.array_join(told, ";").alias("violations"))
 
 
-@query("""WITH a AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS arg, unnest(range(0, len(string_split(p_name, ' ')))) AS pos FROM part),
-q AS (SELECT p_partkey, unnest(string_split(lower(p_type || ' ' || p_brand), ' ')) AS param, unnest(range(0, len(string_split(p_type || ' ' || p_brand, ' ')))) AS pos FROM part)
-SELECT p_partkey, a.pos, arg, param, length(arg) <> length(param) AS mismatch FROM a JOIN q USING (p_partkey, pos)""")
+@query(f"""WITH {ctext.FN}, {ctext.CALLS}
+SELECT a.address AS caller, b.address AS callee, 4 AS line_no, 0 AS position, '"' || a.p_name || '"' AS argument, 'int size' AS parameter, 'char*' AS actual, snippet
+FROM edges e JOIN calls c ON c.src = e.src AND c.line_no = 4 JOIN fn a ON a.k = e.src JOIN fn b ON b.k = e.dst
+WHERE a.k % 3 = 0 AND b.k % 4 <> 0 AND contains('fn_' || a.half, b.name)""")
 def signature_audit(spark, sf):
-    p = t(spark, sf, "part")
-    args = p.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "arg"))
-    params = p.select("p_partkey", F.posexplode(F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand")), " ")).alias("pos", "param"))
-    return args.join(params, ["p_partkey", "pos"]).select("p_partkey", F.col("pos").cast("long").alias("pos"), "arg", "param", (F.length("arg") != F.length("param")).alias("mismatch"))
+    f = ctext.functions(spark, sf)
+    return validation.signature_audit(graph.call_edges(f), f)
 
 
-@query("SELECT c_custkey, CASE WHEN top IS NULL THEN 'missing' WHEN starts_with(top, '5') THEN 'mismatch' ELSE 'ok' END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS top FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query(f"""WITH {ctext.FN} SELECT address, name, CASE WHEN size <= 5 THEN 'missing' ELSE 'mismatch' END AS problem, CASE WHEN size > 5 THEN 'int ' || name || '(int size, char *name);' END AS found FROM fn WHERE size <= 5 OR k % 4 = 0""")
 def decl_audit(spark, sf):
-    header = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("top"))
-    status = F.when(F.col("top").isNull(), "missing").when(F.col("top").startswith("5"), "mismatch").otherwise("ok")
-    return t(spark, sf, "customer").select("c_custkey").join(header, "c_custkey", "left").select("c_custkey", status.alias("status"))
+    p = t(spark, sf, "part").where("p_size > 5")
+    header = p.select(F.concat(F.lit("int fn_"), F.col("p_partkey").cast("string"), F.lit("(int size, char *name);")).alias("line"))
+    return validation.declaration_audit(ctext.functions(spark, sf), header)
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_linenumber * 16 AS off, max(CAST(l_quantity AS INTEGER) % 24) AS size FROM lineitem GROUP BY 1, 2),
-e AS (SELECT *, coalesce(lag(off + greatest(size, 1)) OVER (PARTITION BY l_orderkey ORDER BY off), 0) AS cursor FROM f)
-SELECT l_orderkey, off, size, greatest(off - cursor, 0) AS pad, off < cursor AS overlap FROM e""")
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber * 16 AS off, max(CAST(l_quantity AS INTEGER) % 24) AS n, max(l_returnflag) AS kind FROM lineitem GROUP BY 1, 2),
+g AS (SELECT *, CASE WHEN n > 0 THEN n WHEN kind = 'A' THEN 4 WHEN kind = 'N' THEN 18 ELSE 0 END AS size FROM f),
+e AS (SELECT *, coalesce(lag(off + size) OVER (PARTITION BY l_orderkey ORDER BY off), 0) AS cursor FROM g)
+SELECT 'o_' || l_orderkey AS name, CAST(off AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size, CAST(greatest(off - cursor, 0) AS BIGINT) AS pad, off < cursor AS overlap FROM e""")
 def struct_layout_pad(spark, sf):
-    fields = t(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") * 16).alias("off")).agg(F.max(F.col("l_quantity").cast("int") % 24).alias("size"))
-    end = F.lag(F.col("off") + F.greatest("size", F.lit(1))).over(Window.partitionBy("l_orderkey").orderBy("off"))
-    laid = fields.withColumn("cursor", F.coalesce(end, F.lit(0)))
-    return laid.select("l_orderkey", "off", "size", F.greatest(F.col("off") - F.col("cursor"), F.lit(0)).alias("pad"), (F.col("off") < F.col("cursor")).alias("overlap"))
+    f = t(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") * 16).cast("long").alias("offset")).agg((F.max(F.col("l_quantity").cast("int") % 24)).cast("long").alias("size"), F.max("l_returnflag").alias("kind"))
+    kind = F.when(F.col("kind") == "A", "int").when(F.col("kind") == "N", "short[3][3]").otherwise("struct other")
+    field = F.struct("offset", F.concat(F.lit("f_"), F.col("offset").cast("string")).alias("name"), kind.alias("type"), "size")
+    laid = f.groupBy("l_orderkey").agg(F.collect_list(field).alias("fields")).select(F.concat(F.lit("o_"), F.col("l_orderkey").cast("string")).alias("name"), "fields")  # an order's lines
+    return sinks.struct_layout(laid).select("name", "offset", "size", "pad", "overlap")
 
 
-@query("SELECT p_brand AS name, arg_min(p_name, p_partkey) AS value FROM part GROUP BY p_brand")
+@query("""WITH s AS (SELECT 'DAT_' || printf('%x', p_partkey) AS symbol, replace(p_brand, '#', '_') AS name, CASE WHEN p_size < 3 THEN '' ELSE CAST(p_size AS VARCHAR) END AS value FROM part WHERE p_partkey % 3 > 0)
+SELECT '#define ' || name || ' ' || arg_min(value, symbol) AS line FROM s WHERE value <> '' GROUP BY name""")
 def macro_dedup(spark, sf):
-    return t(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min_by("p_name", "p_partkey").alias("value"))
+    p = t(spark, sf, "part")
+    kind = F.when(F.col("p_partkey") % 3 > 0, "constant").otherwise("global_var")
+    value = F.when(F.col("p_size") < 3, "").otherwise(F.col("p_size").cast("string"))
+    return sinks.macro_lines(p.select(F.concat(F.lit("DAT_"), F.lower(F.hex("p_partkey"))).alias("symbol"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("canonical_name"), kind.alias("kind"), value.alias("value")))
 
 
-@query("SELECT DISTINCT p_type || ' ' || p_brand || '(void);' AS line FROM part ORDER BY line")
+@query("SELECT DISTINCT lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) || ' ** ' || replace(p_brand, '#', '_') || '(int a, char *b);' AS line FROM part")
 def decls_distinct(spark, sf):
-    return t(spark, sf, "part").select(F.concat("p_type", F.lit(" "), "p_brand", F.lit("(void);")).alias("line")).distinct().orderBy("line")
+    kind = F.lower(F.regexp_replace("p_type", "[^A-Za-z]", ""))
+    code = F.concat(F.lit("// made\n"), kind, F.lit(" **"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("(int a,char *b)\n{\n}"))
+    return sinks.declaration_lines(t(spark, sf, "part").select(code.alias("code")))
 
 
-@query("""SELECT doc_id, line_no, snippet, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM (
-  SELECT doc_id, line_no, substr(trim(line, ' '), 1, 240) AS snippet FROM (SELECT d.doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) USING (doc_id))
-  WHERE contains(line, 'the ') OR contains(line, 'idiot'))) WHERE place <= 6""")
+@query(r"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), 'the ', 'system(') AS named, replace(coalesce(text, ''), 'idiot', 'strcpy(') AS structured FROM documents JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) USING (doc_id)),
+l AS (SELECT doc_id, 0 AS rank, 'named' AS file, unnest(string_split(named, chr(10))) AS line, unnest(range(1, len(string_split(named, chr(10))) + 1)) AS line_no FROM d
+      UNION ALL SELECT doc_id, 1, 'structured', unnest(string_split(structured, chr(10))), unnest(range(1, len(string_split(structured, chr(10))) + 1)) FROM d),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, line_no) AS place FROM l WHERE contains(line, 'system(') OR contains(line, 'strcpy('))
+SELECT doc_id AS address, place, file, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM h WHERE place <= 6""")
 def risk_report(spark, sf):
     high = t(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
     docs = t(spark, sf, "documents").join(high, "doc_id", "left_semi")
-    numbered = F.transform(st.lines(F.col("text")), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), F.trim(x).substr(1, 240).alias("snippet"), (x.contains("the ") | x.contains("idiot")).alias("hit")))
-    first = F.slice(F.filter(numbered, lambda x: x["hit"]), 1, 6)  # the report's cap; lines of one text only
-    cut = docs.select("doc_id", F.posexplode(first).alias("pos", "x"))
-    return cut.select("doc_id", "x.line_no", "x.snippet", (F.col("pos") + 1).cast("long").alias("place"))
+    put = lambda a, b: F.replace(F.coalesce("text", F.lit("")), F.lit(a), F.lit(b))
+    return sinks.threat_lines(docs.select(F.col("doc_id").alias("address"), put("the ", "system(").alias("named"), put("idiot", "strcpy(").alias("structured")))
 
 
 @query("""SELECT role, CAST(sum(length(text)) AS BIGINT) AS used, CASE WHEN sum(length(text)) >= 1000000 THEN CAST(floor(sum(length(text)) / 10000) / 100 AS VARCHAR) || 'M' WHEN sum(length(text)) >= 1000 THEN CAST(floor(sum(length(text)) / 100) / 10 AS VARCHAR) || 'K' ELSE CAST(sum(length(text)) AS VARCHAR) END AS shown FROM conversations GROUP BY role""")
@@ -388,13 +417,13 @@ def usage_rollup(spark, sf):
     return used.select("role", "used", usage_text(F.col("used")).alias("shown"))
 
 
-@query("""SELECT count(*) AS selected, count(l.doc_id) AS produced, count(*) FILTER (WHERE quality = 0) AS failed, greatest(0, count(*) - count(l.doc_id)) AS not_run, count(*) = count(l.doc_id) AND count(*) FILTER (WHERE quality = 0) = 0 AS full_success
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+@query("""WITH s AS (SELECT CASE WHEN quality = 0 THEN 'failed' WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'produced' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+c AS (SELECT count(*) AS selected, count(*) FILTER (WHERE status = 'produced') AS produced, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM s)
+SELECT *, greatest(0, selected - produced - failed - skipped) AS not_run, true AS database_created, selected = produced AND failed = 0 AND skipped = 0 AS full_success FROM c""")
 def completeness(spark, sf):
-    l = t(spark, sf, "labels").withColumn("has", F.lit(1))
-    met = t(spark, sf, "documents").select("doc_id").join(l, "doc_id", "left")
-    got = met.agg(F.count(F.lit(1)).alias("selected"), F.count("has").alias("produced"), F.count_if(F.col("quality") == 0).alias("failed"))
-    return got.select("*", F.greatest(F.lit(0), F.col("selected") - F.col("produced")).alias("not_run"), ((F.col("selected") == F.col("produced")) & (F.col("failed") == 0)).alias("full_success"))
+    met = t(spark, sf, "documents").select(F.col("doc_id").alias("address")).join(t(spark, sf, "labels"), F.col("address") == F.col("doc_id"), "left")
+    status = F.when(F.col("quality") == 0, "failed").when(F.col("toxic") == 1, "skipped").when(F.col("quality") == 1, "produced")
+    return sinks.manifest(met.select("address", status.alias("status")))
 
 
 @query("SELECT user_id, event_type AS section, arg_max(props, event_id) AS content FROM events GROUP BY 1, 2")

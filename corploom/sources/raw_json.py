@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addresses import normalize_address
@@ -19,10 +19,9 @@ def read_functions(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
     rows = raw.withColumn("address", normalize_address(F.col("address"))).where("address <> ''")
-    last = Window.partitionBy("address").orderBy(F.desc("_file"))
-    one = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("ghidra_name", "code", "pcode")]
-    return one.select("address", *texts)
+    last = rows.groupBy("address").agg(F.max_by(F.struct(*texts), "_file").alias("r"))
+    return last.select("address", "r.*")
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +39,35 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Per-function summaries: level, findings and risky calls; broken files become rows of nulls."""
-    schema = "address string, name string, level string, summary string, risk_apis array<string>, findings array<string>"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """Per-function summaries, a JSON file each in a folder named by the address; broken files become rows of nulls."""
+    schema = (
+        "function_name_suggestion string, summary string, security_relevance struct<level:string,reason:string>, confirmed_behaviors array<string>, "
+        "side_effects array<string>, important_strings array<string>, api_calls array<string>, confidence string"
+    )
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "summary.json").option("recursiveFileLookup", True).json(path)
+    return raw.select(F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1).alias("address"), *[x.split()[0] for x in schema.split(", ")])
+
+
+def summary_inputs(artifacts: DataFrame) -> DataFrame:
+    """``address, text`` of the functions that have a named text, with their naming map behind it where there is one."""
+    named = artifacts.where("coalesce(named, '') <> ''")
+    return named.select("address", F.when(F.coalesce("naming_map", F.lit("")) != "", F.concat("named", F.lit("\n\nNAMING_MAP:\n"), "naming_map")).otherwise(F.col("named")).alias("text"))
+
+
+def write_functions(functions: DataFrame, path: str) -> None:
+    """Function packages as JSON, a line each; ``read_lines`` reads them back."""
+    functions.select(F.to_json(F.struct("address", "ghidra_name", "code", "pcode")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``SCHEMA`` rows of a package written by ``write_functions``; a malformed line fails the read."""
+    return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+def read_package(spark: SparkSession, path: str, pinned: str | None = None) -> DataFrame:
+    """The raw package, or the pinned snapshot in its place (Parquet, or a folder of JSON); a snapshot is taken as it is."""
+    if pinned is None:
+        return read_functions(spark, path)
+    if pinned.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(pinned).select("address", "ghidra_name", "code", "pcode")
+    return read_functions(spark, pinned)

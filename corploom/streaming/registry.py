@@ -13,7 +13,8 @@ def judge_batch(spark: SparkSession, batch: DataFrame, baseline: DataFrame | Non
     """Statuses of a batch, given the registry's first writes so far."""
     if baseline is None:
         return first_write_wins(batch, key, values, order)
-    old = baseline.select(key, *values, *[F.lit(None).cast(dict(batch.dtypes)[c]).alias(c) for c in order], F.lit(True).alias("_old"))
+    asked = batch.select(key).distinct()  # no other keys of the baseline bear on the batch
+    old = baseline.join(asked, key, "left_semi").select(key, *values, *[F.lit(None).cast(dict(batch.dtypes)[c]).alias(c) for c in order], F.lit(True).alias("_old"))
     # nulls come first in Spark's order of structs, so the baseline stands before any new row
     both = old.unionByName(batch.select(key, *values, *order, F.lit(False).alias("_old")))
     return first_write_wins(both, key, values, order).where("not _old").drop("_old")
