@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, pieces, table
+from .common import lean, pieces, resident, table
 
 #: Characters on which all libraries agree about case, normal form, classes and white space.
 ODD = r"[^\x00-\x1b\x20-\x7f\xa1-\xac\xae-\u012f\u0134-\u0148\u014a-\u017e]"
-#: Bytes of words and of pieces between white space, and pairs, that a worker remembers in each of two generations while a task runs.
-MEMORY, PAIRS = 64 << 20, 400_000
+#: Bytes of words and of pieces between white space, and pairs, that a worker remembers in each of two generations.
+MEMORY, PAIRS = 80 << 20, 600_000
 #: Bytes that an entry takes besides its strings; pieces of a word that are merged through a heap.
 ENTRY, HEAP_FROM = 400, 128
 NONE = 1 << 60
@@ -282,10 +282,10 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        key = hashlib.sha256(sent.value.encode()).digest()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in pieces(batches, 1, AT_ONCE):
-            bpe = bpe or WordBpe(sent.value)  # a task's own: kept for longer it would be in the way of other stages
+            bpe = resident("bpe", key, lambda: WordBpe(sent.value))
             got = bpe.encode(b.column(1).to_pylist())
             cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got], pa.string()), pa.array([sha(g[2]) for g in got], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(cols, names)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts)
+    return src.mapInArrow(lean(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts)
 
 
 def word_bpe_path() -> str:

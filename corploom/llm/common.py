@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, free_shuffles, release, scope, shared_dir
 
-__all__ = ["Scratch", "fresh", "free_memory", "free_shuffles", "lean", "parts", "pieces", "release", "scope", "shared_dir", "table", "text_key"]
+__all__ = ["Scratch", "evict", "fresh", "free_memory", "free_shuffles", "lean", "parts", "pieces", "release", "resident", "scope", "shared_dir", "table", "text_key"]
 
 #: Bytes of text, and rows, that a Python worker turns into objects at once; a longer text is alone.
 AT_ONCE, ROWS_AT_ONCE = 2 << 20, 2048
@@ -63,6 +63,22 @@ def parts(column: pa.Array, most: int = AT_ONCE, rows: int = ROWS_AT_ONCE) -> It
         yield column.slice(at, n)
 
 
+_RESIDENT: dict[str, tuple[object, object]] = {}
+
+
+def evict(but: str | None = None) -> None:
+    """Drop what tasks of other operators left in this worker process."""
+    for owner in [n for n in _RESIDENT if n != but]:
+        del _RESIDENT[owner]
+
+
+def resident(owner: str, key: object, make: Callable[[], object]):
+    """An object that stays in the worker process for the operator's next task of this key, until a task of another operator begins."""
+    if owner not in _RESIDENT or _RESIDENT[owner][0] != key:
+        _RESIDENT[owner] = key, make()
+    return _RESIDENT[owner][1]
+
+
 def free_memory() -> None:
     """Give back what the last task left: a worker process serves many tasks, and memory that it keeps is lost to the next."""
     pa.default_memory_pool().release_unused()
@@ -72,10 +88,13 @@ def free_memory() -> None:
         pass
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, giving memory back when the task ends."""
+def lean(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow: at its begin what other operators left goes, at its end memory is given back; ``keeps`` names its own resident."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict(keeps)
         try:
             yield from run(batches)
         finally:

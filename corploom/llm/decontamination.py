@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_memory, lean, parts, pieces, table
+from .common import evict, free_memory, lean, parts, pieces, table
 
 #: Part of an item's words that may be edited; words below which none may; bytes of items that are searched for at once.
 ERRORS, EXACT_BELOW, BLOCK_BYTES = 0.2, 8, 16 << 20
@@ -194,6 +194,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     def clean(sent: Broadcast) -> Column:
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            evict()
             matcher = sent.value
             for whole in columns:
                 yield pa.array([not matcher.search(t) for c in parts(whole) for t in c.to_pylist()], pa.bool_())

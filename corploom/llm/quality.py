@@ -236,6 +236,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     scratch.drop(stats)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        evict()
         for whole in columns:
             good: list[np.ndarray] = []
             for c in parts(whole):

@@ -33,6 +33,30 @@ def test_pieces_keep_all_rows():
     assert [k for at, n in cuts for k in range(at, at + n)] == list(range(35)) and max(n for _, n in cuts) <= 3
 
 
+def test_residents_go_with_the_next_operator():
+    from corploom.llm.common import _RESIDENT, evict, resident
+
+    first = resident("a", 1, list)
+    assert resident("a", 1, list) is first and resident("a", 2, list) is not first
+    evict("a")
+    assert set(_RESIDENT) == {"a"}
+    evict()
+    assert not _RESIDENT
+
+
+def test_bpe_generations():
+    own, small = bpe.WordBpe(spec := bpe.read_spec(bpe.word_bpe_path())), bpe.WordBpe(spec)
+    rng = random.Random(42)
+    texts = [[prose(40, rng) + " qzx" + str(k % 7) for k in range(5)] for _ in range(12)]
+    whole = [own.encode(t) for t in texts]
+    before, bpe.MEMORY = bpe.MEMORY, 2000
+    try:
+        assert [small.encode(t) for t in texts] == whole
+    finally:
+        bpe.MEMORY = before
+    assert len(small.known) < len(own.known)
+
+
 def test_fresh_names(spark):
     df = spark.range(1).toDF("Row").withColumn("_row", F.lit(1))
     assert fresh(df, "row", "n") == ["__row", "n"]
