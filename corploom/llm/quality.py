@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_memory, lean, parts, pieces, table
+from .common import Scratch, evict, free_memory, lean, parts, pieces, table
 
 #: Random features, ridge weight, bins of the calibration's histogram, seed.
 FEATURES, RIDGE, BINS, SEED = 256, 1e-3, 512, 7
