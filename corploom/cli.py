@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import settings as st
 from .functions.source_text import definition
-from .operators import bundle, corpus, export, rebuild, registry, validation
+from .operators import bundle, corpus, export, facts, rebuild, registry, validation
 from .sources import raw_json, sinks
 
 
@@ -26,6 +26,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--settings", help="YAML file")
     p.add_argument("--pin-raw-from", help="take this package instead, as it is")
     p.add_argument("--passes", help="module with functions structure, repair and name, any of them missing")
+    p.add_argument("--summaries", help="folder of summaries; the report's evidence is written too")
     p.add_argument("--skip-database", action="store_true", help="do not count the database as wanted")
     p.add_argument("--reconstruction-workers", type=int, help="in place of the settings' number")
     return p.parse_args(argv)
@@ -61,6 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     functions = spark.read.parquet(f"{args.out}/functions")
     if functions.isEmpty():
         return 2
+    facts.write(functions, f"{args.out}/facts", st.safe_name(args.package.rstrip("/").rsplit("/", 1)[-1]))
     passes = importlib.import_module(args.passes) if args.passes else None
     use = lambda name, off: None if off else getattr(passes, name, None)
     rows = functions
@@ -75,6 +77,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     tables["headers"] = spark.createDataFrame([("stubs.h", sinks.stub_header()), ("types.h", sinks.types_header(state.structs))], "file_name string, content string")
     tables["macros"] = sinks.header("CORPLOOM_MACROS_H", sinks.macro_lines(state.symbols))
     tables["globals"] = sinks.header("CORPLOOM_GLOBALS_H", sinks.global_lines(state.symbols))
+    if args.summaries:
+        rows = sinks.summaries(raw_json.read_summaries(spark, args.summaries)).withColumn("address", F.regexp_replace("address", "^0[xX]", ""))
+        tables["report"] = sinks.report_appendix(sinks.risk_candidates(rows, artifacts))
     tables["manifest"] = sinks.manifest(artifacts, not args.skip_database)
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{args.out}/{name}")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as ad
 from ..functions import source_text as st
-from ..operators import catalog, corpus, edits, evidence, export, graph, registry, similarity, validation
+from ..operators import catalog, corpus, evidence, export, graph, registry, similarity, validation
 from ..sources import sinks
 from . import ctext
 from .catalog import merge_sections, usage_text

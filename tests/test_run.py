@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corploom import cli, settings
-from corploom.operators import corpus, rebuild, registry
+from corploom.operators import corpus, facts, graph, rebuild, registry, tools
 from corploom.sources import raw_json, service
 
 FUNCTIONS = [
@@ -40,17 +40,19 @@ NODE = {"name": "node", "size": 8, "fields": [{"offset": 4, "name": "value", "ty
 
 
 def test_repair_flow(spark):
-    good = "int leaf(struct node *param_1)\n{\n  return param_1->value;\n}"
-    bad = good.replace("value", "wrong")
-    ask, _ = replies(spark, lambda r: structured(bad if r["address"] == "00000001" else r["code"], *([NODE] if r["address"] == "00000001" else [])))
-    for fixed, expect in ((good, good), (bad, FUNCTIONS[0][2]), ("", FUNCTIONS[0][2])):
-        repair, seen = replies(spark, lambda r: f"<structured>{fixed}</structured>" if fixed else "<skip>no</skip>")
-        state = rebuild.State.empty(spark)
-        out, state = rebuild.run(functions(spark, FUNCTIONS[:1]), ask, repair, state=state)
-        got = {r["address"]: r for r in out.collect()}
-        assert got["00000001"]["structured"] == expect and {r["status"] for r in got.values()} == {"produced"}
-        assert len(seen) == 1 and "no field `wrong`" in seen[0]["00000001"]["report"]
-        assert [r["name"] for r in state.structs.collect()] == (["node"] if fixed == good else [])
+    # three leaves with an unknown field each: the repair of one holds, of one does not, of one is empty
+    leaf = "int {0}(int param_1)\n{{\n  return *(int *)(param_1 + 4);\n}}"
+    rows = [(f"0000000{k}", n, leaf.format(n)) for k, n in enumerate(("one", "two", "three"), 1)]
+    good = {a: f"int {n}(struct node *param_1)\n{{\n  return param_1->value;\n}}" for a, n, _ in rows}
+    bad = {a: c.replace("value", "wrong") for a, c in good.items()}
+    ask, _ = replies(spark, lambda r: structured(bad[r["address"]], NODE))
+    repair, seen = replies(spark, lambda r: {"1": f"<structured>{good[r['address']]}</structured>", "2": structured(bad[r["address"]])}.get(r["address"][-1], "<skip>no</skip>"))
+    out, state = rebuild.run(functions(spark, rows), ask, repair)
+    got = {r["address"][-1]: r for r in out.collect()}
+    assert [got[k]["structured"] for k in "123"] == [good["00000001"], rows[1][2], rows[2][2]] and {r["status"] for r in got.values()} == {"produced"}
+    assert got["1"]["reason"] == "" and got["2"]["reason"].startswith("reverted: ") and got["3"]["reason"] == "reverted: empty repair"
+    assert len(seen) == 1 and len(seen[0]) == 3 and "no field `wrong`" in seen[0]["00000001"]["report"]
+    assert [r["name"] for r in state.structs.collect()] == ["node"]
 
 
 def test_layers_names_and_retries(spark):
@@ -117,7 +119,7 @@ def test_overlap_report(spark):
     kept, counts = corpus.select_functions(functions(spark, [("1", "_start", ""), ("2", "main", "")]))
     assert kept.count() == 1 and counts.first().asDict() == {"raw": 2, "runtime": 1}
     around = functions(spark, [("1", "f", "\n".join(f"line {k}" for k in range(1, 21)))]).select(corpus.text_around(F.col("code"), F.lit(2), 2, 1), corpus.text_around(F.col("code"), F.lit(99), 1, 1), corpus.text_around(F.col("code"), F.lit(10), 5, 5, 30)).first()
-    assert around[:] == ("L1: line 1\nL2: line 2\nL3: line 3", "L19: line 19\nL20: line 20", "L5: line 5\nL6: line 6\nL7: lin\n...(context window truncated)")
+    assert around[:] == ("L1: line 1\nL2: line 2\nL3: line 3", "L19: line 19\nL20: line 20", "L5: line 5\nL6: line 6\nL7: line\n...(context window truncated)")
 
 
 def test_noise_reports(spark):
@@ -199,6 +201,44 @@ def test_service(spark, monkeypatch):
     assert good.where("address = '00000001'").first()["code"] == "int f;\n// 0x1"
 
 
+def test_explorer(spark):
+    structs = spark.createDataFrame([("node", [(4, "value", "int", 4)], 8)], "name string, fields array<struct<offset:bigint,name:string,type:string,size:bigint>>, size bigint")
+    symbols = spark.createDataFrame([("FUN_00000009", "nine", "function")], "symbol string, canonical_name string, kind string")
+    x = tools.Explorer(functions(spark, [*FUNCTIONS, ("00000004", "odd", "void odd(struct node *p)\n{\n  p->gone = (1;\n}")]), symbols, structs)
+    assert [r["line"] for r in x.browse_functions("placeholders").collect()] == ["0x00000002 | mid | int | (int param_1) | callers:1 callees:1 | ph:1"]
+    assert [r["caller_name"] for r in x.get_callers("0x1").collect()] == ["mid"] and [r["name"] for r in x.get_callees("top").collect()] == ["mid"]
+    assert [(r["caller"][-1], r["line_no"]) for r in x.get_call_sites("leaf").collect()] == [("2", 4)] and "callers: mid(0x00000002)" in x.get_function_info("1").first()["text"]
+    assert [(r["address"][-1], r["line_no"]) for r in x.search_code("BUF").collect()] == [("2", 3)] and x.read_function("0x00003").count() == 1
+    assert [r["line"] for r in x.get_structs().collect()] == ["struct node (size 0x8): +0x4 value int"] and x.get_registry("function").count() == 1
+    assert x.check_field_coherence("odd").first()["summary"] == "FAIL 1: node.gone via p (L3)"
+    assert [r["address"][-1] for r in tools.bracket_suspects(x.functions).collect()] == ["4"]
+    assert all(hasattr(x, t) for t in tools.READ) and not set(tools.EDIT) & set(tools.ROLES["syntax"])
+    assert tools.by_key(x.functions, spark.createDataFrame([("0x2",), ("00003",)], "address string")).count() == 2
+    steps = graph.argument_steps(functions(spark, [("1", "f", "void f(char *a)\n{\n  copy(b, &a);\n  run((int)b);\n}")]))
+    assert {(r["src"], r["dst"]) for r in steps.collect()} == {("1/a", "1/b"), ("1/b", "1/a")}
+    start = graph.parameter_sources(functions(spark), ["leaf"])
+    assert [r["node"] for r in start.collect()] == ["00000001/param_1"]
+
+
+def test_completions(spark):
+    def make():
+        seen = {}
+
+        def ask(prompt):
+            seen[prompt] = seen.get(prompt, 0) + 1
+            if prompt == "never" or (prompt == "third" and seen[prompt] < 3):
+                raise OSError("busy")
+            return " " if prompt == "blank" else '```json\n{"summary": "s", "security_relevance": {"level": "high"}, "confidence": 0x1f}\n```'
+
+        return ask
+
+    rows = spark.createDataFrame([("1", "plain"), ("2", "third"), ("3", "never"), ("4", "blank")], "address string, prompt string").coalesce(1)
+    got = {r["address"]: r for r in tools.completions(rows, make, tries=3, wait=0.0).collect()}
+    assert [(got[k]["tries"], got[k]["error"]) for k in "1234"] == [(1, None), (3, None), (3, "OSError: busy"), (3, "blank answer")]
+    told = {r["address"]: r for r in tools.summaries(tools.completions(rows, make, tries=3, wait=0.0)).collect()}
+    assert (told["2"]["summary"], told["2"]["security_relevance"]["level"], told["2"]["confidence"], told["3"]["summary"]) == ("s", "high", "0x1f", None)
+
+
 def test_command_line(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
@@ -215,6 +255,11 @@ def test_command_line(spark, tmp_path):
     assert set(files) == {"0x00000010_leaf.c", "0x00000100_mid.c", "0x00001000_top.c"} and files["0x00000010_leaf.c"].startswith('#include "types.h"\n')
     assert [(r["func"], r["symbols"]) for r in read("unresolved").collect()] == [("0x00000100", ["FUN_00000009"])]
     assert "int mid(int param_1);" in [r["line"] for r in read("decls").orderBy("n").collect()]
+    facts.register(spark, f"{out}/facts", "raw")
+    asked = spark.sql("SELECT e.caller, s.line_no, s.arg_text FROM call_edges e JOIN call_sites s ON s.caller = e.caller JOIN definitions d ON d.address = e.callee AND d.name = s.callee_name WHERE e.kind = 'catalog'")
+    assert {tuple(r) for r in asked.collect()} == {("00000100", 4, "param_1"), ("00001000", 3, "param_1")}
+    assert spark.sql("SELECT symbol, n FROM placeholders").first()[:] == ("FUN_00000009", 1) and spark.sql("SELECT offsets FROM objects").first()[0] == [4]
+    assert spark.sql("SELECT count(*) FROM flow_edges WHERE kind = 'call'").first()[0] == 2 and spark.sql("SELECT count(*) FROM lines").first()[0] == 4 + 5 + 4
     back = raw_json.read_package(spark, "none", str(raw))
     raw_json.write_functions(back, str(tmp_path / "lines"))
     assert sorted(raw_json.read_lines(spark, str(tmp_path / "lines")).collect()) == sorted(back.collect())
