@@ -46,6 +46,8 @@ _KIND[np.frombuffer(b"#$%&*@^~+", np.uint8)] = 9
 _KIND[np.frombuffer(b"'\"-:;", np.uint8)] = 10
 _KIND[128:] = 11
 N_STATS = 21
+#: Width of the kernel, in standard deviations of a statistic.
+WIDTH = 1.5 * N_STATS**0.5
 
 
 def statistics(text: bytes | None) -> list[float]:
@@ -92,7 +94,7 @@ class Fourier:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.std, -8, 8)
-        return np.hstack([np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), z, np.ones((len(z), 1))])
+        return np.hstack([np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), np.ones((len(z), 1))])
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -175,7 +177,7 @@ def learn(rows: DataFrame) -> Model:
     if not 0 < ones0 < n0:
         return model
     mean, std = np.array(stats[4::2], float), np.array(stats[5::2], float)
-    model.phi = Fourier(mean, np.where(std > 1e-9, std, 1.0), width=np.sqrt(N_STATS))
+    model.phi = Fourier(mean, np.where(std > 1e-9, std, 1.0), width=WIDTH)
     a, b = normal_equations(rows.where("part = 0"), model.phi)
     model.beta = np.linalg.solve(a + RIDGE * n0 * np.eye(len(a)), b)
     sent = model
