@@ -24,7 +24,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_shuffles, table
+from .common import Scratch, table
 
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 1000
@@ -130,15 +130,20 @@ def read_records(spark: SparkSession, headers_path: str, payloads_path: str) ->
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written, and every record reconstructed; digest and length are those of the bytes read back."""
+    """Every page written and read back; digest and length are those of the bytes read back.
+
+    Each stored payload is hashed once and its digest joined to every record of
+    it, so no payload is shuffled to its records; ``read_records`` does that.
+    """
     place = Scratch(spark, "archive")
     headers, payloads = place.path(), place.path()
     write_archive(table(spark, sf_dir, "pages"), headers, payloads)
-    free_shuffles(spark)
-    return read_records(spark, headers, payloads).select(
-        "page_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to",
-        (F.length("record") - F.length("header") - F.lit(len(_END * 2))).cast("long").alias("block_bytes"),
+    stored = read_payloads(spark, payloads).select(
+        "key", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
     )
+    heads = read_headers(spark, headers).drop("payload_bytes", "payload_digest").join(stored, "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no stored payload of digest "), F.hex("key"))).cast("string")
+    return heads.select("page_id", "payload_bytes", F.coalesce("payload_digest", missing).alias("payload_digest"), "record_type", "refers_to")
 
 
 OP2_SQL = """
@@ -149,7 +154,6 @@ WITH p AS (
 ), q AS (SELECT *, max(page_id) OVER (PARTITION BY k) AS top FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 1000 OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN payload_bytes < 1000 OR page_id = top THEN NULL ELSE top END AS refers_to,
-       CASE WHEN payload_bytes < 1000 OR page_id = top THEN payload_bytes ELSE 0 END AS block_bytes
+       CASE WHEN payload_bytes < 1000 OR page_id = top THEN NULL ELSE top END AS refers_to
 FROM q
 """
