@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embeddings, quality, sharding, simhash, substring, toxicity, urlfilter, warc
+from . import bpe, decontamination, embeddings, mixing, quality, resampling, sharding, simhash, substring, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_substring": substring.op10_substring,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_mixing": mixing.op12_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op4_urlfilter": urlfilter.OP4_SQL,
     "op7_sharding": sharding.OP7_SQL,
+    "op12_mixing": mixing.OP12_SQL,
 }
