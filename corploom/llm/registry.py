@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embeddings, mixing, quality, resampling, sharding, simhash, substring, toxicity, urlfilter, warc
+from . import bpe, decontamination, embeddings, mixing, phrases, quality, resampling, sharding, simhash, substring, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring": substring.op10_substring,
     "op11_resampling": resampling.op11_resampling,
     "op12_mixing": mixing.op12_mixing,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_urlfilter": urlfilter.OP4_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op12_mixing": mixing.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
