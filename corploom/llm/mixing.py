@@ -94,9 +94,9 @@ def _mixed(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: in
         # a boundary of one row is settled; one that has no words left to give takes none
         alone = (F.col("x.c") == 1) | (left <= 0)
         last = F.when(alone, (2 * left >= F.col("x.b")) & (left > 0))
-        cut = scratch.save(bound.select("of", F.col("x.digit").alias("edge"), left.alias("left"), last.alias("last")))
+        cut = scratch.save(bound.select("of", F.col("x.digit").alias("edge"), (F.col("x.rest") > 0).alias("some"), left.alias("left"), last.alias("last")))
         judged = waiting.join(cut, F.col("source").eqNullSafe(F.col("of")), "left")
-        more = F.col("edge").isNull() | (F.col("digit") < F.col("edge"))
+        more = F.col("edge").isNotNull() & F.col("some") & (F.col("digit") < F.col("edge"))  # a source without words has no edge
         judged = judged.withColumn("more", F.when(F.col("digit") == F.col("edge"), F.col("last")).otherwise(more))
         out.append(judged.where("more is not null").select("doc_id", "size", "source", "row", "more"))
         if cut.where("last is null").isEmpty():

@@ -49,6 +49,8 @@ SHORTEST, LONGEST, LEAST, IDLE, TOP = 2, 5, 100, 100, 2000
 STRETCH, AT_ONCE, BLOCK_BITS, LEAST_BITS, MOST_BITS, REMEMBERED = 1 << 19, 4 << 20, 20, 20, 29, 1 << 22
 #: Candidates of a group, and of one whose words may be more than there are characters.
 GROUP, SMALL_GROUP, CHARACTERS = 1 << 19, 1 << 17, 1_000_000
+#: A cut's score; its products take up to 38 digits.
+SCORE = "cast(1000 * a as decimal(18,0)) * cast(n as decimal(20,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
 _BREAK = np.zeros(256, bool)
 _BREAK[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
 _IS_WORD = ~_BREAK
@@ -86,7 +88,7 @@ class _Stretch:
             h = _mix(h[more] + self.word[at + n])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], _Stretch]]:
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[str], _Stretch]]:
     for b in pieces(batches, 1, AT_ONCE):
         langs = b.column(0).dictionary_encode()
         names = langs.dictionary.to_pylist()
@@ -95,7 +97,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], _
         start, end, doc = spans(data, off, _IS_WORD)
         breaks = np.cumsum(_BREAK[data], dtype=np.int64)
         piece = breaks[start] + doc  # a text's number moves it, so texts share none
-        for a, z, reach in stretches(len(start), STRETCH, LONGEST - 1):
+        for a, z, reach in stretches(len(start), most, LONGEST - 1):
             v = Vocabulary(data, start[a:reach], end[a:reach], _IS_WORD)
             yield [names[k] for k in langs.indices.to_numpy()], _Stretch(v, piece[a:reach], doc[a:reach], z - a, seed)
 
@@ -104,7 +106,7 @@ def _cells(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each stretch and block of the sketch the cells met, as differences, and how often."""
         pack, inner = zstandard.ZstdCompressor(level=1), min(bits, BLOCK_BITS)
-        for _, s in _stretches(batches):
+        for _, s in _stretches(batches, STRETCH):
             met = [(h[at < s.own] >> np.uint64(64 - bits)).astype(np.uint32) for _, at, h in s.runs()]
             cells = np.sort(np.concatenate(met))
             first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
@@ -160,7 +162,7 @@ def _candidates(sent, bits: int):
         table = sent.value
         seen = np.zeros(0, np.uint64)
         words: dict[str, int] = {}
-        for langs, s in _stretches(batches):
+        for langs, s in _stretches(batches, STRETCH):
             n_docs = np.bincount(s.doc[: s.own])
             for k in np.flatnonzero(n_docs).tolist():
                 words[langs[k]] = words.get(langs[k], 0) + int(n_docs[k])
@@ -223,7 +225,7 @@ def _counted(sent, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto: _Automata = resident("phrases", name, lambda: _Automata(sent.value))
         total = np.zeros(auto.size, np.int64)
-        for langs, s in _stretches(batches):
+        for langs, s in _stretches(batches, STRETCH):
             own_words = s.v.words.to_pylist()
             names = np.array(langs, object)[s.doc]
             for lang in set(langs) & set(auto.by_lang):
@@ -306,8 +308,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, idle: int = IDLE,
     cut = cut.select("lang", "phrase", "a", "k", joined(F.lit(1), F.col("k")).alias("left"), joined(F.col("k") + 1, F.col("n_words")).alias("right"))
     side = lambda c, n: known.select(F.col("lang"), F.col("phrase").alias(c), F.col("a").alias(n))
     both = scratch.save(scratch.save(cut.join(side("left", "l"), ["lang", "left"])).join(side("right", "r"), ["lang", "right"]))
-    exact = "cast(1000 * a as decimal(18,0)) * cast(n as decimal(20,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
-    scored = both.join(words, "lang").select("lang", "phrase", "a", "n", F.struct(F.expr(exact).alias("score"), "k", "l", "r").alias("x"))
+    scored = both.join(words, "lang").select("lang", "phrase", "a", "n", F.struct(F.expr(SCORE).alias("score"), "k", "l", "r").alias("x"))
     best = scratch.save(scored.groupBy("lang", "phrase", "a", "n").agg(F.min("x").alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score"))
 
     # the first of each of many parts of a language, then the first of those
