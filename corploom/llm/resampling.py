@@ -3,7 +3,7 @@
 Features are runs of one to ``LONGEST`` consecutive words.  Each task counts the
 distinct features of a stretch of text and sends them, with their counts, to
 the part of the dictionary that owns them, as compressed blocks of sorted
-strings; there equal strings of all stretches become one entry, each entry's
+strings, in ``ROUNDS`` rounds that share them out by hash; there equal strings of all stretches become one entry, each entry's
 bytes are hashed once, and counts are added up by bucket.  A bucket's gain, the
 logarithm of its smoothed share in the target over that in the corpus, is
 joined back to the documents' own feature counts by bucket: the gains are a
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, pieces, table
+from .common import Scratch, free_shuffles, lean, pieces, table
 from .words import Vocabulary, flat, numbered, spans, stretches
 
 #: Words of a feature at most, buckets, words that a document must have to be drawn, percent of them that are drawn, seed of the noise.
 LONGEST, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, "42"
-#: Words of a stretch (their numbers take 21 bits), bytes of text read at once, bytes of distinct features in a part of the dictionary.
-STRETCH, AT_ONCE, PART = 1 << 19, 4 << 20, 24 << 20
+#: Words of a stretch (their numbers take 21 bits), bytes of text read at once, bytes of distinct features in a part of the dictionary,
+#: rounds that the dictionary is made in: each sends the features of its own hashes, so that a part of all blocks is on disk at a time.
+STRETCH, AT_ONCE, PART, ROUNDS = 1 << 19, 4 << 20, 24 << 20, 2
 _BITS = np.uint64(21)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
@@ -52,8 +53,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _features(v: Vocabulary, doc: np.ndarray, own: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length the distinct features that begin among the first ``own`` words, as rows of word numbers in byte order, and their counts."""
+def _features(v: Vocabulary, doc: np.ndarray, own: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length the distinct features that begin among the first ``own`` words, as word numbers of 21 bits each, in byte order, and their counts."""
     ids = v.ids.astype(np.uint64)
     for n in range(1, LONGEST + 1):
         m = min(own, len(ids) - n + 1)
@@ -63,29 +64,35 @@ def _features(v: Vocabulary, doc: np.ndarray, own: int) -> Iterator[tuple[np.nda
         for k in range(1, n):
             key = (key << _BITS) | ids[k : k + m]
         key = np.sort(key[doc[n - 1 : n - 1 + m] == doc[:m]])
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        shift = _BITS * np.arange(n - 1, -1, -1, dtype=np.uint64)
-        yield ((key[first, None] >> shift) & np.uint64((1 << 21) - 1)).astype(np.int64), np.diff(np.append(first, len(key)))
+        if len(key):
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            yield n, key[first], np.diff(np.append(first, len(key)))
 
 
-def _blocks(parts: int):
+def _word(key: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The number of word ``k`` of features of ``n`` words."""
+    return ((key >> (_BITS * np.uint64(n - 1 - k))) & np.uint64((1 << 21) - 1)).astype(np.int64)
+
+
+def _blocks(parts: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block for each stretch and part: numbers of entries by length, counts, and strings with a space after each word."""
+        """A block for each stretch and part of this round: numbers of entries by length, counts, and strings with a space after each word."""
         pack = zstandard.ZstdCompressor(level=3)
         for b in pieces(batches, 0, AT_ONCE):
             data, off = flat(b.column(0))
             start, end, doc = spans(data, off, _IS_WORD)
             for a, z, reach in stretches(len(start), STRETCH, LONGEST - 1):
                 v = Vocabulary(data, start[a:reach], end[a:reach], _IS_WORD)
-                h = np.array([zlib.crc32(w) for w in v.words.to_pylist()], np.uint64)
+                h = _mix(_hashes(v.words).astype(np.uint64) + np.uint64(1))
                 kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-                for rows, count in _features(v, doc[a:reach], z - a):
-                    x = _mix(h[rows[:, 0]])
-                    for k in range(1, rows.shape[1]):
-                        x = _mix(x + h[rows[:, k]])
-                    to = ((x >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+                for n, key, count in _features(v, doc[a:reach], z - a):
+                    x = h[_word(key, n, 0)]
+                    for k in range(1, n):
+                        x = x * np.uint64(0xD1342543DE82EF95) + h[_word(key, n, k)]
+                    to = (_mix(x) >> np.uint64(20)) % np.uint64(parts * ROUNDS)
+                    mine = to // np.uint64(parts) == turn
+                    key, count, to = key[mine], count[mine], (to[mine] % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+                    rows = np.stack([_word(key, n, k) for k in range(n)], axis=1)
                     order = np.argsort(to, kind="stable")
                     kept.append((rows[order], count[order], to[order], np.searchsorted(to[order], np.arange(parts + 1))))
                 out: list[tuple[int, bytes]] = []
@@ -120,8 +127,9 @@ def _entries(blocks: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         base += len(text)
     at = np.concatenate([[0], *ends]).astype(np.int64)
     strings = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.concatenate(texts))])
-    sums = pa.table({"s": strings, "n": np.concatenate(counts).astype(np.int64)}).group_by("s").aggregate([("n", "sum")]).combine_chunks()
-    return sums.column("s").chunk(0), sums.column("n_sum").chunk(0).to_numpy()
+    known = strings.dictionary_encode()
+    sums = np.bincount(known.indices.to_numpy(), np.concatenate(counts), len(known.dictionary))  # exact below 2 ** 53
+    return known.dictionary, sums.astype(np.int64)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -137,9 +145,11 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _hashes(strings: pa.Array, at_once: int = 1 << 16) -> np.ndarray:
+def _hashes(strings: pa.Array) -> np.ndarray:
     """crc32 of each string without the space at its end."""
-    return np.array([zlib.crc32(s[:-1]) for k in range(0, len(strings), at_once) for s in strings.slice(k, at_once).to_pylist()], np.int64)
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    text, crc32 = memoryview(strings.buffers()[2]), zlib.crc32
+    return np.array([crc32(text[a : b - 1]) for a, b in zip(at, at[1:])], np.int64)
 
 
 def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,24 +170,31 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(sums[held])], ["bucket", "n"])
 
 
-def _dealt(texts: DataFrame, text_col: str) -> DataFrame:
-    """Blocks sorted by part; parts are so many that the distinct features of one fit in memory, were all features distinct."""
+def _rounds(texts: DataFrame, text_col: str) -> Iterator[DataFrame]:
+    """Blocks of each round, sorted by part; parts are so many that the distinct features of one fit in memory, were all features distinct."""
     size = texts.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-size * LONGEST * (LONGEST + 1) // 2 // PART))
-    blocks = texts.select(F.col(text_col).cast("string")).mapInArrow(lean(_blocks(parts)), "part int, block binary")
-    return blocks.repartition(parts, "part").sortWithinPartitions("part")
+    parts = max(least, -(-size * LONGEST * (LONGEST + 1) // 2 // (PART * ROUNDS)))
+    for turn in range(ROUNDS):
+        blocks = texts.select(F.col(text_col).cast("string")).mapInArrow(lean(_blocks(parts, turn)), "part int, block binary")
+        yield blocks.repartition(parts, "part").sortWithinPartitions("part")
 
 
 def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``(feature, bucket, n)``: every distinct feature of all texts, once."""
-    return _dealt(texts, text_col).mapInArrow(lean(_entry_rows), "feature string, bucket int, n long")
+    rows = [b.mapInArrow(lean(_entry_rows), "feature string, bucket int, n long") for b in _rounds(texts, text_col)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def bucket_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(bucket, n)``: the dictionary's counts added up by bucket."""
-    sums = _dealt(texts, text_col).mapInArrow(lean(_bucket_rows), "bucket int, n long")
-    return sums.groupBy("bucket").agg(F.sum("n").alias("n"))
+    """``(bucket, n)``: the dictionary's counts added up by bucket, a round at a time."""
+    scratch, sums = Scratch(texts.sparkSession, "resampling"), []
+    for blocks in _rounds(texts, text_col):
+        own = blocks.mapInArrow(lean(_bucket_rows), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        sums.append(scratch.save(own))
+        del blocks, own
+        free_shuffles(texts.sparkSession)
+    return reduce(DataFrame.unionByName, sums).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:
@@ -228,7 +245,7 @@ def _weigher(gain: np.ndarray):
             weight, features = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for a, z, reach in stretches(len(start), STRETCH, LONGEST - 1):
                 v = Vocabulary(data, start[a:reach], end[a:reach], _IS_WORD)
-                plain = np.array([zlib.crc32(w[:-1]) for w in v.words.to_pylist()], np.uint32)
+                plain = _hashes(v.words).astype(np.uint32)
                 lengths, kind = np.unique(np.diff(v.at) - 1, return_inverse=True)
                 tables, space = np.stack([_shift(n) for n in lengths.tolist()]), _shift(1)[None]
                 crc, none, blank = plain[v.ids], np.zeros(1, np.int64), np.uint32(zlib.crc32(b" "))
