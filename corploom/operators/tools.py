@@ -64,11 +64,11 @@ class Explorer:
         return validation.coherence_summary(validation.field_coherence(own, self.structs))
 
 
-#: Which questions and edits each role of a review may use; a syntax reviewer only reads.
+#: Which questions and edits each role of a review may use; what a role without edits proposes is not applied (``cli.reviewed``).
 READ = ("browse_functions", "get_function_info", "search_code", "read_function", "get_callers", "get_callees", "get_call_sites", "get_registry", "get_structs")
 EDIT = ("unique_edits", "rewrite", "rename_symbol", "rename_struct")
 ROLES = {
-    "prescan": (*READ, "noise_hotspots", "merged_summary"), "naming": (*READ, *EDIT, "resolve_batch"), "types": (*READ, *EDIT, "signature_audit", "indirect_candidates", "check_field_coherence"),
+    "prescan": (*READ, "noise_hotspots", "with_scan"), "naming": (*READ, *EDIT, "resolve_batch"), "types": (*READ, *EDIT, "signature_audit", "indirect_candidates", "check_field_coherence"),
     "dispatch": (*READ, *EDIT, "indirect_candidates"), "syntax": (*READ, "bracket_suspects"),
 }
 

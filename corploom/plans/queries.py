@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as ad
 from ..functions import source_text as st
-from ..operators import catalog, corpus, evidence, export, graph, registry, similarity, validation
+from ..operators import catalog, corpus, evidence, export, graph, registry, sections, similarity, validation
 from ..sources import sinks
 from . import ctext
-from .catalog import merge_sections, usage_text
+from .catalog import merged_usage, usage_text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -429,7 +429,30 @@ def completeness(spark, sf):
 @query("SELECT user_id, event_type AS section, arg_max(props, event_id) AS content FROM events GROUP BY 1, 2")
 def catalog_merge(spark, sf):
     e = t(spark, sf, "events").select("user_id", F.col("event_type").alias("section"), F.col("props").alias("content"), "event_id")
-    return merge_sections(e, ["user_id"], "section", "content", "event_id")
+    return sections.merged(e, ["user_id"], "event_id")
+
+
+@query("""WITH e AS (SELECT user_id, event_type AS section, arg_max(CASE WHEN event_id % 3 = 0 THEN '{"rule_scan": ' || props || '}' WHEN event_id % 7 = 0 THEN substr(props, 2) ELSE props END, event_id) AS content FROM events GROUP BY 1, 2)
+SELECT user_id, section, CASE WHEN json_valid(content) THEN CAST(coalesce(json_extract_string(content, '$.k'), json_extract_string(content, '$.rule_scan.k')) AS BIGINT) END AS k,
+       coalesce(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.k') IS NULL END, false) AS fell_back FROM e""")
+def catalog_sections(spark, sf):
+    wrapped = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"rule_scan": '), "props", F.lit("}"))).when(F.col("event_id") % 7 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    e = t(spark, sf, "events").select("user_id", F.col("event_type").alias("section"), wrapped.alias("content"), "event_id")
+    rows = sections.merged(e, ["user_id"], "event_id").withColumn("v", sections.parsed("content"))
+    at = lambda *paths: sections.at(F.col("v"), *paths, kind="long")
+    return rows.select("user_id", "section", at("$.k", "$.rule_scan.k").alias("k"), (F.col("v").isNotNull() & at("$.k").isNull()).alias("fell_back"))
+
+
+@query("""WITH u AS (SELECT role, count(*) AS requests, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS input_tokens, sum(CASE WHEN role <> 'user' THEN length(text) ELSE 0 END) AS output_tokens, sum(length(text) // 3) AS cache_read_tokens, sum(length(text) % 5) AS cache_write_tokens FROM conversations GROUP BY role),
+v AS (SELECT *, input_tokens + output_tokens + cache_read_tokens + cache_write_tokens AS total FROM u)
+SELECT role, CAST(requests AS BIGINT) AS requests, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, CAST(cache_read_tokens AS BIGINT) AS cache_read_tokens, CAST(cache_write_tokens AS BIGINT) AS cache_write_tokens, CAST(total AS BIGINT) AS total,
+       CASE WHEN total >= 1000000 THEN CAST(floor(total / 10000) / 100 AS VARCHAR) || 'M' WHEN total >= 1000 THEN CAST(floor(total / 100) / 10 AS VARCHAR) || 'K' ELSE CAST(total AS VARCHAR) END AS shown FROM v""")
+def usage_merge(spark, sf):
+    n, user = F.length("text"), F.col("role") == "user"
+    c = t(spark, sf, "conversations").select(
+        "role", "conv_id", F.lit(1).alias("requests"), F.when(user, n).otherwise(0).alias("input_tokens"), F.when(user, 0).otherwise(n).alias("output_tokens"), F.expr("length(text) div 3").alias("cache_read_tokens"), (n % 5).alias("cache_write_tokens")
+    )
+    return merged_usage(merged_usage(c, ["role", "conv_id"]), ["role"])  # counters of conversations merged into those of roles
 
 
 @query("""WITH k AS (SELECT o_orderkey, '0x' || upper(printf('%x', o_orderkey * 1000003)) AS raw FROM orders)
@@ -446,10 +469,10 @@ def json_lenient(spark, sf):
     return t(spark, sf, "events").select("event_id", F.coalesce(st.lenient_json(fenced, "k bigint")["k"], F.lit(-1)).cast("long").alias("k"))
 
 
-@query("""WITH a AS (SELECT l_suppkey, coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'A' AND l_quantity >= 40), []) AS x, coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R'), []) AS y FROM lineitem GROUP BY 1)
+@query("""WITH a AS (SELECT l_suppkey, coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag <> 'R'), []) AS x, coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R'), []) AS y FROM lineitem GROUP BY 1)
 SELECT l_suppkey, len(list_intersect(x, y)) AS n_both, len(list_distinct(list_concat(x, y))) AS n_any, len(x) - len(list_intersect(x, y)) AS n_only, len(x) = len(list_intersect(x, y)) AS is_subset FROM a""")
 def set_algebra(spark, sf):
     own = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(
-        F.collect_set(F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 40), F.col("l_partkey"))).alias("x"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("y")
+        F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))).alias("x"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("y")
     )
     return own.select("l_suppkey", *similarity.set_sizes(F.col("x"), F.col("y")))

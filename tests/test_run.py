@@ -144,7 +144,7 @@ def test_settings(tmp_path):
         settings.load(str(tmp_path / "none.yaml"))
     context = {"domain": "d", "layouts": {"pkt": {"size": 8, "fields": [{"offset": 4, "name": "len", "type": "int"}]}}, "distortions": [{"id": "a", "pattern": " p "}, {"id": "b", "layer": "naming", "fix": "f"}]}
     text = settings.context_text(context, "structure")
-    assert "### pkt (struct pkt, size 8)\n  +0x4 len int" in text and "pattern: p" in text and "### b" not in text
+    assert "### pkt (struct pkt, size 8)\n+0x4 len int" in text and "pattern: p" in text and "### b" not in text
     assert "### b\nfix: f" in settings.context_text(context, "naming") and settings.load_context(str(tmp_path), "x", "naming") == ""
     assert settings.fill("a {{ x }} {{y}}", x=1, y="z") == "a 1 z" and settings.safe_name(" a b/c ") == "a_b_c" and settings.safe_name("..") == "binary"
     assert settings.find_package(str(tmp_path)) == str(tmp_path) and settings.package_folder("/x/fw.bin") == "output/fw.bin"
@@ -152,11 +152,6 @@ def test_settings(tmp_path):
         settings.find_package(str(tmp_path / "gone"), str(tmp_path))
     with pytest.raises(ValueError, match="b"):
         settings.require("tool", a="1", b="")
-    scan = {"by_type": {"goto": 1}, "priority_files": [{"file": k} for k in range(9)], "recommendation": "r"}
-    merged = settings.merged_summary({"meta": 1, "noise_report": {"by_type": "old"}}, {"meta": 2}, scan)
-    assert merged["meta"] == 2 and merged["noise_report"]["by_type"] == "old" and merged["noise_report"]["rule_scan"] == scan and merged["noise_report"]["recommendation"] == "r"
-    assert len(settings.priority_files(merged)) == 5 and len(settings.priority_files({"noise_report": {"rule_scan": scan}}, 20)) == 9
-    assert settings.sure_placeholders({"placeholder_inventory": {"by_priority": [{"confidence": "HIGH"}, {"confidence": "low"}, 3]}}) == [{"confidence": "HIGH"}]
 
 
 class Client:
