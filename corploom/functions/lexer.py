@@ -340,3 +340,50 @@ def balanced(tk: Tokens) -> bool:
         elif m in (")", "]", "}") and (not held or held.pop() != m):
             return False
     return not held
+
+
+def _value(tk: Tokens, a: int, b: int) -> list[str]:
+    """The variables, or members of them (``base.member``), that an expression's tokens read; called names, casts' and members' own names are none."""
+    out, k = [], a
+    while k < b:
+        if tk.is_word(k) and tk.at(k + 1) != "(" and tk.mark[k] not in KEYWORDS and tk.mark[k] not in SCALARS and not (tk.at(k - 1) == "(" and tk.at(k + 1) in ("*", ")") and tk.at(k + 2) in (")", "*", "(")):
+            if tk.at(k + 1) in ("->", ".") and tk.is_word(k + 2):
+                out.append(f"{tk.mark[k]}.{tk.mark[k + 2]}")
+                k += 2
+                while tk.at(k + 1) in ("->", ".") and tk.is_word(k + 2):
+                    k += 2
+            else:
+                out.append(tk.mark[k])
+        k += 1
+    return out
+
+
+def value_uses(text: str) -> list[tuple[int, str, str, str, int]]:
+    """``(site, role, node, name, place)`` of a function's text without literals, as ``operators.flow.value_steps`` says."""
+    tk = Tokens(text, literals=False)
+    out = [(-1, "parameter", n, "", k) for k, n in enumerate(parameter_names(text))]
+    body = next((k for k, m in enumerate(tk.mark) if m == "{"), len(tk))
+    for k in range(body + 1, len(tk)):
+        if tk.is_word(k) and tk.at(k + 1) in ("->", ".") and tk.is_word(k + 2) and tk.at(k - 1) not in ("->", "."):
+            out.append((-1, "field", f"{tk.mark[k]}.{tk.mark[k + 2]}", tk.mark[k], -1))
+        if tk.mark[k] == "(" and tk.mate[k] >= 0 and tk.is_word(k - 1) and tk.mark[k - 1] not in KEYWORDS and k - 1 > body:
+            for place, (a, b) in enumerate(arguments(tk, k)):
+                out += [(k, "argument", v, tk.mark[k - 1], place) for v in dict.fromkeys(_value(tk, a, b))]
+        if tk.mark[k] == "=" and tk.at(k + 1) != "=" and tk.at(k - 1) not in ("=", "!", "<", ">") and tk.is_word(k - 1):
+            member = tk.at(k - 2) in ("->", ".") and tk.is_word(k - 3)
+            to = f"{tk.mark[k - 3]}.{tk.mark[k - 1]}" if member else tk.mark[k - 1]
+            stop = next((n for n in range(k + 1, len(tk)) if tk.mark[n] in (";", "{", "}")), len(tk))
+            n = k + 1
+            while n < stop:
+                opened = n + 1 if tk.is_word(n) and tk.at(n + 1) == "(" and tk.mate[n + 1] >= 0 and tk.mark[n] not in KEYWORDS else -1
+                if opened >= 0:  # the call's value, not its arguments, goes into the variable
+                    out.append((opened, "result", to, tk.mark[n], -1))
+                    n = tk.mate[opened] + 1
+                else:
+                    end = next((m for m in range(n + 1, stop) if tk.is_word(m) and tk.at(m + 1) == "(" and tk.mark[m] not in KEYWORDS), stop)
+                    out += [(-1, "copy", v, to, -1) for v in dict.fromkeys(_value(tk, n, end)) if v != to]
+                    n = end
+        if tk.mark[k] == "return":
+            stop = next((n for n in range(k + 1, len(tk)) if tk.mark[n] in (";", "}")), len(tk))
+            out += [(-1, "returned", v, "", -1) for v in dict.fromkeys(_value(tk, k + 1, stop))]
+    return out

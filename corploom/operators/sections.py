@@ -2,7 +2,7 @@
 
 A summary is ``(section, content)``, content JSON text as prompts and files
 carry it; several summaries have a group besides.  Content that is no JSON is
-nothing; paths that lead nowhere are null.
+nothing, text behind a whole value counts for nothing; paths that lead nowhere are null.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as ad
 from ..functions import source_text as st
-from ..operators import catalog, corpus, evidence, export, graph, registry, sections, similarity, validation
+from ..operators import catalog, corpus, evidence, export, flow, graph, registry, sections, similarity, validation
 from ..sources import sinks
 from . import ctext
 from .catalog import merged_usage, usage_text
@@ -208,6 +208,39 @@ def exec_calls(spark, sf):
     return graph.calls_between(calls, callers, callees, ["Brand#1", "Brand#7", "Brand#19"]).select("l_orderkey", "l_linenumber", "caller", "caller_name", "callee", "callee_name")
 
 
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey - 1) // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0),
+d AS (SELECT p_partkey AS node, 0 AS length FROM part WHERE p_size = 7 UNION SELECT e.src, d.length + 1 FROM d JOIN e ON e.dst = d.node WHERE d.length < 20),
+far AS (SELECT node, min(length) AS length FROM d GROUP BY node),
+s AS (SELECT p_partkey AS node, p_partkey AS sink, 0 AS length FROM part WHERE p_size = 7 UNION SELECT f.node, s.sink, f.length FROM s JOIN e ON e.dst = s.node JOIN far f ON f.node = e.src AND f.length = s.length + 1),
+near AS (SELECT node, min(sink) AS sink, min(length) AS length FROM s GROUP BY node),
+step AS (SELECT n.node, n.sink, n.length, min(m.node) AS next FROM near n LEFT JOIN (SELECT e.src, m.node, m.sink, m.length FROM e JOIN near m ON m.node = e.dst) m ON m.src = n.node AND m.sink = n.sink AND m.length = n.length - 1 GROUP BY 1, 2, 3),
+w AS (SELECT node AS source, sink, length, CAST(node AS VARCHAR) AS path, next FROM step UNION ALL SELECT w.source, w.sink, w.length, w.path || '>' || s.node, s.next FROM w JOIN step s ON s.node = w.next)
+SELECT source, sink, length, path FROM w WHERE next IS NULL""")
+def witness_paths(spark, sf):
+    sinks_ = t(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("node"))
+    thirds = t(spark, sf, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 3").alias("dst"))
+    got = flow.witnesses(_heap(spark, sf).unionByName(thirds), t(spark, sf, "part").select(F.col("p_partkey").alias("node")), sinks_)
+    return got.select("source", "sink", "length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_linenumber = 1),
+e AS (SELECT 'o' || o AS src, 's' || s AS dst, 'call' AS kind, 'o' || o AS site FROM l UNION SELECT 'u' || s, 'p' || p, 'return', 'o' || o FROM l
+      UNION SELECT 's' || s_suppkey, 't' || s_suppkey, 'step', NULL FROM supplier UNION SELECT 't' || s_suppkey, 'n' || s_nationkey, 'call', 's' || s_suppkey FROM supplier UNION SELECT 'n' || s_nationkey, 'u' || s_suppkey, 'return', 's' || s_suppkey FROM supplier),
+w AS (SELECT source, source AS node, CAST([] AS VARCHAR[]) AS open_calls FROM (SELECT 'o' || o AS source FROM l UNION SELECT 't' || s_suppkey FROM supplier)
+      UNION SELECT w.source, e.dst, CASE e.kind WHEN 'call' THEN list_append(w.open_calls, e.site) WHEN 'return' THEN w.open_calls[1:len(w.open_calls) - 1] ELSE w.open_calls END
+      FROM w JOIN e ON e.src = w.node WHERE len(w.open_calls) < 4 AND (e.kind <> 'return' OR len(w.open_calls) = 0 OR w.open_calls[len(w.open_calls)] = e.site))
+SELECT source, min(node) AS sink FROM w WHERE node LIKE 'p%' GROUP BY source""")
+def matched_flow(spark, sf):
+    n = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    way = lambda df, a, b, kind, site: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"), site.cast("string").alias("site"))
+    first, supplier = t(spark, sf, "lineitem").where("l_linenumber = 1"), t(spark, sf, "supplier")
+    o, s = n("o", "l_orderkey"), n("s", "s_suppkey")
+    edges = way(first, o, n("s", "l_suppkey"), flow.CALL, o).unionByName(way(first, n("u", "l_suppkey"), n("p", "l_partkey"), flow.RETURN, o))
+    inner = way(supplier, s, n("t", "s_suppkey"), flow.STEP, F.lit(None)).unionByName(way(supplier, n("t", "s_suppkey"), n("n", "s_nationkey"), flow.CALL, s)).unionByName(way(supplier, n("n", "s_nationkey"), n("u", "s_suppkey"), flow.RETURN, s))
+    sources = first.select(o.alias("node")).unionByName(supplier.select(n("t", "s_suppkey").alias("node")))
+    return flow.matched_witnesses(edges.unionByName(inner), sources, first.select(n("p", "l_partkey").alias("node"))).select("source", "sink")
+
+
 def _facts(spark, sf, obj="l_suppkey"):
     return t(spark, sf, "lineitem").select(F.col(obj).alias("obj"), F.col("l_partkey").alias("off"), (F.col("l_returnflag") == "R").alias("is_write"))
 
@@ -432,11 +465,11 @@ def catalog_merge(spark, sf):
     return sections.merged(e, ["user_id"], "event_id")
 
 
-@query("""WITH e AS (SELECT user_id, event_type AS section, arg_max(CASE WHEN event_id % 3 = 0 THEN '{"rule_scan": ' || props || '}' WHEN event_id % 7 = 0 THEN substr(props, 2) ELSE props END, event_id) AS content FROM events GROUP BY 1, 2)
+@query("""WITH e AS (SELECT user_id, event_type AS section, arg_max(CASE WHEN event_id % 3 = 0 THEN '{"rule_scan": ' || props || '}' WHEN event_id % 7 = 0 THEN substr(props, 1, 4) ELSE props END, event_id) AS content FROM events GROUP BY 1, 2)
 SELECT user_id, section, CASE WHEN json_valid(content) THEN CAST(coalesce(json_extract_string(content, '$.k'), json_extract_string(content, '$.rule_scan.k')) AS BIGINT) END AS k,
        coalesce(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.k') IS NULL END, false) AS fell_back FROM e""")
 def catalog_sections(spark, sf):
-    wrapped = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"rule_scan": '), "props", F.lit("}"))).when(F.col("event_id") % 7 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    wrapped = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"rule_scan": '), "props", F.lit("}"))).when(F.col("event_id") % 7 == 0, F.expr("substr(props, 1, 4)")).otherwise(F.col("props"))
     e = t(spark, sf, "events").select("user_id", F.col("event_type").alias("section"), wrapped.alias("content"), "event_id")
     rows = sections.merged(e, ["user_id"], "event_id").withColumn("v", sections.parsed("content"))
     at = lambda *paths: sections.at(F.col("v"), *paths, kind="long")

@@ -126,3 +126,33 @@ def test_reports(spark, tmp_path):
     assert text.select(sinks.normal_text(F.col("x")), sinks.normal_code(F.col("x"))).first()[:] == ("a\n\nb\n", "a\nb")
     inputs = spark.createDataFrame([("1", "n", "a -> b"), ("2", "n", None), ("3", "", "x")], "address string, named string, naming_map string")
     assert {x["address"]: x["text"] for x in raw_json.summary_inputs(inputs).collect()} == {"1": "n\n\nNAMING_MAP:\na -> b", "2": "n"}
+
+
+def test_alike_of_all_sizes(spark):
+    """Few and many offsets, ten of which half of all objects share, against all pairs."""
+    import random
+
+    from corploom.operators import similarity
+
+    rng = random.Random(8)
+    sets = {}
+    for k in range(70):
+        own = {1000 + rng.randrange(60) for _ in range(rng.choice([1, 2, 4, 9, 14, 25]))}
+        sets[f"o{k:02d}"] = own | (set(range(10)) if k % 2 else set())
+    sets["o70"], sets["o71"] = sets["o03"], set(sets["o03"])  # one class
+    writes = {o: set(rng.sample(sorted(s), len(s) // 4)) for o, s in sets.items()}
+    calls = {o: {f"c{rng.randrange(12)}"} if rng.random() < 0.3 else set() for o in sets}
+    facts = spark.createDataFrame([(o, x, x in writes[o]) for o, s in sets.items() for x in s], "obj string, off int, is_write boolean")
+    met = spark.createDataFrame([(o, c) for o, s in calls.items() for c in s], "obj string, callee string")
+    for writer in (False, True):
+        want = set()
+        for a, x in sets.items():
+            scored = [(-len(x & y) / len(x | y) - bool(calls[a] & calls[b]), b) for b, y in sets.items() if b != a and len(x & y) >= 2 and len(x) >= 2]
+            ranked = [b for _, b in sorted(scored)]
+            slot = next((k for k, b in enumerate(ranked) if x <= sets[b] and writes[b] & x), None) if writer else None
+            if slot is not None and len(ranked) > 1:
+                ranked.insert(1, ranked.pop(slot))
+            want |= {(a, b, k) for k, b in enumerate(ranked[:3], 1)}
+        got = similarity.related(facts, met, limit=3, writer=writer).collect()
+        assert {(r["a"], r["b"], r["place"]) for r in got} == want
+        assert all(abs(r["score"] - len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]]) - bool(calls[r["a"]] & calls[r["b"]])) < 1e-9 for r in got)
