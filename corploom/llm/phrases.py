@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -41,12 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean, pieces, resident, table
-from .words import Vocabulary, flat, spans, stretches
+from .words import SLOT, Vocabulary, flat, slot_sums, spans, stretches
 
 #: Words of a phrase, its least count, percent of its count at which a longer phrase makes it idle, phrases of a language in the report.
 SHORTEST, LONGEST, LEAST, IDLE, TOP = 2, 5, 100, 100, 2000
 #: Words of a stretch, bytes of text read at once, cells of a block, bits of a cell's number at least and at most, hashes remembered by a task.
 STRETCH, AT_ONCE, BLOCK_BITS, LEAST_BITS, MOST_BITS, REMEMBERED = 1 << 19, 4 << 20, 20, 20, 29, 1 << 22
+#: Bytes of text to a part of the candidates.
+PART = 64 << 20
 #: Candidates of a group, and of one whose words may be more than there are characters.
 GROUP, SMALL_GROUP, CHARACTERS = 1 << 19, 1 << 17, 1_000_000
 #: A cut's score; its products take up to 38 digits.
@@ -66,48 +69,51 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _Stretch:
     """Words of a stretch: their numbers, hashes, pieces, languages, and how many of them begin here."""
 
-    def __init__(self, v: Vocabulary, piece: np.ndarray, doc: np.ndarray, own: int, seed: np.ndarray):
-        self.v, self.piece, self.doc, self.own = v, piece, doc, own
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in v.words.to_pylist()], np.uint64)
-        self.word, self.seed = hashes[v.ids], seed[doc]
+    def __init__(self, v: Vocabulary, piece: np.ndarray, lang: np.ndarray, own: int):
+        self.v, self.piece, self.lang, self.own = v, piece, lang, own
 
-    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length the places of phrases, as far as the caller lets the last length's ``ok`` stand, and their hashes.
+    def runs(self, seed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length, by its language's seed, the places of phrases, as far as the caller lets the last length's ``ok`` stand, and their hashes.
 
         The caller sends back which of the places count, all if it sends nothing.
         """
-        at, h = np.arange(len(self.word)), _mix(self.seed + self.word)
+        word = np.array([xxhash.xxh64_intdigest(w) for w in self.v.listed()], np.uint64)[self.v.ids]
+        at, h = np.arange(len(word)), _mix(seed[self.lang] + word)
         for n in range(1, LONGEST + 1):
             ok = yield n, at, h
             at, h = (at, h) if ok is None else (at[ok], h[ok])
-            good = np.zeros(len(self.word) + 1, bool)
+            good = np.zeros(len(word) + 1, bool)
             good[at] = True
-            more = good[at + 1] & (at + n < len(self.word))  # the same length holds at the next place
+            more = good[at + 1] & (at + n < len(word))  # the same length holds at the next place
             more[more] = self.piece[at[more] + n] == self.piece[at[more]]
             at = at[more]
-            h = _mix(h[more] + self.word[at + n])
+            h = _mix(h[more] + word[at + n])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[str], _Stretch]]:
+    """Each stretch, with the names of its languages' numbers."""
     for b in pieces(batches, 1, AT_ONCE):
         langs = b.column(0).dictionary_encode()
-        names = langs.dictionary.to_pylist()
-        seed = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in names], np.uint64)[langs.indices.to_numpy()]
+        names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
         data, off = flat(b.column(1))
         start, end, doc = spans(data, off, _IS_WORD)
         breaks = np.cumsum(_BREAK[data], dtype=np.int64)
         piece = breaks[start] + doc  # a text's number moves it, so texts share none
         for a, z, reach in stretches(len(start), most, LONGEST - 1):
             v = Vocabulary(data, start[a:reach], end[a:reach], _IS_WORD)
-            yield [names[k] for k in langs.indices.to_numpy()], _Stretch(v, piece[a:reach], doc[a:reach], z - a, seed)
+            yield names, _Stretch(v, piece[a:reach], lang[doc[a:reach]], z - a)
+
+
+def _seeds(names: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in names], np.uint64)
 
 
 def _cells(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each stretch and block of the sketch the cells met, as differences, and how often."""
         pack, inner = zstandard.ZstdCompressor(level=1), min(bits, BLOCK_BITS)
-        for _, s in _stretches(batches, STRETCH):
-            met = [(h[at < s.own] >> np.uint64(64 - bits)).astype(np.uint32) for _, at, h in s.runs()]
+        for names, s in _stretches(batches, STRETCH):
+            met = [(h[at < s.own] >> np.uint64(64 - bits)).astype(np.uint32) for _, at, h in s.runs(_seeds(names))]
             cells = np.sort(np.concatenate(met))
             first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             count = np.diff(np.append(first, len(cells))).astype(np.uint32)
@@ -156,17 +162,23 @@ def sketch(texts: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def _candidates(sent, bits: int):
+def _candidates(sent, bits: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``(lang, phrase, n_words)`` of candidates, once for a while; without a phrase the number of all words."""
+        """``(part, lang, phrases, words)``: candidates of a language, a line each, once for a while; at the end the numbers of all words."""
         table = sent.value
         seen = np.zeros(0, np.uint64)
         words: dict[str, int] = {}
-        for langs, s in _stretches(batches, STRETCH):
-            n_docs = np.bincount(s.doc[: s.own])
-            for k in np.flatnonzero(n_docs).tolist():
-                words[langs[k]] = words.get(langs[k], 0) + int(n_docs[k])
-            runs, ok = s.runs(), None
+        held: dict[tuple[int, str], bytearray] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            part, lang = [k for k, _ in held], [x for _, x in held]
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array([x.decode() for x in held.values()], pa.string()), pa.nulls(len(held), pa.int64())], ["part", "lang", "phrases", "words"])
+
+        for names, s in _stretches(batches, STRETCH):
+            for k, n in enumerate(np.bincount(s.lang[: s.own], minlength=len(names)).tolist()):
+                words[names[k]] = words.get(names[k], 0) + n
+            runs, ok, fresh = s.runs(_seeds(names)), None, []
             while True:
                 try:
                     n, at, h = runs.send(ok)
@@ -175,27 +187,63 @@ def _candidates(sent, bits: int):
                 cell = h >> np.uint64(64 - bits)
                 ok = (table[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 > 0
                 mine = ok & (at < s.own)
-                own, first = np.unique(h[mine], return_index=True)
-                new = ~np.isin(own, seen, assume_unique=True) if len(seen) else np.ones(len(own), bool)
-                place = at[mine][first[new]]
+                own, place = h[mine], at[mine]
+                if len(seen):
+                    new = seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
+                    own, place = own[new], place[new]
+                own, first = np.unique(own, return_index=True)
+                place = place[first]
                 if not len(place):
                     continue
-                rows = s.v.ids[place[:, None] + np.arange(n)]
-                size = (s.v.at[rows + 1] - s.v.at[rows]).sum(axis=1)
-                end = np.cumsum(size)
-                keep = np.ones(int(end[-1]), bool)
-                keep[end - 1] = False  # the space at a phrase's end
-                offsets = np.concatenate(([0], end - np.arange(1, len(end) + 1))).astype(np.int32)
-                text = s.v.joined(rows.ravel())[keep]
-                phrase = pa.Array.from_buffers(pa.string(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
-                of = pa.array([langs[k] for k in s.doc[place].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([of, phrase, pa.array(np.full(len(place), n, np.int64))], ["lang", "phrase", "n"])
-                seen = np.union1d(seen, own[new]) if len(seen) < REMEMBERED else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "n"])
+                fresh.append(own)
+                key = s.lang[place].astype(np.int64) * parts + ((own >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                ids = s.v.ids[place[order][:, None] + np.arange(n)]
+                end = np.cumsum((s.v.at[ids + 1] - s.v.at[ids]).sum(axis=1))
+                text = s.v.joined(ids.ravel())
+                text[end - 1] = 10  # no phrase holds a line end
+                keys, count = np.unique(key, return_counts=True)
+                at_end = end[np.cumsum(count) - 1]
+                for k, a, b in zip(keys.tolist(), [0, *at_end[:-1].tolist()], at_end.tolist()):
+                    held.setdefault((k % parts, names[k // parts]), bytearray()).extend(text[a:b].tobytes())
+                size += len(text)
+            if fresh:
+                seen = np.sort(np.concatenate([*fresh, seen] if len(seen) < REMEMBERED else fresh))
+            if size > AT_ONCE:
+                yield rows()
+                held, size = {}, 0
+        yield rows()
+        of = [xxhash.xxh64_intdigest(x.encode()) % parts for x in words]
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(list(words), pa.string()), pa.nulls(len(of), pa.string()), pa.array(list(words.values()), pa.int64())], ["part", "lang", "phrases", "words"])
 
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lang, phrase, n)``: every candidate of some parts once, with its words' number; without a phrase a language's sum of words."""
+    now, found, words = None, {}, {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, phrases in found.items():
+            listed = sorted(phrases)
+            for k in range(0, len(listed), 1 << 16):
+                own = listed[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string()), pa.array([p.count(" ") + 1 for p in own], pa.int64())], ["lang", "phrase", "n"])
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "n"])
+
+    for b in batches:
+        for part, lang, phrases, n in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if part != now:
+                yield from rows()
+                now, found, words = part, {}, {}
+            if phrases is None:
+                words[lang] = words.get(lang, 0) + n
+            else:
+                found.setdefault(lang, set()).update(phrases[:-1].split("\n"))
+    yield from rows()
+
+
 class _Automata:
     """A group's phrases by language: a character for each word, an automaton over them, and where words' own counts go."""
 
@@ -223,33 +271,36 @@ def _character(k: int) -> int:
 
 def _counted(sent, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``(slot, sums)``: counts of a task by the phrases' places in the group, as rows of many."""
         auto: _Automata = resident("phrases", name, lambda: _Automata(sent.value))
-        total = np.zeros(auto.size, np.int64)
-        for langs, s in _stretches(batches, STRETCH):
-            own_words = s.v.words.to_pylist()
-            names = np.array(langs, object)[s.doc]
-            for lang in set(langs) & set(auto.by_lang):
-                code, machine, single = auto.by_lang[lang]
-                coded = np.array([code.get(w[:-1], 0) for w in own_words], np.uint32)
-                here = np.flatnonzero(names == lang)
-                ours = here < s.own
-                text = coded[s.v.ids[here]]
-                seen = np.bincount(text[ours])
-                for c in np.flatnonzero(seen).tolist():
-                    if c in single:
-                        total[single[c]] += seen[c]
-                if not len(machine) or not len(here):
+        total = np.zeros(-(-auto.size // SLOT) * SLOT, np.int64)
+        for names, s in _stretches(batches, STRETCH):
+            listed = s.v.listed()
+            for k in np.unique(s.lang).tolist():
+                if names[k] not in auto.by_lang:
+                    continue
+                code, machine, single = auto.by_lang[names[k]]
+                here = np.flatnonzero(s.lang == k)
+                ids, number = np.unique(s.v.ids[here], return_inverse=True)
+                coded = np.array([code.get(listed[w], 0) for w in ids.tolist()], np.uint32)
+                text = coded[number]
+                seen = np.bincount(text[here < s.own], minlength=1)
+                known = np.array([single.get(c, -1) for c in np.flatnonzero(seen).tolist()], np.int64)
+                total[known[known >= 0]] += seen[np.flatnonzero(seen)[known >= 0]]
+                if not len(machine):
                     continue
-                ends = np.flatnonzero(s.piece[here][1:] != s.piece[here][:-1]) + 1
+                ends = np.flatnonzero(np.diff(s.piece[here])) + 1
                 guarded = np.insert(text, ends, 0)
                 place = np.insert(here, ends, -1)
-                found = np.array(list(machine.iter(guarded.astype("<u4").tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
-                if len(found):
-                    # a match counts where it begins; those that begin beyond belong to the next stretch
-                    begin = place[found[:, 0]] - auto.length[found[:, 1]] + 1
-                    total += np.bincount(found[begin < s.own, 1], minlength=auto.size)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["place", "a"])
+                matches = machine.iter(guarded.astype("<u4").tobytes().decode("utf-32-le"))
+                found = np.fromiter(chain.from_iterable(matches), np.int64).reshape(-1, 2)
+                # a match counts where it begins; those that begin beyond belong to the next stretch
+                begin = place[found[:, 0]] - auto.length[found[:, 1]] + 1
+                total += np.bincount(found[begin < s.own, 1], minlength=len(total))
+        rows = total.reshape(-1, SLOT)
+        held = np.flatnonzero(rows.any(axis=1))
+        values = pa.FixedSizeListArray.from_arrays(rows[held].ravel(), SLOT).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), values], ["slot", "sums"])
 
     return lean(run, keeps="phrases")
 
@@ -263,11 +314,12 @@ def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col
     bits = min(MOST_BITS, max(LEAST_BITS, int(size // 8).bit_length()))  # about four occurrences a cell
     context = spark.sparkContext
     sent = context.broadcast(sketch(texts, least, bits))
-    found = texts.mapInArrow(lean(_candidates(sent, bits)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("n").alias("n_words"))
-    found = scratch.save(found)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    found = texts.mapInArrow(lean(_candidates(sent, bits, parts)), "part int, lang string, phrases string, words long").repartition(parts, "part").sortWithinPartitions("part")
+    found = scratch.save(found.mapInArrow(lean(_distinct), "lang string, phrase string, n long"))
     sent.unpersist()
     words = found.where("phrase is null").select("lang", "n")
-    known = scratch.save(found.where("phrase is not null").select("lang", "phrase", "n_words", F.monotonically_increasing_id().alias("id")))
+    known = scratch.save(found.where("phrase is not null").select("lang", "phrase", F.col("n").alias("n_words"), F.monotonically_increasing_id().alias("id")))
 
     n, single = known.agg(F.count(F.lit(1)), F.count_if(F.col("n_words") == 1)).first()
     groups = -(-n // (GROUP if single <= CHARACTERS else SMALL_GROUP))
@@ -279,7 +331,8 @@ def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col
         with pa.ipc.new_stream(sink, own.schema) as out:
             out.write_table(own)
         sent = context.broadcast(zstandard.compress(sink.getvalue().to_pybytes()))
-        sums = texts.mapInArrow(_counted(sent, uuid.uuid4().hex), "place int, a long").groupBy("place").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+        sums = texts.mapInArrow(_counted(sent, uuid.uuid4().hex), "slot int, sums array<long>")
+        sums = scratch.save(sums).repartition("slot").mapInArrow(lean(slot_sums), "place int, n long").select("place", F.col("n").alias("a")).where(F.col("a") >= least)
         ids = spark.createDataFrame(pa.table({"place": pa.array(np.arange(own.num_rows, dtype=np.int32)), "id": own.column("id")}))
         parts.append(scratch.save(sums.join(ids, "place").select("id", "a")))
         sent.unpersist()

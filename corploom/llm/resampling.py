@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_shuffles, lean, pieces, table
-from .words import Vocabulary, flat, numbered, spans, stretches
+from .words import SLOT, Vocabulary, flat, numbered, slot_sums, spans, stretches
 
 #: Words of a feature at most, buckets, words that a document must have to be drawn, percent of them that are drawn, seed of the noise.
 LONGEST, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, "42"
@@ -162,39 +162,46 @@ def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(BUCKETS, np.int64)
+    sums = np.zeros(-(-BUCKETS // SLOT) * SLOT, np.int64)
     for blocks in _by_part(batches):
         strings, n = _entries(blocks)
-        sums += np.bincount(_hashes(strings) % BUCKETS, n, BUCKETS).astype(np.int64)
-    held = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(sums[held])], ["bucket", "n"])
+        sums[:BUCKETS] += np.bincount(_hashes(strings) % BUCKETS, n, BUCKETS).astype(np.int64)
+    held = np.flatnonzero(sums.reshape(-1, SLOT).any(axis=1))
+    values = pa.FixedSizeListArray.from_arrays(sums.reshape(-1, SLOT)[held].ravel(), SLOT).cast(pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), values], ["slot", "sums"])
 
 
-def _rounds(texts: DataFrame, text_col: str) -> Iterator[DataFrame]:
-    """Blocks of each round, sorted by part; parts are so many that the distinct features of one fit in memory, were all features distinct."""
+def _parts(texts: DataFrame, text_col: str) -> int:
+    """Parts of a round: so many that the distinct features of one fit in memory, were all features distinct."""
     size = texts.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-size * LONGEST * (LONGEST + 1) // 2 // (PART * ROUNDS)))
-    for turn in range(ROUNDS):
-        blocks = texts.select(F.col(text_col).cast("string")).mapInArrow(lean(_blocks(parts, turn)), "part int, block binary")
-        yield blocks.repartition(parts, "part").sortWithinPartitions("part")
+    return max(least, -(-size * LONGEST * (LONGEST + 1) // 2 // (PART * ROUNDS)))
+
+
+def _dealt(texts: DataFrame, text_col: str, parts: int, turn: int) -> DataFrame:
+    """A round's blocks, sorted by part."""
+    blocks = texts.select(F.col(text_col).cast("string")).mapInArrow(lean(_blocks(parts, turn)), "part int, block binary")
+    return blocks.repartition(parts, "part").sortWithinPartitions("part")
 
 
 def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``(feature, bucket, n)``: every distinct feature of all texts, once."""
-    rows = [b.mapInArrow(lean(_entry_rows), "feature string, bucket int, n long") for b in _rounds(texts, text_col)]
+    parts = _parts(texts, text_col)
+    rows = [_dealt(texts, text_col, parts, turn).mapInArrow(lean(_entry_rows), "feature string, bucket int, n long") for turn in range(ROUNDS)]
     return reduce(DataFrame.unionByName, rows)
 
 
 def bucket_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(bucket, n)``: the dictionary's counts added up by bucket, a round at a time."""
-    scratch, sums = Scratch(texts.sparkSession, "resampling"), []
-    for blocks in _rounds(texts, text_col):
-        own = blocks.mapInArrow(lean(_bucket_rows), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        sums.append(scratch.save(own))
-        del blocks, own
-        free_shuffles(texts.sparkSession)
-    return reduce(DataFrame.unionByName, sums).groupBy("bucket").agg(F.sum("n").alias("n"))
+    """``(bucket, n)``: the dictionary's counts added up by bucket, a round at a time.
+
+    A task sends its sums as rows of many buckets, so few rows meet in the end.
+    """
+    scratch, parts = Scratch(texts.sparkSession, "resampling"), _parts(texts, text_col)
+    sums = []
+    for turn in range(ROUNDS):
+        sums.append(scratch.save(_dealt(texts, text_col, parts, turn).mapInArrow(lean(_bucket_rows), "slot int, sums array<long>")))
+        free_shuffles(texts.sparkSession)  # the round's blocks go before the next one's come
+    return reduce(DataFrame.unionByName, sums).repartition("slot").mapInArrow(lean(slot_sums), "place int, n long").withColumnRenamed("place", "bucket")
 
 
 def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:

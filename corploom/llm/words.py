@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lean
 
+#: Counts in a row of sums.
+SLOT = 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -60,6 +62,11 @@ class Vocabulary:
         self.at = np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
         self.text = np.frombuffer(self.words.buffers()[2], np.uint8)
 
+    def listed(self) -> list[bytes]:
+        """The words, without their spaces."""
+        text, at = self.text.tobytes(), self.at.tolist()
+        return [text[a : b - 1] for a, b in zip(at, at[1:])]
+
     def joined(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of these words one after the other, each with its space."""
         start, size = self.at[ids], self.at[ids + 1] - self.at[ids]
@@ -67,6 +74,19 @@ class Vocabulary:
         return self.text[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
 
 
+def slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(place, n)``, n above zero, of all rows ``(slot, sums)`` of some slots: the sums of places ``slot * SLOT`` and on, added up."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SLOT)
+        for slot, v in zip(b.column(0).to_pylist(), rows):
+            sums[slot] = sums.get(slot, 0) + v
+    at = np.array(sorted(sums), np.int64)
+    n = np.concatenate([sums[k] for k in at.tolist()] or [np.zeros(0, np.int64)])
+    place = (at[:, None] * SLOT + np.arange(SLOT)).ravel()
+    yield pa.RecordBatch.from_arrays([pa.array(place[n > 0].astype(np.int32)), pa.array(n[n > 0])], ["place", "n"])
+
+
 def stretches(n: int, most: int, ahead: int) -> Iterator[tuple[int, int, int]]:
     """Words ``[a, b)`` that a stretch of at most ``most`` owns, and the end of what it reads beyond them."""
     for a in range(0, n, most):
