@@ -1,9 +1,11 @@
 """Content-addressed WARC archive.
 
 Payload bytes are stored once in a table keyed by their SHA-256, exact record
-headers in a table of their own, and a join reconstructs the records.  Every
-payload read back is hashed again and must bear out its key; a record whose
-payload is not there is an error.
+headers in a table of their own, and a join reconstructs the records.  Payloads
+are written in buckets of their key, so that join moves headers to payloads and
+never a payload; a payload that very many records share is joined to them in
+several tasks.  Every payload read back is hashed again and must bear out its
+key; a record whose payload is not there is an error.
 
 Each record has an id of its own, made of its content and its place in the
 table.  Page ids, and urls as they were, stand in fields of their own, since a
@@ -19,6 +21,7 @@ empty archive; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +38,13 @@ def _http(length: Column) -> Column:
     return F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), length.cast("string"), F.lit(_END * 2))
 
 
-def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = LEAST_BYTES, date: datetime | None = None) -> None:
+def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = LEAST_BYTES, date: datetime | None = None) -> int:
     """Write one WARC record per row as two Parquet tables.
 
     headers: ``key`` (SHA-256 of the payload), ``header`` (the record's exact
     WARC header and, for responses, HTTP header).  payloads: ``key, payload``.
-    ``date`` is when the pages were fetched; if it is not given, now.
+    ``date`` is when the pages were fetched; if it is not given, now.  Returns
+    the number of payloads' buckets, for ``read_records``.
     """
     when = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
@@ -85,13 +89,15 @@ def write_archive(pages: DataFrame, headers_path: str, payloads_path: str, id_co
         F.lit(_END * 2), http,
     )
     joined.select("key", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(headers_path)
-    # payloads: only the rows that stand for one carry their bytes, dealt once by (id, key); ids are spread, so no key is hot
-    stand = first.select(F.col("first_id").alias("_id"), "k")
-    once = rows.select(F.coalesce("id", F.lit(least_id)).alias("_id"), F.col("key").alias("k"), "payload")
-    once.join(stand, ["_id", "k"], "left_semi").dropDuplicates(["_id", "k"]).select(F.col("k").alias("key"), "payload").write.option(
-        "compression", "zstd"
-    ).parquet(payloads_path)
+    # payloads: of each key any row's bytes, for they are equal; copies in one task meet before they are dealt
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"payloads_{uuid.uuid4().hex}"
+    once = rows.select("key", "payload").dropDuplicates(["key"])
+    once.write.format("parquet").bucketBy(buckets, "key").sortBy("key").option("compression", "zstd").option("path", payloads_path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone; the files are the archive's
     known.drop(first, lean)
+    return buckets
 
 
 def read_headers(spark: SparkSession, headers_path: str) -> DataFrame:
@@ -110,9 +116,15 @@ def read_headers(spark: SparkSession, headers_path: str) -> DataFrame:
     )
 
 
-def read_payloads(spark: SparkSession, payloads_path: str) -> DataFrame:
-    """``key, payload``; fails where the stored bytes do not bear out their key."""
-    return spark.read.schema("key binary, payload binary").parquet(payloads_path).select(
+def read_payloads(spark: SparkSession, payloads_path: str, buckets: int | None = None) -> DataFrame:
+    """``key, payload``; fails where the stored bytes do not bear out their key.  With ``buckets`` rows stay where their key's bucket is read."""
+    if buckets is None:
+        stored = spark.read.schema("key binary, payload binary").parquet(payloads_path)
+    else:
+        name = f"payloads_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} (key BINARY, payload BINARY) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{payloads_path}'")
+        stored = spark.table(name)
+    return stored.select(
         "key",
         F.when(F.unhex(F.sha2("payload", 256)) == F.col("key"), F.col("payload")).otherwise(
             F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.hex("key"))).cast("binary")
@@ -120,9 +132,28 @@ def read_payloads(spark: SparkSession, payloads_path: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, headers_path: str, payloads_path: str) -> DataFrame:
-    """Original records: the parsed header, ``payload`` and the exact ``record`` bytes; fails where a payload is missing."""
-    whole = read_headers(spark, headers_path).join(read_payloads(spark, payloads_path), "key", "left")
+def read_records(spark: SparkSession, headers_path: str, payloads_path: str, buckets: int | None = None) -> DataFrame:
+    """Original records: the parsed header, ``payload`` and the exact ``record`` bytes; fails where a payload is missing.
+
+    With ``buckets``, as ``write_archive`` returned it, no payload is shuffled
+    but those of hot keys: a key with more than half a bucket's share of the
+    records, so at most two for each bucket.  Their records are dealt into as
+    many shares as they are worth, with a copy of the payload each; that makes
+    four copies for each bucket at most.
+    """
+    heads, payloads = read_headers(spark, headers_path), read_payloads(spark, payloads_path, buckets)
+    if buckets is None:
+        whole = heads.join(payloads, "key", "left")
+    else:
+        stored = spark.read.schema("key binary").parquet(headers_path)
+        share = max(1.0, stored.count() / (2 * buckets))
+        hot = stored.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+        hot = Scratch(spark, "warc").save(hot.select(F.col("key").alias("hot"), F.ceil(F.col("n") / share).cast("int").alias("shares")))
+        told = heads.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")  # two keys for each bucket at most
+        cold = told.where("hot is null").drop("hot", "shares").join(payloads, "key", "left")
+        dealt = told.where("hot is not null").withColumn("share", F.pmod(F.xxhash64("header"), F.col("shares")).cast("int")).drop("hot", "shares")
+        copies = payloads.join(F.broadcast(hot), F.col("key") == F.col("hot")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("key", "share", "payload")
+        whole = cold.unionByName(dealt.join(copies, ["key", "share"], "left").drop("share"))
     missing = F.raise_error(F.concat(F.lit("no stored payload of digest "), F.hex("key"))).cast("binary")
     whole = whole.withColumn("payload", F.coalesce("payload", missing))
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
@@ -130,20 +161,13 @@ def read_records(spark: SparkSession, headers_path: str, payloads_path: str) ->
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written and read back; digest and length are those of the bytes read back.
-
-    Each stored payload is hashed once and its digest joined to every record of
-    it, so no payload is shuffled to its records; ``read_records`` does that.
-    """
+    """Every page written and its record read back; digest and length are those of the payload in the reconstructed record."""
     place = Scratch(spark, "archive")
     headers, payloads = place.path(), place.path()
-    write_archive(table(spark, sf_dir, "pages"), headers, payloads)
-    stored = read_payloads(spark, payloads).select(
-        "key", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
-    )
-    heads = read_headers(spark, headers).drop("payload_bytes", "payload_digest").join(stored, "key", "left")
-    missing = F.raise_error(F.concat(F.lit("no stored payload of digest "), F.hex("key"))).cast("string")
-    return heads.select("page_id", "payload_bytes", F.coalesce("payload_digest", missing).alias("payload_digest"), "record_type", "refers_to")
+    buckets = write_archive(table(spark, sf_dir, "pages"), headers, payloads)
+    records = read_records(spark, headers, payloads, buckets)
+    told = F.sha1("payload").alias("payload_digest")
+    return records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), told, "record_type", "refers_to")
 
 
 OP2_SQL = """

@@ -263,3 +263,28 @@ def test_scratch_belongs_to_its_scope(spark):
     with pytest.raises(Exception):
         inner.count()
     storage.release(spark)
+
+
+def test_warc_buckets_and_hot_payloads(spark, tmp_path):
+    """Payloads stay in their buckets; records of a payload that two thirds of them share are rebuilt in several shares."""
+    rng = random.Random(17)
+    hot = prose(300, rng)
+    rows = [(k, f"http://h/{k}", hot if k % 3 else prose(5 + k % 200, rng)) for k in range(90)] + [(90, None, None), (None, "http://h/x", hot)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    h, p = f"{tmp_path}/h", f"{tmp_path}/p"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        buckets = warc.write_archive(df, h, p)
+        records = warc.read_records(spark, h, p, buckets)
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        plain = warc.read_records(spark, h, p)
+        told = lambda d: sorted((r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["refers_to"], bytes(r["payload"]), bytes(r["record"])) for r in d.collect())
+        got = told(records)
+        assert got == told(plain) and len(got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in plan
+    assert [x[4].decode() for x in got[:91]] == [r[2] or "" for r in rows[:91]]
+    kinds = {x[1]: (x[2], x[3]) for x in got[:91]}
+    assert kinds[89] == ("response", None) and all(kinds[k] == ("revisit", 89) for k in range(88) if k % 3)
