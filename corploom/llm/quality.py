@@ -8,7 +8,8 @@ calibration rows turns scores into probabilities: between the middles of two
 pooled blocks the score runs from one block's share to the next one's.
 
 Learning rows are split by a hash of their id: one part fits the ridge, the
-other the calibration, so scores are calibrated on rows the ridge has not seen.
+other chooses the kernel's width and fits the calibration, so both are judged
+on rows that the ridge has not seen, and held-out rows have no say in anything.
 
 Defined results: null and empty texts get the statistics of an empty text and
 a score; very long texts are read whole; equal statistics tie; repeated rows
@@ -46,8 +47,8 @@ _KIND[np.frombuffer(b"#$%&*@^~+", np.uint8)] = 9
 _KIND[np.frombuffer(b"'\"-:;", np.uint8)] = 10
 _KIND[128:] = 11
 N_STATS = 21
-#: Width of the kernel, in standard deviations of a statistic.
-WIDTH = 1.5 * N_STATS**0.5
+#: Widths of the kernel to choose from, in standard deviations of a statistic.
+WIDTHS = tuple(w * N_STATS**0.5 for w in (0.75, 1.0, 1.5, 2.25))
 
 
 def statistics(text: bytes | None) -> list[float]:
@@ -166,6 +167,21 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.at, self.share), 0, 1)
 
 
+def squared_errors(rows: DataFrame, models: list[tuple[Fourier, np.ndarray]]) -> list[float]:
+    """Of each ridge the sum of squared differences between its scores and the labels, added up within partitions first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(models))
+        for b in batches:
+            if b.num_rows:
+                x, y = _matrix(b, "x"), b.column(b.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
+                total += [float(((phi(x) @ beta - y) ** 2).sum()) for phi, beta in models]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(total)], ["k", "e"])
+
+    got = rows.select("x", "y").mapInArrow(lean(run), "k int, e double").groupBy("k").agg(F.sum("e").alias("e")).collect()  # a row a model
+    return [r["e"] for r in sorted(got, key=lambda r: r["k"])]
+
+
 def learn(rows: DataFrame) -> Model:
     """``rows(x, y, part)``: part 0 fits the ridge, part 1 the calibration."""
     stats = rows.select(
@@ -177,9 +193,13 @@ def learn(rows: DataFrame) -> Model:
     if not 0 < ones0 < n0:
         return model
     mean, std = np.array(stats[4::2], float), np.array(stats[5::2], float)
-    model.phi = Fourier(mean, np.where(std > 1e-9, std, 1.0), width=WIDTH)
-    a, b = normal_equations(rows.where("part = 0"), model.phi)
-    model.beta = np.linalg.solve(a + RIDGE * n0 * np.eye(len(a)), b)
+    fit = rows.where("part = 1") if n > n0 else rows
+    tried = []
+    for width in WIDTHS:
+        phi = Fourier(mean, np.where(std > 1e-9, std, 1.0), width=width)
+        a, b = normal_equations(rows.where("part = 0"), phi)
+        tried.append((phi, np.linalg.solve(a + RIDGE * n0 * np.eye(len(a)), b)))
+    model.phi, model.beta = tried[int(np.argmin(squared_errors(fit, tried)))]
     sent = model
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +208,6 @@ def learn(rows: DataFrame) -> Model:
                 k = np.clip((sent.raw(_matrix(b, "x")) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(k), b.column(b.schema.get_field_index("y"))], ["k", "y"])
 
-    fit = rows.where("part = 1") if n > n0 else rows
     hist = fit.select("x", "y").mapInArrow(bins, "k int, y double").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).orderBy("k").collect()
     k, n, y = (np.array([r[i] for r in hist], float) for i in range(3))
     model.at, model.share = isotonic(n, y, (k + 0.5) / BINS * 2 - 0.5)
