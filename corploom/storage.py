@@ -39,6 +39,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 @contextmanager
 def scope(name: str) -> Iterator[None]:
     """Scratch tables made inside belong to ``name``, so that ``release`` can delete them and no others."""

@@ -1,6 +1,7 @@
 """Whole runs: passes and repairs, settings, the service source, the command line."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,10 +156,10 @@ def test_settings(tmp_path):
 
 
 class Client:
-    """A service of 1200 functions."""
+    """A service of 1200 functions that fails by kinds; it keeps count of its calls in a folder, and dies where a file there says so."""
 
     def __init__(self, options):
-        self.looks = 0
+        self.looks, self.folder, self.calls = 0, options["folder"], {}
 
     def ready(self):
         self.looks += 1
@@ -168,32 +169,50 @@ class Client:
         return 1200
 
     def list(self, offset, limit):
-        return [{"address": f"0x{k:x}", "name": f"f{k}", "is_thunk": k == 7, "is_external": k == 8} for k in range(offset, min(1200, offset + limit))]
+        if os.path.exists(f"{self.folder}/dies{offset}"):
+            raise RuntimeError("died")
+        rows = [{"address": f"0x{k:x}", "name": f"f{k}", "is_thunk": k == 7, "is_external": k == 8} for k in range(offset, min(1200, offset + limit))]
+        return rows + [{"address": "0x11", "name": "a_second_name"}] * (offset == 500)
 
     def decompile(self, address):
-        if address == "0x9":
+        with open(f"{self.folder}/calls", "a") as f:
+            f.write(address + "\n")
+        n = self.calls[address] = self.calls.get(address, 0) + 1
+        if address == "0x9" or (address == "0x12" and n < 3):
             raise OSError("gone")
+        if address == "0x13":
+            return service.answer("sorry", refused=True)
+        if address == "0x14":
+            return service.answer(" " if n == 1 else "{no json")
+        if address == "0x11" and n == 1 and not os.path.exists(f"{self.folder}/well"):
+            open(f"{self.folder}/well", "w").close()
+            raise ValueError("once")
         return ("" if address == "0xa" else f"int f;\r\n\n\n// {address}"), "p"
 
 
-def test_service(spark, monkeypatch):
-    import os
-    import sys
-
-    here = os.path.dirname(os.path.abspath(__file__))
-    monkeypatch.syspath_prepend(here)
-    code = "import importlib.util\nspec = importlib.util.spec_from_file_location('_run', %r)\nm = importlib.util.module_from_spec(spec)\nspec.loader.exec_module(m)\nmake = m.Client\n" % os.path.abspath(__file__)
-    import tempfile
-
-    folder = tempfile.mkdtemp()
-    with open(os.path.join(folder, "fake_service.py"), "w") as f:
-        f.write(code)
-    monkeypatch.syspath_prepend(folder)
-    spark.sparkContext.addPyFile(os.path.join(folder, "fake_service.py"))
-    assert "fake_service" not in sys.modules or True
-    good, failed = service.read_service(spark, "fake_service:make", poll="0")
-    assert good.count() == 1200 - 4 and [(r["address"], r["error"]) for r in failed.collect()] == [("00000009", "OSError: gone")]
-    assert good.where("address = '00000001'").first()["code"] == "int f;\n// 0x1"
+def test_service(spark, tmp_path, monkeypatch):
+    code = "import importlib.util, sys\nsys.path.insert(0, %r)\nspec = importlib.util.spec_from_file_location('_run', %r)\nm = importlib.util.module_from_spec(spec)\nspec.loader.exec_module(m)\nmake = m.Client\n" % (os.path.dirname(os.path.abspath(__file__)), os.path.abspath(__file__))
+    (tmp_path / "fake_service.py").write_text(code)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_service.py"))
+    folder = tmp_path / "service"
+    folder.mkdir()
+    options = {"poll": "0", "backoff": "0.001", "folder": str(folder)}
+    calls = lambda: (folder / "calls").read_text().split()
+    (folder / "dies1000").write_text("")
+    with pytest.raises(Exception, match="died"):
+        service.fetch(spark, "fake_service:make", str(tmp_path / "out"), pages=1, **options)
+    before = len(calls())
+    (folder / "dies1000").unlink()
+    good, failed = service.fetch(spark, "fake_service:make", str(tmp_path / "out"), pages=1, **options)
+    lost = {r["address"][-2:]: (r["kind"], r["error"], r["tries"]) for r in failed.collect()}
+    assert lost == {"09": ("unreachable", "OSError: gone", 4), "13": ("refused", "Refused: sorry", 1), "14": ("malformed", lost["14"][1], 4), "0a": ("empty", "no text", 1)}
+    assert good.count() == 1200 - 2 - 4 and good.where("address = '00000001'").first()["code"] == "int f;\n// 0x1"
+    assert good.where("address = '00000011'").first()["ghidra_name"] == "a_second_name"  # it failed under its first name; a success counts before a failure
+    assert len(calls()) - before == 200 and len(set(calls())) == 1198  # the second run asked for the last page only
+    again, _ = service.fetch(spark, "fake_service:make", str(tmp_path / "out"), pages=1, **options)
+    assert again.count() == good.count() and len(calls()) - before == 200
+    assert service.kind_of(TimeoutError()) == "unreachable" and service.kind_of(KeyError()) == "failed" and service.answer('{"a": 1}') == {"a": 1}
 
 
 def test_explorer(spark):
