@@ -106,7 +106,9 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that have been written and dropped.
 
     Spark deletes them once the driver's garbage collector has found their
-    plans unused, which on a large heap may be long after.
+    plans unused, which on a large heap may be long after.  It holds on to the
+    plan that ran last, so another one runs here.
     """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
