@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import source_text as st
 from ..functions.addresses import address_number
+from ..storage import Scratch
 
 
 def drop_runtime_stubs(functions: DataFrame, name: str = "ghidra_name") -> DataFrame:
@@ -24,9 +25,16 @@ def noise_counts(docs: DataFrame, key: str, text: str, patterns: dict[str, tuple
 
 
 def select_functions(functions: DataFrame, name: str = "ghidra_name") -> tuple[DataFrame, DataFrame]:
-    """The functions without runtime stubs, and one row: how many there were, and how many went."""
+    """The functions without runtime stubs, and one row: how many there were, and how many went.
+
+    The rows are written once and counted on the way; the one row is there when
+    this returns, without a second scan.
+    """
+    spark, seen = functions.sparkSession, Observation()
     stub = st.is_runtime_stub(F.col(name))
-    return functions.where(~stub), functions.agg(F.count(F.lit(1)).alias("raw"), F.count_if(stub).alias("runtime"))
+    counted = functions.observe(seen, F.count(F.lit(1)).alias("raw"), F.count_if(stub).alias("runtime"))
+    kept = Scratch(spark, "functions").save(counted.where(~stub))
+    return kept, spark.createDataFrame([(seen.get["raw"], seen.get["runtime"])], "raw long, runtime long")
 
 
 def noise_files(counts: DataFrame, key: str, kinds: list[str], most: int = 8) -> DataFrame:

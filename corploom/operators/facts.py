@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexer
 from ..functions import source_text as st
 from ..functions.addresses import address_number
+from ..functions.batches import by_text
 from . import evidence, graph
 
 
@@ -31,21 +29,22 @@ def call_edges(functions: DataFrame) -> DataFrame:
     return counted.unionByName(named).unionByName(ordered)
 
 
+def arguments_of(code: str) -> list[tuple[str, int, int, str]]:
+    """``callee_name, line_no, arg_index, arg_text`` of every bracketed call, blank arguments left out."""
+    tk, out = lexer.Tokens(code, literals=False), []
+    for opened, mark in enumerate(tk.mark):
+        if mark == "(" and tk.mate[opened] >= 0 and tk.is_word(opened - 1) and tk.mark[opened - 1] not in lexer.KEYWORDS:
+            for k, (a, b) in enumerate(lexer.arguments(tk, opened)):
+                out.append((tk.mark[opened - 1], tk.line(tk.start[opened]), k, tk.text[tk.start[a] : tk.end[b - 1]]))
+    return out
+
+
+ARGUMENTS = "callee_name string, line_no int, arg_index int, arg_text string"
+
+
 def call_arguments(functions: DataFrame) -> DataFrame:
-    """``caller, callee_name, line_no, arg_index, arg_text`` of every bracketed call, blank arguments left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for address, code in zip(pdf["address"], pdf["code"]):
-                tk = lexer.Tokens(code or "", literals=False)
-                for opened, mark in enumerate(tk.mark):
-                    if mark == "(" and tk.mate[opened] >= 0 and tk.is_word(opened - 1) and tk.mark[opened - 1] not in lexer.KEYWORDS:
-                        for k, (a, b) in enumerate(lexer.arguments(tk, opened)):
-                            out.append((address, tk.mark[opened - 1], tk.line(tk.start[opened]), k, tk.text[tk.start[a] : tk.end[b - 1]]))
-            yield pd.DataFrame(out, columns=["caller", "callee_name", "line_no", "arg_index", "arg_text"])
-
-    return functions.select("address", "code").mapInPandas(run, "caller string, callee_name string, line_no int, arg_index int, arg_text string")
+    """``caller`` and ``arguments_of`` each text."""
+    return by_text(functions, ["address", "code"], "code", lambda a, c: [(a, *x) for x in arguments_of(c or "")], f"caller string, {ARGUMENTS}")
 
 
 def placeholders(functions: DataFrame) -> DataFrame:

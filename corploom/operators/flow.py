@@ -9,13 +9,11 @@ one site, so what enters a function at one place does not come out at another.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexer
+from ..functions.batches import by_text
 from ..storage import Scratch
 
 STEP, CALL, RETURN = "step", "call", "return"
@@ -155,14 +153,8 @@ def value_steps(functions: DataFrame) -> DataFrame:
     member (``node``, as ``base.member``) of a variable (``name``);
     ``returned``, a variable that a return names; ``parameter`` ``place``.
     """
-    names = ["address", "site", "role", "node", "name", "place"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(a, *x) for a, c in zip(pdf["address"], pdf["code"]) for x in lexer.value_uses(lexer.without_literals(c or ""))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return functions.select("address", "code").mapInPandas(run, "address string, site int, role string, node string, name string, place int")
+    make = lambda a, c: [(a, *x) for x in lexer.value_uses(lexer.without_literals(c or ""))]
+    return by_text(functions, ["address", "code"], "code", make, "address string, site int, role string, node string, name string, place int")
 
 
 def flow_graph(functions: DataFrame, scratch: Scratch) -> DataFrame:

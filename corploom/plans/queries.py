@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as ad
 from ..functions import source_text as st
-from ..operators import catalog, corpus, evidence, export, flow, graph, registry, sections, similarity, validation
+from ..operators import catalog, corpus, evidence, export, flow, graph, registry, search, sections, similarity, validation
 from ..sources import sinks
+from ..storage import Scratch
 from . import ctext
 from .catalog import merged_usage, usage_text
 
@@ -79,6 +80,13 @@ def text_search_topn(spark, sf):
     return corpus.search_text(t(spark, sf, "documents"), "doc_id", "text", "License")
 
 
+@query(r"""SELECT doc_id, line_no, substr(regexp_replace(line, '^\s+|\s+$', '', 'g'), 1, 240) AS snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE contains(lower(line), 'tioning the') ORDER BY doc_id, line_no LIMIT 100""")
+def text_search_indexed(spark, sf):
+    path = Scratch(spark, "search").path()
+    search.build(t(spark, sf, "documents"), path, "doc_id", "text")
+    return search.search(spark, path, "Tioning THE", 100).withColumnRenamed("key", "doc_id")
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_size >= 25 AND (contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type), 'red'))")
 def catalog_browse(spark, sf):
     return corpus.browse(t(spark, sf, "part"), F.col("p_size") >= 25, "Red", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name", "p_brand", "p_size")
