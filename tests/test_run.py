@@ -253,22 +253,16 @@ def test_completions(spark):
     assert (told["2"]["summary"], told["2"]["security_relevance"]["level"], told["2"]["confidence"], told["3"]["summary"]) == ("s", "high", "0x1f", None)
 
 
-def test_command_line(spark, tmp_path):
+def test_fact_tables(spark, tmp_path):
+    """A package's facts, written and asked in SQL; whole runs of the command line are in test_files."""
     raw = tmp_path / "raw"
     raw.mkdir()
-    for a, n, c in [*FUNCTIONS, ("00002000", "_start", "x")]:
-        (raw / f"{a}.json").write_text(json.dumps({"address": a, "ghidra_name": n, "code": c}))
     out = str(tmp_path / "out")
-    rows = [(f"{k:08x}", n, c) for k, (_, n, c) in zip((16, 256, 4096), FUNCTIONS)]
-    for k, (a, n, c) in enumerate(rows):
-        (raw / f"{FUNCTIONS[k][0]}.json").write_text(json.dumps({"address": a, "ghidra_name": n, "code": c}))
-    assert cli.main([str(raw), out], spark) == 0
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
-    assert read("manifest").first()["produced"] == 3 and read("counts").first()["runtime"] == 1
-    files = {r["file_name"]: r["content"] for r in read("sources").collect()}
-    assert set(files) == {"0x00000010_leaf.c", "0x00000100_mid.c", "0x00001000_top.c"} and files["0x00000010_leaf.c"].startswith('#include "types.h"\n')
-    assert [(r["func"], r["symbols"]) for r in read("unresolved").collect()] == [("0x00000100", ["FUN_00000009"])]
-    assert "int mid(int param_1);" in [r["line"] for r in read("decls").orderBy("n").collect()]
+    for a, n, c in [("00002000", "_start", "x"), *[(f"{k:08x}", n, c) for k, (_, n, c) in zip((16, 256, 4096), FUNCTIONS)]]:
+        (raw / f"{a}.json").write_text(json.dumps({"address": a, "ghidra_name": n, "code": c}))
+    kept, counts = corpus.select_functions(raw_json.read_package(spark, str(raw)))
+    assert kept.count() == 3 and counts.first().asDict() == {"raw": 4, "runtime": 1}
+    facts.write(kept, f"{out}/facts", "raw")
     facts.register(spark, f"{out}/facts", "raw")
     asked = spark.sql("SELECT e.caller, s.line_no, s.arg_text FROM call_edges e JOIN call_sites s ON s.caller = e.caller JOIN definitions d ON d.address = e.callee AND d.name = s.callee_name WHERE e.kind = 'catalog'")
     assert {tuple(r) for r in asked.collect()} == {("00000100", 4, "param_1"), ("00001000", 3, "param_1")}
