@@ -154,36 +154,36 @@ def test_a_run_leaves_files(spark, tmp_path, monkeypatch):
     passes = Passes(
         spark, tmp_path, configure=lambda s: built.append(s.timeout_seconds), structure=lambda r: structured(r["code"], NODE), name=NAMED, database=lambda o: built.append(o) or True,
         prescan=lambda x: spark.createDataFrame([("meta", '{"a": 1}'), ("noise_report", '{"by_type": "mine"}')], "section string, content string"),
-        review=lambda x, role, catalog: x.functions.where("ghidra_name = 'top'").select("address", F.replace("code", F.lit("return mid"), F.lit("return  mid")).alias("code")),
+        review=lambda x, role, catalog: x.functions.where("ghidra_name = 'mid'").select("address", F.replace("code", F.lit("return leaf"), F.lit("return  leaf")).alias("code")),
         summary=lambda: lambda prompt: json.dumps({"summary": "s", "security_relevance": {"level": "high", "reason": "r"}, "api_calls": ["system(x)"]}),
     )
     toggles = {"disable_domain_context": False, "reconstruction_workers": 3, "enable_prescan": True, "enable_multi_agent": True}
     args = settings(tmp_path, monkeypatch, TOGGLES=toggles, CONTEXT="net", OUTPUT_LANGUAGE="zh", TIMEOUT_SECONDS=7)
-    assert cli.main([package(tmp_path), out, "--passes", "told_passes", *args], spark) == cli.DONE
+    assert cli.main([package(tmp_path, FUNCTIONS[:2]), out, "--passes", "told_passes", *args], spark) == cli.DONE
     got = tree(f"{out}/reconstruction")
-    for a, (_, n, c) in zip(("00000010", "00000100", "00001000"), FUNCTIONS):
+    for a, (_, n, c) in zip(("00000010", "00000100"), FUNCTIONS):
         assert got[f"functions/0x{a}/raw.c"] == c + "\n" and f"int {n}(" in got[f"functions/0x{a}/named.c"] and got[f"functions/0x{a}/pcode.txt"] == "u1 = LOAD x\nnothing\n"
     assert "functions/0x00000010/access_evidence.txt" in got and "functions/0x00000010/naming_map.txt" not in got and "skipped.txt" not in got
     entries = json.loads(got["registry/symbol_registry.json"])
     assert {k: e["canonical_name"] for k, e in entries.items()} == {"DAT_1": "LIMIT", "FUN_00000009": "nine"} and got["registry/symbol_registry.txt"].splitlines()[0].startswith("DAT_1 -> LIMIT | kind: constant")
     assert [(o["address"], o["base"], o["offsets"]) for o in json.loads(got["access_evidence.json"])["objects"]] == [("00000010", "param_1", ["0x4"])]
     told = json.loads(got["completeness_manifest.json"])
-    assert (told["selected"], told["produced"], told["full_success"], told["failed_functions"], told["skipped_functions"]) == (3, 3, True, [], [])
+    assert (told["selected"], told["produced"], told["full_success"], told["failed_functions"], told["skipped_functions"]) == (2, 2, True, [], [])
     src = tree(f"{out}/codeql/src")
-    assert set(src) == {"0x00000010_leaf.c", "0x00000100_mid.c", "0x00001000_top.c", "stubs.h", "types.h", "macros.h", "globals.h", "decls.h"}
+    assert set(src) == {"0x00000010_leaf.c", "0x00000100_mid.c", "stubs.h", "types.h", "macros.h", "globals.h", "decls.h"}
     assert src["0x00000100_mid.c"].startswith(cli.PROLOGUE) and "nine()" in src["0x00000100_mid.c"] and got["registry/unresolved_symbols.txt"] == "(none)\n"
-    assert "return  mid" in src["0x00001000_top.c"]  # the review's text
+    assert "return  leaf" in src["0x00000100_mid.c"]  # the review's text
     assert "#define LIMIT 4\n" in src["macros.h"] and "int mid(int param_1);\n" in src["decls.h"] and "struct node {\n    unsigned char _pad0[4];\n    int value;  /* +0x4 */\n};" in src["types.h"]
     assert src["types.h"].startswith("#ifndef") and src["types.h"].endswith("#endif /* CORPLOOM_TYPES_H */\n") and src["stubs.h"] == sinks.stub_header()
     reports = tree(f"{out}/reports")
-    assert reports["report.md"].count("- level: high") == 3 and json.loads(reports["summaries/0x00000010.json"])["risk_apis"] == ["system(x)"]
+    assert reports["report.md"].count("- level: high") == 2 and json.loads(reports["summaries/0x00000010.json"])["risk_apis"] == ["system(x)"]
     asked = passes.seen["structure"][0]
     assert (asked["context"], asked["pcode"]) == ("## Domain\npackets", "u1 = LOAD x") and "Chinese" in asked["language"] and asked["bundle"].startswith("object param_1")
     assert passes.seen["name"][0]["context"].endswith("## Distortions\n### w\nfix: call it so") and passes.seen["workers"] == {3} and built == [7.0, out]
     changes = spark.read.parquet(f"{out}/changes").collect()
     assert {r["agent"] for r in changes} <= {"naming", "types", "dispatch"} and changes  # roles that may edit
     known = {r["section"]: json.loads(r["content"]) for r in spark.read.parquet(f"{out}/sections").collect()}
-    assert known["meta"] == {"a": 1} and known["noise_report"]["by_type"] == "mine" and known["noise_report"]["rule_scan"]["files_scanned"] == 3
+    assert known["meta"] == {"a": 1} and known["noise_report"]["by_type"] == "mine" and known["noise_report"]["rule_scan"]["files_scanned"] == 2
 
 
 def test_switches(spark, tmp_path, monkeypatch):
