@@ -50,11 +50,12 @@ def browse(catalog: DataFrame, shown: str = "all", query: str = "") -> DataFrame
 def call_sites(functions: DataFrame, edges: DataFrame, limit: int = 24, width: int = 240) -> DataFrame:
     """``callee, caller, line_no, snippet``: lines with ``name(`` in callers, the first ``limit`` of each callee.
 
-    The names called on each line meet the edges in an equi join.
+    The names called on each line meet the edges in a sort-merge join, never by
+    broadcast: Spark takes lines cut from text for as small as the table they came from.
     """
     lines = functions.select(F.col("address").alias("caller"), F.posexplode(st.lines(F.col("code"))).alias("pos", "line"))
     named = lines.select("caller", "pos", st.stripped(F.col("line")).substr(1, width).alias("snippet"), F.explode(graph.called_names(F.col("line"))).alias("callee_name"))
-    met = edges.select("caller", "callee", "callee_name").join(named, ["caller", "callee_name"])
+    met = edges.select("caller", "callee", "callee_name").join(named.hint("merge"), ["caller", "callee_name"])
     w = Window.partitionBy("callee").orderBy("caller", "pos")
     return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).select("callee", "caller", (F.col("pos") + 1).alias("line_no"), "snippet")
 
@@ -62,7 +63,7 @@ def call_sites(functions: DataFrame, edges: DataFrame, limit: int = 24, width: i
 def neighbours(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """``caller, caller_name, callee, callee_name`` of all edges: callers and callees of every function at once."""
     named = lambda who: functions.select(F.col("address").alias(who), F.col("name").alias(who + "_name"))
-    return edges.select("caller", "callee").distinct().join(named("caller"), "caller").join(named("callee"), "callee").select("caller", "caller_name", "callee", "callee_name")
+    return edges.select("caller", "callee").distinct().join(named("caller").hint("merge"), "caller").join(named("callee").hint("merge"), "callee").select("caller", "caller_name", "callee", "callee_name")
 
 
 def callers(edges: DataFrame, address: str) -> DataFrame:

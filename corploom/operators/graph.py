@@ -25,13 +25,14 @@ def call_edges(functions: DataFrame, by_name: bool = False) -> DataFrame:
     """``caller, callee, callee_name`` of ``name(`` mentions, self-calls apart; a name means the least address that bears it.
 
     Every text is cut into called names once; names meet the functions in a
-    hash join.  Comments count, as the tool that this serves reads them.  With
+    sort-merge join: Spark's sizes of cut-up text are far too low, and a
+    broadcast of it would outgrow the driver.  Comments count, as the tool that this serves reads them.  With
     ``by_name``, as callers are counted, a mention of the caller's own name is a
     self-call whatever address it means.
     """
     called = functions.select(F.col("address").alias("caller"), F.col("ghidra_name").alias("_own"), F.explode(called_names(F.col("code"))).alias("callee_name"))
     apart = F.col("callee_name") != F.col("_own") if by_name else F.col("callee") != F.col("caller")
-    return called.join(_first_of_name(functions), "callee_name").where(apart).select("caller", "callee", "callee_name").distinct()
+    return called.join(_first_of_name(functions).hint("merge"), "callee_name").where(apart).select("caller", "callee", "callee_name").distinct()
 
 
 def placeholder_edges(functions: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def placeholder_edges(functions: DataFrame) -> DataFrame:
     hexes = F.array_distinct(F.regexp_extract_all("code", F.lit(r"\bFUN_([0-9a-fA-F]+)\b"), F.lit(1)))
     found = functions.select(F.col("address").alias("caller"), F.explode(hexes).alias("hex"))
     known = functions.select(F.col("address").alias("callee"))
-    return found.select("caller", normalize_address(F.col("hex")).alias("callee")).join(known, "callee").where("caller <> callee").select("caller", "callee").distinct()
+    return found.select("caller", normalize_address(F.col("hex")).alias("callee")).join(known.hint("merge"), "callee").where("caller <> callee").select("caller", "callee").distinct()
 
 
 def order_edges(functions: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def order_edges(functions: DataFrame) -> DataFrame:
     """
     named = functions.where(~F.startswith("ghidra_name", F.lit("FUN_")))
     called = functions.select(F.col("address").alias("caller"), F.explode(called_names(F.col("code"))).alias("callee_name"))
-    by_name = called.join(_first_of_name(named, last=True), "callee_name").where("caller <> callee").select("caller", "callee")
+    by_name = called.join(_first_of_name(named, last=True).hint("merge"), "callee_name").where("caller <> callee").select("caller", "callee")
     return placeholder_edges(functions).unionByName(by_name).distinct().select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
 
 
