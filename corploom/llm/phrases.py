@@ -7,30 +7,30 @@ Three passes over the texts, everything for each language apart:
   become one bit a cell: whether it reached ``least``.  A sum is an upper bound
   of each of its phrases' counts, so no frequent phrase has a cell without bit;
 * phrases whose cell, and the cells of all phrases inside them, have their bits
-  are candidates, and with them their words;
-* candidates are dealt into groups of bounded size.  For each group a task gives
-  every word of the vocabulary a character of its own and compiles the phrases
-  into one automaton a language; texts become strings of such characters in
-  which a guard character stands wherever a piece or a text ends or a word is in
-  no candidate, so no match crosses it, and the automaton counts every match,
-  overlapping ones too.
-
-Counts of tasks are added up, and only they decide: a sketch that is too small
-for its corpus (its bits are bounded by ``MOST_BITS``) gives more candidates and
-more groups, each of which scans the texts once, never other results.
+  are candidates; the same pass counts them by their 64-bit hashes, and those
+  that reach ``least`` are kept, with all words' number;
+* what is reported, a bounded number of phrases and the two parts of each, is
+  counted again: a task gives every word a character of its own and compiles the
+  phrases into one automaton a language; texts become strings of such characters
+  in which a guard character stands wherever a piece or a text ends or a word is
+  in none, so no match crosses it, and the automaton counts every match,
+  overlapping ones too.  A count that differs is an error, never a result.
+
+A sketch that is too small for its corpus (its bits are bounded by ``MOST_BITS``)
+gives more candidates, never other results; the texts are read three times.
 
 Defined results: null and empty texts hold nothing; a null language is ``und``;
 very long texts are read whole, a stretch at a time; repeated rows count each
 time; ties in score go to the more frequent phrase, then to the first in byte
 order; a language without phrases has no rows; an empty table gives an empty
-result; other columns are ignored.  Candidates of one stretch are told apart by
-64-bit hashes.
+result; other columns are ignored.  Candidates are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import ahocorasick
@@ -162,23 +162,48 @@ def sketch(texts: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
+_CANDIDATE = ["part", "lang", "phrases", "words", "keys", "counts"]
+
+
 def _candidates(sent, bits: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``(part, lang, phrases, words)``: candidates of a language, a line each, once for a while; at the end the numbers of all words."""
+        """``(part, lang, phrases, words, keys, counts)``: candidates of a language, a line each, once for a while, with their hashes; hashes and how often they were met; at the end the numbers of all words."""
         table = sent.value
-        seen = np.zeros(0, np.uint64)
+        seen, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         words: dict[str, int] = {}
-        held: dict[tuple[int, str], bytearray] = {}
+        held: dict[tuple[int, str], tuple[bytearray, bytearray]] = {}
         size = 0
 
+        def fold() -> None:
+            nonlocal seen, often
+            keys = np.concatenate([seen, *(k for k, _ in met)])
+            counts = np.concatenate([often, *(n for _, n in met)])
+            met.clear()
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            seen, often = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+        def counted() -> pa.RecordBatch:
+            part = ((seen >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            many = np.bincount(part, minlength=parts)
+            ends = np.cumsum(many)
+            own = np.flatnonzero(many)
+            cut = lambda x: pa.array([x[order[e - n : e]].tobytes() for n, e in zip(many[own].tolist(), ends[own].tolist())], pa.binary())
+            none = len(own)
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.nulls(none, pa.string()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()), cut(seen), cut(often)], _CANDIDATE)
+
         def rows() -> pa.RecordBatch:
             part, lang = [k for k, _ in held], [x for _, x in held]
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array([x.decode() for x in held.values()], pa.string()), pa.nulls(len(held), pa.int64())], ["part", "lang", "phrases", "words"])
+            none = pa.nulls(len(held), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array([x.decode() for x, _ in held.values()], pa.string()), none, pa.array([bytes(k) for _, k in held.values()], pa.binary()), pa.nulls(len(held), pa.binary())], _CANDIDATE)
 
         for names, s in _stretches(batches, STRETCH):
             for k, n in enumerate(np.bincount(s.lang[: s.own], minlength=len(names)).tolist()):
                 words[names[k]] = words.get(names[k], 0) + n
-            runs, ok, fresh = s.runs(_seeds(names)), None, []
+            runs, ok = s.runs(_seeds(names)), None
             while True:
                 try:
                     n, at, h = runs.send(ok)
@@ -187,15 +212,14 @@ def _candidates(sent, bits: int, parts: int):
                 cell = h >> np.uint64(64 - bits)
                 ok = (table[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 > 0
                 mine = ok & (at < s.own)
-                own, place = h[mine], at[mine]
+                own, first, many = np.unique(h[mine], return_index=True, return_counts=True)
+                place = at[mine][first]
+                met.append((own, many))
                 if len(seen):
                     new = seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
                     own, place = own[new], place[new]
-                own, first = np.unique(own, return_index=True)
-                place = place[first]
                 if not len(place):
                     continue
-                fresh.append(own)
                 key = s.lang[place].astype(np.int64) * parts + ((own >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(key, kind="stable")
                 ids = s.v.ids[place[order][:, None] + np.arange(n)]
@@ -204,44 +228,65 @@ def _candidates(sent, bits: int, parts: int):
                 text[end - 1] = 10  # no phrase holds a line end
                 keys, count = np.unique(key, return_counts=True)
                 at_end = end[np.cumsum(count) - 1]
-                for k, a, b in zip(keys.tolist(), [0, *at_end[:-1].tolist()], at_end.tolist()):
-                    held.setdefault((k % parts, names[k // parts]), bytearray()).extend(text[a:b].tobytes())
+                hashes, upto = own[order], np.cumsum(count)
+                for k, a, b, i, j in zip(keys.tolist(), [0, *at_end[:-1].tolist()], at_end.tolist(), (upto - count).tolist(), upto.tolist()):
+                    lines, of = held.setdefault((k % parts, names[k // parts]), (bytearray(), bytearray()))
+                    lines.extend(text[a:b].tobytes())
+                    of.extend(hashes[i:j].tobytes())
                 size += len(text)
-            if fresh:
-                seen = np.sort(np.concatenate([*fresh, seen] if len(seen) < REMEMBERED else fresh))
+            fold()
+            if len(seen) > REMEMBERED:
+                yield counted()
+                seen, often = seen[:0], often[:0]
             if size > AT_ONCE:
                 yield rows()
                 held, size = {}, 0
         yield rows()
+        yield counted()
         of = [xxhash.xxh64_intdigest(x.encode()) % parts for x in words]
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(list(words), pa.string()), pa.nulls(len(of), pa.string()), pa.array(list(words.values()), pa.int64())], ["part", "lang", "phrases", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(list(words), pa.string()), pa.nulls(len(of), pa.string()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(of), pa.binary()), pa.nulls(len(of), pa.binary())], _CANDIDATE)
 
     return run
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, phrase, n)``: every candidate of some parts once, with its words' number; without a phrase a language's sum of words."""
-    now, found, words = None, {}, {}
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for lang, phrases in found.items():
-            listed = sorted(phrases)
-            for k in range(0, len(listed), 1 << 16):
-                own = listed[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string()), pa.array([p.count(" ") + 1 for p in own], pa.int64())], ["lang", "phrase", "n"])
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "n"])
-
-    for b in batches:
-        for part, lang, phrases, n in zip(*(b.column(k).to_pylist() for k in range(4))):
-            if part != now:
-                yield from rows()
-                now, found, words = part, {}, {}
-            if phrases is None:
-                words[lang] = words.get(lang, 0) + n
-            else:
-                found.setdefault(lang, set()).update(phrases[:-1].split("\n"))
-    yield from rows()
+def _distinct(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``(lang, phrase, n, a)``: every phrase of some parts that was met ``least`` times, once, with its words' number; without a phrase a language's sum of words."""
+        now, found, words, keys, counts = None, {}, {}, [], []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            all_keys, place = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)
+            total = np.zeros(len(all_keys), np.int64)
+            np.add.at(total, place, np.concatenate([*counts, np.zeros(0, np.int64)]))
+            for lang, (lines, own) in found.items():
+                of = np.frombuffer(own, np.uint64)
+                sums = total[np.searchsorted(all_keys, of)]
+                enough = np.flatnonzero(sums >= least).tolist()
+                told = lines.decode().split("\n")
+                listed = sorted({(told[k], int(sums[k])) for k in enough})
+                for k in range(0, len(listed), 1 << 16):
+                    some = listed[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([p for p, _ in some], pa.string()), pa.array([p.count(" ") + 1 for p, _ in some], pa.int64()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "n", "a"])
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.int64())], ["lang", "phrase", "n", "a"])
+
+        for b in batches:
+            for part, lang, phrases, n, of, many in zip(*(c.to_pylist() for c in b.columns)):
+                if part != now:
+                    yield from rows()
+                    now, found, words, keys, counts = part, {}, {}, [], []
+                if many is not None:
+                    keys.append(np.frombuffer(of, np.uint64))
+                    counts.append(np.frombuffer(many, np.int64))
+                elif phrases is None:
+                    words[lang] = words.get(lang, 0) + n
+                else:
+                    lines, own = found.setdefault(lang, (bytearray(), bytearray()))
+                    lines.extend(phrases.encode())
+                    own.extend(of)
+        yield from rows()
+
+    return run
 
 
 class _Automata:
@@ -305,43 +350,48 @@ def _counted(sent, name: str):
     return lean(run, keeps="phrases")
 
 
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+
 def counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """``(lang, phrase, n_words, a)``, every word and phrase that occurs ``least`` times or more, and ``(lang, n)``, all words."""
+    """``(lang, phrase, n_words, a)``, every word and phrase that occurs ``least`` times or more, and ``(lang, n)``, all words.
+
+    The texts are read twice, whatever the number of candidates.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    texts = _texts(docs, text_col, lang_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(size // 8).bit_length()))  # about four occurrences a cell
-    context = spark.sparkContext
-    sent = context.broadcast(sketch(texts, least, bits))
+    sent = spark.sparkContext.broadcast(sketch(texts, least, bits))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
-    found = texts.mapInArrow(lean(_candidates(sent, bits, parts)), "part int, lang string, phrases string, words long").repartition(parts, "part").sortWithinPartitions("part")
-    found = scratch.save(found.mapInArrow(lean(_distinct), "lang string, phrase string, n long"))
+    found = texts.mapInArrow(lean(_candidates(sent, bits, parts)), "part int, lang string, phrases string, words long, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = scratch.save(found.mapInArrow(lean(_distinct(least)), "lang string, phrase string, n long, a long"))
     sent.unpersist()
-    words = found.where("phrase is null").select("lang", "n")
-    known = scratch.save(found.where("phrase is not null").select("lang", "phrase", F.col("n").alias("n_words"), F.monotonically_increasing_id().alias("id")))
+    return found.where("phrase is not null").select("lang", "phrase", "a", F.col("n").alias("n_words")), found.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
+
 
-    n, single = known.agg(F.count(F.lit(1)), F.count_if(F.col("n_words") == 1)).first()
+def recounted(texts: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(lang, phrase, a)`` of ``known(lang, phrase)``: matches of an automaton a language, one scan of the texts for each group of phrases."""
+    spark = texts.sparkSession
+    known = scratch.save(known.withColumn("id", F.monotonically_increasing_id()))
+    n, single = known.agg(F.count(F.lit(1)), F.count_if(~F.contains("phrase", F.lit(" ")))).first()
     groups = -(-n // (GROUP if single <= CHARACTERS else SMALL_GROUP))
-    dealt = scratch.save(known.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(max(1, groups))).cast("int")))
-    parts = []
+    dealt = known.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(max(1, groups))).cast("int"))
+    parts = [known.select("id", F.lit(0).cast("long").alias("a")).limit(0)]
     for g in range(groups):
         own = dealt.where(F.col("group") == g).select("id", "lang", "phrase").toArrow()  # a group's size is bounded
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, own.schema) as out:
             out.write_table(own)
-        sent = context.broadcast(zstandard.compress(sink.getvalue().to_pybytes()))
+        sent = spark.sparkContext.broadcast(zstandard.compress(sink.getvalue().to_pybytes()))
         sums = texts.mapInArrow(_counted(sent, uuid.uuid4().hex), "slot int, sums array<long>")
-        sums = scratch.save(sums).repartition("slot").mapInArrow(lean(slot_sums), "place int, n long").select("place", F.col("n").alias("a")).where(F.col("a") >= least)
+        sums = scratch.save(sums).repartition("slot").mapInArrow(lean(slot_sums), "place int, n long").select("place", F.col("n").alias("a"))
         ids = spark.createDataFrame(pa.table({"place": pa.array(np.arange(own.num_rows, dtype=np.int32)), "id": own.column("id")}))
         parts.append(scratch.save(sums.join(ids, "place").select("id", "a")))
         sent.unpersist()
-    if not parts:
-        return dealt.select("lang", "phrase", F.lit(0).cast("long").alias("a"), "n_words"), words
-    enough = parts[0]
-    for p in parts[1:]:
-        enough = enough.unionByName(p)
-    return scratch.save(dealt.join(enough, "id").select("lang", "phrase", "a", "n_words")), words
+    return known.join(reduce(DataFrame.unionByName, parts), "id", "left").select("lang", "phrase", F.coalesce("a", F.lit(0)).alias("a"))
 
 
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, idle: int = IDLE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -362,13 +412,22 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, idle: int = IDLE,
     side = lambda c, n: known.select(F.col("lang"), F.col("phrase").alias(c), F.col("a").alias(n))
     both = scratch.save(scratch.save(cut.join(side("left", "l"), ["lang", "left"])).join(side("right", "r"), ["lang", "right"]))
     scored = both.join(words, "lang").select("lang", "phrase", "a", "n", F.struct(F.expr(SCORE).alias("score"), "k", "l", "r").alias("x"))
-    best = scratch.save(scored.groupBy("lang", "phrase", "a", "n").agg(F.min("x").alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score"))
+    best = scratch.save(scored.groupBy("lang", "phrase", "a", "n").agg(F.min("x").alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score", F.col("x.k").alias("k_cut")))
 
     # the first of each of many parts of a language, then the first of those
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     part = F.pmod(F.xxhash64("phrase"), F.lit(64)).alias("part")
     first = best.withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("k") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    ranked = scratch.save(first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top))
+    # what is reported, ``top`` phrases a language whatever the corpus, is counted again as words
+    split, k = F.split("phrase", " "), F.col("k_cut")
+    row = lambda text, n: F.struct(text.alias("phrase"), F.col(n).alias("n"))
+    side = lambda start, size, n: row(F.array_join(F.slice(split, start, size), " "), n)
+    told = F.array(row(F.col("phrase"), "a"), side(F.lit(1), k, "l"), side(k + 1, F.size(split), "r"))
+    told = scratch.save(ranked.select("lang", F.explode(told).alias("x")).select("lang", "x.*").distinct())
+    exact = recounted(_texts(docs, text_col, lang_col), told.select("lang", "phrase").distinct(), scratch)
+    if not told.join(exact, ["lang", "phrase"]).where("n <> a").isEmpty():
+        raise ValueError("two phrases of a language share a 64-bit hash: the counts are not exact")
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

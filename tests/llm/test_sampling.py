@@ -268,3 +268,10 @@ def test_phrases_long_repeated_and_empty(spark):
 def test_phrases_exact_beyond_64_bits(spark):
     big = spark.createDataFrame([(10**12, 10**14, 3 * 10**12, 5 * 10**13)], "a long, n long, l long, r long")
     assert big.selectExpr(phrases.SCORE).first()[0] == 1000 * 10**12 * 10**14 // (3 * 10**12 * 5 * 10**13)
+
+
+def test_phrases_are_counted_without_a_scan_for_each_group(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_counted", None)  # the automata, which read all texts
+    known, words = phrases.counts(spark.createDataFrame([("a b a b. a b", "en"), ("a b", None)], "text string, lang string"), least=2)
+    assert {tuple(r) for r in known.collect()} == {("en", "a", 3, 1), ("en", "b", 3, 1), ("en", "a b", 3, 2)}
+    assert {tuple(r) for r in words.collect()} == {("en", 6), ("und", 2)}
