@@ -19,8 +19,12 @@ def address(n: Column) -> Column:
 
 
 def functions(spark: SparkSession, sf: str) -> DataFrame:
-    """``address, ghidra_name, name, code``: part k calls the part at half its key and the part that its size names, and mentions the one at a third."""
-    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size")
+    """``address, ghidra_name, name, code``: part k calls the part at half its key and the part that its size names, and mentions the one at a third.
+
+    A megabyte of the table makes a hundred of text, so its rows are dealt to tasks before: few bytes are one split.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size").repartition(parts, "k")
     k, size, quoted = F.col("k"), F.col("p_size"), F.concat(F.lit('"'), "p_name", F.lit('"'))
     text = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
     half, third = F.expr("(k - 1) div 2"), F.expr("k div 3")
