@@ -17,6 +17,16 @@ from ..functions.batches import by_text
 from ..storage import Scratch
 
 STEP, CALL, RETURN = "step", "call", "return"
+#: Rows that a join may send to all tasks.
+FEW = 50_000
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    """The side of a join that counts: sent to all tasks if its table has few rows, else sorted and merged.
+
+    Spark goes by bytes on disk, and tables of sorted keys are far larger in memory.
+    """
+    return df.hint("broadcast" if df.count() <= FEW else "merge")
 
 
 def _columns(edges: DataFrame) -> DataFrame:
@@ -103,9 +113,9 @@ def nearest(edges: DataFrame, sinks: DataFrame) -> DataFrame:
     length = 0
     while not front.isEmpty():
         length += 1
-        met = back.join(front.select(F.col("node").alias("dst"), "sink"), "dst")
+        met = back.join(_joined(front.select(F.col("node").alias("dst"), "sink")), "dst")
         best = met.groupBy(F.col("src").alias("node")).agg(F.min(F.struct("sink", F.col("dst").alias("next"), "kind")).alias("x"))
-        new = best.join(known.all().select("node"), "node", "left_anti")
+        new = best.join(_joined(known.all().select("node")), "node", "left_anti")
         front = known.add(new.select("node", "x.sink", F.lit(length).alias("length"), "x.next", "x.kind"))
     return known.all(but=1) if len(known.paths) > 1 else known.all()
 
@@ -119,7 +129,7 @@ def witnesses(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFra
     scratch = Scratch(edges.sparkSession, "witness")
     far = scratch.save(nearest(edges, sinks))
     node = far.schema["node"].dataType.simpleString()
-    walk = sources.select("node").distinct().join(far, "node").select(F.col("node").alias("source"), "sink", "length", F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds"), "next", "kind")
+    walk = sources.select("node").distinct().join(far.hint("merge"), "node").select(F.col("node").alias("source"), "sink", "length", F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds"), "next", "kind")
     done = _Grown(scratch, f"source {node}, sink {node}, length int, path array<{node}>, kinds array<string>")
     walk = scratch.save(walk)
     while True:
@@ -128,7 +138,7 @@ def witnesses(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFra
         if open_.isEmpty():
             return done.all()
         ahead = far.select(F.col("node").alias("_n"), F.col("next").alias("_next"), F.col("kind").alias("_kind"))
-        met = open_.join(ahead, open_["next"] == ahead["_n"])
+        met = _joined(open_).join(ahead, open_["next"] == ahead["_n"])
         walk = scratch.save(met.select("source", "sink", "length", F.concat("path", F.array("next")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.col("_next").alias("next"), F.col("_kind").alias("kind")))
 
 
