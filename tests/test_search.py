@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_flow import CODE
 
@@ -26,6 +27,27 @@ def test_search_from_postings(spark, tmp_path):
     assert search.search(spark, path, "system").count() == 0
 
 
+def test_postings_are_lists_of_keys(spark, tmp_path, monkeypatch):
+    rows = [(k, "goto LAB_1;\n\U0001f600\u00dcber\u00df" + "x" * (k % 3)) for k in range(300)]
+    path = str(tmp_path / "index")
+    search.build(spark.createDataFrame(rows, "k long, code string").coalesce(1), path, "k", "code")
+    held = spark.read.parquet(f"{path}/postings").where("gram = 'got'")
+    assert held.count() <= 2 and sorted(k for r in held.collect() for k in r["keys"]) == list(range(300))  # no row for each text
+    counts = {r["gram"]: r["n"] for r in spark.read.parquet(f"{path}/counts").collect()}
+    assert counts == {g: sum(g in search.grams(t.lower()) for _, t in rows) for g in set().union(*(search.grams(t.lower()) for _, t in rows))}
+    # any characters; a text longer than what is numbered at once has each trigram once, many characters are numbered for fewer texts
+    rng = random.Random(3)
+    texts = ["", "ab", "\n\n", *("".join(rng.choice("ab\n\u00df\u20ac\U0001f600 \x00") for _ in range(rng.randrange(60))) for _ in range(20))]
+    many = ["".join(map(chr, range(k << 16, k + 1 << 16))) for k in range(1, 17)]
+    for at_once, some in ((1 << 22, texts), (5, texts), (1 << 22, many)):
+        monkeypatch.setattr(search, "AT_ONCE", at_once)
+        got = [(g, k) for b in search._lists(pa.array(range(len(some))), some) for g, n, keys in zip(*(c.to_pylist() for c in b.columns)) for k in keys if n == len(keys)]
+        if some is texts:
+            assert sorted(got) == sorted((g, k) for k, t in enumerate(texts) for g in search.grams(t))
+        else:
+            assert len(got) == len(set(got)) == sum(len(t) - 2 for t in many)
+
+
 def test_table_functions(spark):
     rows = [(f"{k:08x}", n, c) for k, (n, c) in enumerate(sorted(CODE.items()))] + [("000000ff", None, "int f(int *p)\n{\n  return *(int *)(p + 8) + q->x;\n}"), ("000000fe", "none", None)]
     f = spark.createDataFrame(rows, "address string, ghidra_name string, code string")
